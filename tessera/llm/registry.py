@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import chat, language, quality, sharding
 
 QUERIES = {
     "op2_chat_formatting": chat.query,
+    "op3_quality_classifier": quality.query,
     "op4_sharding": sharding.query,
+    "op7_language_id": language.query,
 }
 ORACLES = {"op2_chat_formatting": chat.ORACLE}
