@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language, pieces, quality, sharding
+from . import chat, language, pieces, quality, rules, sharding
 
 QUERIES = {
     "op2_chat_formatting": chat.query,
     "op3_quality_classifier": quality.query,
     "op4_sharding": sharding.query,
+    "op5_quality_rules": rules.query,
     "op7_language_id": language.query,
     "op9_sentencepiece": pieces.query,
 }
