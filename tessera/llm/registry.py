@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, pieces, quality, rules, sharding
+from . import chat, decontaminate, language, pieces, quality, rules, sharding
 
 QUERIES = {
     "op2_chat_formatting": chat.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sharding": sharding.query,
     "op5_quality_rules": rules.query,
     "op7_language_id": language.query,
+    "op8_decontamination": decontaminate.query,
     "op9_sentencepiece": pieces.query,
 }
-ORACLES = {"op2_chat_formatting": chat.ORACLE}
+ORACLES = {"op2_chat_formatting": chat.ORACLE, "op8_decontamination": decontaminate.ORACLE}
