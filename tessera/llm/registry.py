@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, pieces, quality, rules, sharding
+from . import chat, decontaminate, language, linededup, pieces, quality, rules, sharding
 
 QUERIES = {
+    "op1_line_dedup": linededup.query,
     "op2_chat_formatting": chat.query,
     "op3_quality_classifier": quality.query,
     "op4_sharding": sharding.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_sentencepiece": pieces.query,
 }
-ORACLES = {"op2_chat_formatting": chat.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op8_decontamination": decontaminate.ORACLE}
