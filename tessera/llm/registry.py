@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, linededup, pieces, quality, rules, sharding
+from . import chat, decontaminate, language, linededup, parityjoin, pieces, quality, rules, sharding
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
@@ -13,5 +13,11 @@ QUERIES = {
     "op7_language_id": language.query,
     "op8_decontamination": decontaminate.query,
     "op9_sentencepiece": pieces.query,
+    "op10_ngram_jaccard": parityjoin.query,
+}
+ORACLES = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op2_chat_formatting": chat.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
+    "op10_ngram_jaccard": parityjoin.ORACLE,
 }
-ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_chat_formatting": chat.ORACLE, "op8_decontamination": decontaminate.ORACLE}
