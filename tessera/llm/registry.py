@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, linededup, parityjoin, pieces, quality, rules, sharding
+from . import chat, decontaminate, language, linededup, parityjoin, pieces, quality, rules, sharding, suffixdedup
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality.query,
     "op4_sharding": sharding.query,
     "op5_quality_rules": rules.query,
+    "op6_suffix_dedup": suffixdedup.query,
     "op7_language_id": language.query,
     "op8_decontamination": decontaminate.query,
     "op9_sentencepiece": pieces.query,
