@@ -116,7 +116,7 @@ def _sums(owner: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, a, b: size and hashes of each row's set."""
+    """doc_id, k, n, a, b: hash of each row's text, size and hashes of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +125,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 m = len(block.begin)
                 a, b = _sums(owner, gram, m)
                 size = np.bincount(owner, minlength=m)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), *map(pa.array, (size, a, b))], names=["doc_id", "n", "a", "b"])
+                own = [batch.column(0).slice(first, m), batch.column(2).slice(first, m)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (size, a, b))], names=["doc_id", "k", "n", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("k")).mapInArrow(run, "doc_id long, k long, n long, a long, b long")
 
 
 def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -171,7 +172,7 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id of every row of docs."""
+    """id, text_key (its text's hash), n_shingles and component_id of every row of docs."""
     ws = Workspace(docs.sparkSession, "parityjoin")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -232,13 +233,35 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     other = smallest.where("copies > 1").join(labels, smallest.a == labels.id, "left_anti").select("a", "b", F.col("least").alias("component"))
     named = ws.stage(named.unionByName(other), "named")
     return table.join(small(named), ["a", "b"], "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        F.col("doc_id").alias(id_col), F.col("k").alias("text_key"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the smallest id.
+
+    Of rows equal in id and text one stays. Rows without an id stay unless linked to one with an id; rows without a set stay.
+    """
+    ws = Workspace(docs.sparkSession, "keepone")
+    found = ws.stage(near_duplicates(docs, n, percent, id_col, text_col), "found")
+    own = F.col(id_col)
+    go = ws.stage(found.where(F.col("component_id").isNotNull() & ~own.eqNullSafe(F.col("component_id"))).select(own.alias("go_id"), F.col("text_key").alias("go_key")).distinct(), "go")
+    twice = found.where("n_shingles > 0").groupBy(own.alias("go_id"), F.col("text_key").alias("go_key")).agg(F.count(F.lit(1)).alias("c"))
+    twice = ws.stage(twice.where("c > 1 and go_id is not null").select("go_id", "go_key"), "twice")
+
+    def pick(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return df.join(keys, (F.xxhash64(df[text_col]) == keys.go_key) & df[id_col].eqNullSafe(keys.go_id), how)
+
+    stay = pick(docs, go, "left_anti")
+    if twice.isEmpty():
+        return stay
+    return pick(stay, twice, "left_anti").unionByName(pick(stay, twice, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles and components of all documents at a Jaccard similarity of 0.9."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 ORACLE = r"""
