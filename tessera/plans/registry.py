@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import text_plans
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plans in (text_plans,):
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES
