@@ -67,19 +67,27 @@ def covered_by_repeats(h: Column, n: int = 3) -> Column:
     return let(F.array_sort(windows(h)), lambda w: let(starts(w), total))
 
 
-def class_counts(text: Column) -> list[Column]:
-    """How many characters of each class, and of none."""
-    known = [F.length(F.regexp_replace(text, pattern, "")).cast("long") for pattern in CLASSES.values()]
-    return [*known, F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")).cast("long")]
+def class_counts(text: Column) -> Column:
+    """How many characters of each class, and of none; then those of `[#*$%&|<>]`. Lower-case letters, most of a text, go first."""
+
+    def counts(rest: Column) -> Column:
+        def count(pattern: str) -> Column:
+            return F.length(F.regexp_replace(rest, pattern, "")).cast("long")
+
+        others = [count(pattern) for name, pattern in CLASSES.items() if name != "lower"]
+        return F.array((F.length(text) - F.length(rest)).cast("long"), *others, count(r"[\x00-\x7F]+"), count(r"[^#*$%&|<>]+"))
+
+    return let(F.regexp_replace(text, "[a-z]+", ""), counts)
 
 
 def _references(docs: DataFrame) -> tuple[DataFrame, tuple]:
     """By language, shares of the classes of characters and hashes and shares of common words; and those of all languages."""
     names = [*CLASSES, "beyond"]
-    chars = docs.select("lang", *(c.alias(n) for c, n in zip(class_counts(F.col("text")), names, strict=True)))
-    by_lang = {r["lang"]: [r[n] or 0 for n in names] for r in chars.groupBy("lang").agg(*(F.sum(n).alias(n) for n in names)).collect()}
+    chars = docs.select("lang", class_counts(F.col("text")).alias("c"), F.size(words_of(F.col("text"))).alias("n"))
+    sums = chars.groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(name) for i, name in enumerate(names)), F.sum("n").alias("n")).collect()
+    by_lang = {r["lang"]: [r[n] or 0 for n in names] for r in sums}
+    size = {r["lang"]: r["n"] for r in sums}
     spread = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    size = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.sum(F.size(words_of(F.col("text")))).alias("n")).collect()}
     grand = sum(filter(None, size.values()))
     n_of = F.create_map(*(F.lit(x) for k, v in size.items() if k is not None for x in (k, v or 0))) if any(k is not None for k in size) else None
     counts = spread.where(F.length("word") <= COMMON_LETTERS).groupBy("lang", "word").count().where(F.col("word").rlike(r"^\p{L}+$"))
@@ -147,24 +155,32 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     total = F.greatest(F.length(text), F.lit(1))
+    n_classes, space = len(CLASSES) + 1, list(CLASSES).index("space")
+
+    def of_characters(c: Column) -> Column:
+        shares = F.transform(F.slice(c, 1, n_classes), lambda x: x / total)
+        return F.struct(
+            (F.length(text) - F.get(c, F.lit(space))).cast("long").alias("word_chars"),
+            F.get(c, F.lit(n_classes)).alias("n_symbols"),
+            distance(shares, F.col("ref_chars")).alias("chars"),
+        )
+
     measured = joined.select(
         "id",
         let(words_of(text), measure).alias("m"),
-        F.length(F.regexp_replace(text, WORD_SPLIT, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        let(F.array(*class_counts(text)), lambda c: distance(F.transform(c, lambda x: x / total), F.col("ref_chars"))).alias("chars"),
+        let(class_counts(text), of_characters).alias("c"),
     )
     n, rep = F.col("m.n_words"), F.col("m.n_repeat_words")
     judged = measured.select(
         F.col("id").alias(id_col),
         n.alias("n_words"),
-        "word_chars",
-        "n_symbols",
+        "c.word_chars",
+        "c.n_symbols",
         "n_dup_lines",
         rep.alias("n_repeat_words"),
         ((n < 50) | (rep * 100 > n * 50)).alias("base_failed"),
-        F.when(F.col("word_chars") >= MIN_CHARS, F.col("chars")).alias("js_chars"),
+        F.when(F.col("c.word_chars") >= MIN_CHARS, F.col("c.chars")).alias("js_chars"),
         F.when(n >= MIN_WORDS, F.col("m.words")).alias("js_words"),
     )
 
