@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import text_plans
+from . import map_plans, text_plans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (text_plans,):
+for _plans in (text_plans, map_plans):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
