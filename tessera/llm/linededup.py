@@ -63,11 +63,12 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, mi
     keyed = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), *key, templates(text, depth, min_tokens).alias("all"))
     # within a document a template counts once, where it stands first
     once = F.filter("all", lambda x, i: (i == 0) | (x["key"] != F.get("all", i - 1)["key"]))
-    seen = keyed.select("id", "k1", F.explode(once).alias("t")).select("t.key", F.struct("id", "t.at", "k1").alias("place"), F.col("k1").alias("doc"))
+    # explode_outer: plain explode would have the optimizer add a filter that computes the templates once more
+    seen = keyed.select("id", "k1", F.explode_outer(once).alias("t")).where("t is not null").select("t.key", F.struct("id", "t.at", "k1").alias("place"), F.col("k1").alias("doc"))
     recurring = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     recurring = ws.stage(recurring.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi"))).select("key", "first"), "recurring")
     small = recurring.count() <= BROADCAST_ROWS
-    lines = keyed.select("id", "k1", "k2", F.explode("all").alias("t")).select("id", "k1", "k2", "t.*")
+    lines = keyed.select("id", "k1", "k2", F.explode_outer("all").alias("t")).where("t is not null").select("id", "k1", "k2", "t.*")
     hit = lines.join(F.broadcast(recurring) if small else recurring, "key").where(
         ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.at") == F.col("at")) & (F.col("first.k1") == F.col("k1")))
     )
