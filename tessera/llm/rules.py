@@ -87,7 +87,7 @@ def _references(docs: DataFrame) -> tuple[DataFrame, tuple]:
     sums = chars.groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(name) for i, name in enumerate(names)), F.sum("n").alias("n")).collect()
     by_lang = {r["lang"]: [r[n] or 0 for n in names] for r in sums}
     size = {r["lang"]: r["n"] for r in sums}
-    spread = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    spread = docs.select("lang", F.explode_outer(words_of(F.col("text"))).alias("word"))
     grand = sum(filter(None, size.values()))
     n_of = F.create_map(*(F.lit(x) for k, v in size.items() if k is not None for x in (k, v or 0))) if any(k is not None for k in size) else None
     counts = spread.where(F.length("word") <= COMMON_LETTERS).groupBy("lang", "word").count().where(F.col("word").rlike(r"^\p{L}+$"))
