@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_c
     key = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
     keyed = docs.select(*key, text.alias("text")).where(F.col("text").isNotNull())
     hit = (
-        keyed.select("k1", "k2", F.explode(let(hashes(F.col("text")), prints)).alias("f"))
+        keyed.select("k1", "k2", F.explode_outer(let(hashes(F.col("text")), prints)).alias("f"))
         .join(fingerprints, "f")
         .select("k1", "k2")
         .distinct()
@@ -96,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_c
     candidates = ws.stage(hit, "candidates")
     once = keyed.join(_small(candidates), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     found = (
-        once.select("k1", "k2", F.explode(let(hashes(F.col("text")), spans)).alias("s"))
+        once.select("k1", "k2", F.explode_outer(let(hashes(F.col("text")), spans)).alias("s"))
         .select("k1", "k2", "s.*")
         .join(windows, "g")
         .groupBy("k1", "k2")
