@@ -9,9 +9,10 @@ set is sketched for its own band and the one below.
 
 Sets that share a block are candidates; each candidate's exact similarity is verified. What is wanted is classes of
 linked documents, so candidates that earlier links have joined already need no test. In every block's group, the
-members are tested against a leader (the one in most groups), the linked ones join, and the groups that still hold
-several classes go on with the next leader. After `STARS` leaders, what remains is compared pair by pair. No link
-between different classes is lost, and large groups of near copies cost about one test for each member.
+members are tested against a leader (the one in most groups) and the linked ones join; groups that still hold
+several classes go on with the next leader, `STARS` leaders in all. After these, the members that are left are joined by their rarest
+n-grams (a prefix filter, exact as well) and compared pair by pair. No link between different classes is lost, and
+large groups of near copies cost a few tests for each member.
 
 Documents with equal sets are one node. Shuffles carry hashes; the sets themselves travel only for candidates. Tables
 are broadcast behind a count of their rows, and joined by a shuffle beyond.
@@ -37,8 +38,10 @@ from .workspace import Workspace
 BROADCAST_ROWS = 2_000_000
 #: Members of all leaders' sets together that are broadcast at most.
 BROADCAST_MEMBERS = 4_000_000
-#: Leaders of a group, before its rest is compared pair by pair.
-STARS = 4
+#: Leaders of a group, before its rest is joined by rare n-grams.
+STARS = 1
+#: 64-bit words of the short sketch that rules out pairs before their sets are read.
+WORDS = 16
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -105,6 +108,14 @@ def sketches(owner: np.ndarray, gram: np.ndarray, sizes: np.ndarray, bands: Band
     return who, mix(out ^ mix((band[who].astype(np.uint64) << np.uint64(32)) + where.astype(np.uint64) + np.uint64(7)))
 
 
+def parities(owner: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+    """A short parity sketch of each set: WORDS * 64 bits, of which every member flips one."""
+    bit = mix(gram ^ np.uint64(0x8CB92BA72F3D8DD7)) % np.uint64(64 * WORDS)
+    out = np.zeros(n * WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, WORDS)
+
+
 def _sums(owner: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each set."""
     edge = np.searchsorted(owner, np.arange(n + 1))
@@ -157,7 +168,7 @@ def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """id and set of each row."""
+    """id, set and short sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +177,12 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 m = len(block.begin)
                 ids, _ = _sums(owner, gram, m)
                 edge = np.searchsorted(owner, np.arange(m + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(edge), pa.array(gram.view(np.int64)))], names=["id", "set"])
+                flat = parities(owner, gram, m).view(np.int64).ravel()
+                parts = [(edge, gram.view(np.int64)), (np.arange(m + 1, dtype=np.int32) * WORDS, flat)]
+                lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], names=["id", "set", "parity"])
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+    return docs.mapInArrow(run, "id long, set array<long>, parity array<long>")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,6 +215,29 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         shared = F.size(F.array_intersect("su", "sv"))
         return both.where(shared * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
 
+    def prefix_pairs(left: DataFrame) -> DataFrame:
+        """Candidates (u, v, lu, label) of different classes among the (id, label) that stars left over.
+
+        Similar sets share one of their first members in any one order of all members (prefix filter). The order here
+        has rare members first, so what an edit brought in stands in the prefix, and what thousands of near copies have
+        in common does not. Members whose sets are of one class only need no pair. Of the rest, pairs go whose short
+        parity sketches differ in more bits than their sets may differ in members.
+        """
+        mine = sets.join(small(ws.stage(left, "left")), "id")
+        each = mine.select("id", "label", F.size("set").alias("n"), F.explode_outer("set").alias("e")).where("e is not null")
+        each = ws.stage(each, "each")
+        kinds = ws.stage(each.groupBy("e").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("mixed")), "kinds")
+        first = each.join(kinds, "e").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "e", "mixed"))).alias("all"))
+        length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+        first = first.select("id", "label", "n", F.explode_outer(F.slice("all", 1, length)).alias("x")).where("x.mixed").select("id", "label", "n", "x.e")
+        words = mine.select("id", *(F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)))
+        first = ws.stage(first.join(words, "id"), "prefixes")
+        other = first.select("e", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), *(F.col(f"p{i}").alias(f"q{i}") for i in range(WORDS)))
+        sizes = (F.col("n") * 100 >= F.col("nu") * percent) & (F.col("nu") * 100 >= F.col("n") * percent)
+        apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(WORDS)), F.lit(0))
+        near = apart * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent)
+        return first.join(other, "e").where((F.col("label") < F.col("lu")) & sizes & near).select("u", F.col("id").alias("v"), "lu", "label")
+
     labels = degree.select("id", F.col("id").alias("label"))
     rest = members.withColumn("label", F.col("id"))
     step = 0
@@ -209,8 +246,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
             top = ws.stage(rest.groupBy("sig").agg(F.max(F.struct("c", "id", "label")).alias("top")).select("sig", F.col("top.id").alias("u"), F.col("top.label").alias("lu")), f"top-{step}")
             pairs = rest.join(top, "sig").where("label <> lu").select("u", F.col("id").alias("v"), "lu", "label")
         else:
-            other = rest.select("sig", F.col("id").alias("u"), F.col("label").alias("lu"))
-            pairs = rest.join(other, "sig").where("label < lu").select("u", F.col("id").alias("v"), "lu", "label")
+            pairs = prefix_pairs(rest.select("id", "label").distinct())
         pairs = ws.stage(pairs.distinct(), f"pairs-{step}")
         links = ws.stage(verified(pairs.select("u", "v")).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct(), f"links-{step}")
         if not links.isEmpty():
