@@ -6,11 +6,13 @@ texts are bytes; strings never cross texts.
 Only suffixes that can matter are sorted. Every window of WIDTH bytes has an anchor: of its grams of `GRAM` bytes, the
 one with the smallest hash, the first among equals. Equal windows have equal anchors at equal places. The consecutive
 windows of one anchor form a context. Contexts that occur twice or more repeat whole; anchors whose gram occurs nowhere
-else repeat nothing; both are settled by counting hashes. What remains are different contexts around one gram, a few
-hundredths of the text. Their suffixes (one for each window) go through the suffix sort: sampled splitters
+else repeat nothing; both are settled by counting hashes. Different contexts around one gram are cut into stretches of
+`STRETCH` windows by their distance to the anchor, and counted once more by the bytes that all windows of the stretch
+share (the core) and by all of its bytes. What remains are different stretches around one core. Their suffixes (one for
+each window) go through the suffix sort: sampled splitters
 range-partition them by the leading bytes at the anchor, each bucket sorts its suffixes locally by multikey quicksort
 (eight bytes at a time, only ties go on), and neighbours that agree on WIDTH bytes are repeats. Groups that touch a
-bucket's boundary, or are larger than a block of `MOST` contexts, are compared across boundaries: each part hands on
+bucket's boundary, or are larger than a block of `MOST` stretches, are compared across boundaries: each part hands on
 one 128-bit hash for each different window, and these are counted. So one passage in a third of all texts is split over
 buckets and never gathered.
 
@@ -24,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import Block, Hasher, blocks, mix
 from .workspace import Workspace
 
 WIDTH, GRAM = 400, 100
-#: Contexts of one gram that are sorted together, and contexts of a bucket (about).
-MOST, BUCKET = 1024, 10_000
+#: Windows of a stretch.
+STRETCH = 16
+#: Stretches of one core that are sorted together, and stretches of a bucket (about).
+MOST, BUCKET = 4096, 20_000
 BROADCAST_ROWS = 1_000_000
 _PLACE = np.uint64(28)
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -84,16 +88,41 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of the wanted contexts: their core's and their own hash, and distances of their windows to the anchor."""
+    for batch in batches:
+        for first, block in blocks(batch.column(0)):
+            lists = batch.column(1).slice(first, len(block.begin))
+            wanted = lists.flatten()
+            if not len(wanted):
+                continue
+            gram, c, p, lo, hi = (wanted.field(n).to_numpy() for n in ("gram", "c", "p", "lo", "hi"))
+            owner = np.repeat(np.arange(len(block.begin)), np.diff(lists.offsets.to_numpy()))
+            hasher = Hasher(block.data)
+            near, far = (p - hi) // STRETCH, (p - lo) // STRETCH
+            n = far - near + 1
+            row = np.repeat(np.arange(len(p)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + near[row]
+            d0, d1 = np.maximum((p - hi)[row], k * STRETCH), np.minimum((p - lo)[row], k * STRETCH + STRETCH - 1)
+            at = (block.begin[owner] + p)[row]
+            core = mix(hasher(at - k * STRETCH, at - k * STRETCH + WIDTH - STRETCH + 1) * _ODD + k.astype(np.uint64))
+            own = mix(hasher(at - d1, at - d0 + WIDTH) * _ODD + (d0 * 1024 + d1).astype(np.uint64))
+            longs = (gram[row], c[row], core.view(np.int64), own.view(np.int64))
+            ints = (p[row], d0, d1, (p - lo)[row] - d1)
+            names = ["gram", "c", "core", "own", "p", "d0", "d1", "shift"]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), *(pa.array(x.astype(np.int32)) for x in ints)], names=names)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted context, with the leading bytes at its anchor."""
-    kind = pa.schema([("lead", pa.binary()), ("gram", pa.int64()), ("c", pa.int64()), ("off", pa.int32()), ("raw", pa.binary())])
+    """The bytes of each wanted stretch, with the leading bytes at its anchor."""
+    kind = pa.schema([("lead", pa.binary()), ("core", pa.int64()), ("gram", pa.int64()), ("c", pa.int64()), ("shift", pa.int32()), ("off", pa.int32()), ("raw", pa.binary())])
     for batch in batches:
         rows = []
         for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
             raw = text.as_buffer().to_pybytes()
             for w in wanted.as_py():
-                lo, end = w["lo"], w["hi"] + WIDTH
-                rows.append((raw[w["p"] : w["p"] + 16], w["gram"], w["c"], w["p"] - lo, raw[lo:end]))
+                p, d0, d1 = w["p"], w["d0"], w["d1"]
+                rows.append((raw[p : p + 16], w["core"], w["gram"], w["c"], w["shift"], d1, raw[p - d1 : p - d0 + WIDTH]))
             if len(rows) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
                 rows = []
@@ -163,54 +192,45 @@ _FOUND = pa.schema([("gram", pa.int64()), ("c", pa.int64()), ("first", pa.int32(
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a bucket sorted by anchor: runs of repeated windows (first to last start in the context), and hashes to compare across."""
 
-    def settle(gram: int, ids: list[int], raws: list[bytes], offs: list[int], across: bool) -> Iterator[pa.RecordBatch]:
-        owner, start, cls = sort_suffixes(raws, offs)
+    def settle(rows: list[tuple], across: bool) -> Iterator[pa.RecordBatch]:
+        grams, ids, shifts, offs, raws = zip(*rows, strict=True)
+        gram, c, shift = np.array(grams), np.array(ids), np.array(shifts)
+        owner, start, cls = sort_suffixes(list(raws), list(offs))
         alone = np.bincount(cls)[cls] == 1
+
+        def found(lo: np.ndarray, hi: np.ndarray, h1: pa.Array, h2: pa.Array, single: pa.Array) -> pa.RecordBatch:
+            o = owner[lo]
+            places = [pa.array((start[x] + shift[o]).astype(np.int32)) for x in (lo, hi)]
+            return pa.RecordBatch.from_arrays([pa.array(gram[o]), pa.array(c[o]), *places, h1, h2, single], schema=_FOUND)
+
         rep = np.flatnonzero(~alone)
         if len(rep):
             new = np.ones(len(rep), bool)
             new[1:] = (np.diff(rep) > 1) | (np.diff(owner[rep]) != 0)
             lo = rep[new]
             hi = rep[np.append(np.flatnonzero(new)[1:] - 1, len(rep) - 1)]
-            none = pa.nulls(len(lo), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(lo), gram)),
-                    pa.array(np.array(ids)[owner[lo]]),
-                    pa.array(start[lo].astype(np.int32)),
-                    pa.array(start[hi].astype(np.int32)),
-                    none,
-                    none,
-                    pa.nulls(len(lo), pa.bool_()),
-                ],
-                schema=_FOUND,
-            )
+            yield found(lo, hi, pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.int64()), pa.nulls(len(lo), pa.bool_()))
         if across:
             _, one = np.unique(cls, return_index=True)
-            h1, h2 = _hashes(raws, owner[one], start[one])
-            at = pa.array(start[one].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(one), gram)), pa.array(np.array(ids)[owner[one]]), at, at, pa.array(h1), pa.array(h2), pa.array(alone[one])], schema=_FOUND
-            )
+            h1, h2 = _hashes(list(raws), owner[one], start[one])
+            yield found(one, one, pa.array(h1), pa.array(h2), pa.array(alone[one]))
 
-    held: tuple[int, list, list, list] | None = None
-    before, resumed, last = True, False, None  # no group is over yet; held goes on with the gram of the block before
+    held: list[tuple] = []
+    key, last = None, None
+    before, resumed = True, False  # no group is over yet; held goes on with the core of the block before
     for batch in batches:
-        for gram, c, off, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-            if (gram, c) == last:
+        for core, gram, c, shift, off, raw in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
+            if (core, gram, c, off) == last:
                 continue  # a copy of the same text
-            last = (gram, c)
-            if held is None or held[0] != gram or len(held[1]) >= MOST:
-                goes_on = held is not None and held[0] == gram
-                if held is not None:
-                    yield from settle(*held, before or resumed or goes_on)
-                    before = before and goes_on
-                held, resumed = (gram, [], [], []), goes_on
-            held[1].append(c)
-            held[2].append(raw)
-            held[3].append(off)
-    if held is not None:
-        yield from settle(*held, True)
+            last = (core, gram, c, off)
+            if held and (key != core or len(held) >= MOST):
+                goes_on = key == core
+                yield from settle(held, before or resumed or goes_on)
+                before, resumed, held = before and goes_on, goes_on, []
+            key = core
+            held.append((gram, c, shift, off, raw))
+    if held:
+        yield from settle(held, True)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +261,17 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted intervals (lo, hi) with those that touch made one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last.lo.alias("lo"), F.greatest(last.hi, x.hi).alias("hi"))
+        return F.when(last.hi >= x.lo, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.slice(spans, 2, F.greatest(F.lit(0), F.size(spans) - 1)), F.slice(spans, 1, 1), add)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (removed, as byte offsets) and kept (the remaining bytes) of every row."""
     spark = docs.sparkSession
@@ -263,22 +294,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("k1", "k2", "p", "lo", "hi")
     chosen = found.where("open").groupBy("gram", "c").agg(F.min(place).alias("at")).select("gram", "c", "at.*")
     wanted = ws.stage(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "c", "p", "lo", "hi")).alias("wanted")), "wanted")
-    cut = long.join(small(wanted), ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "lead binary, gram long, c long, off int, raw binary")
+    kinds = "gram long, c long, core long, own long, p int, d0 int, d1 int, shift int"
+    pieces = long.join(small(wanted), ["k1", "k2"]).select("text", "wanted").mapInArrow(_stretches, kinds).dropDuplicates(["gram", "c", "d1"])
+    pieces = ws.stage(pieces, "stretches")
+    counts = ws.stage(pieces.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n")), "owns")
+    cores = counts.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+    cores = ws.stage(cores.where("total > 1").select("core", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("mixed")), "cores")
+    settled = ws.stage(counts.join(small(cores), "core").where("n > 1 or mixed").select("core", "own", (F.col("n") > 1).alias("twice"), "mixed"), "settled")
+    pieces = ws.stage(pieces.join(small(settled), ["core", "own"]), "pieces")
+    ws.drop("stretches", "owns", "cores")
+    # one of each kind goes to be sorted
+    pick = F.struct("gram", "c", "p", "d0", "d1", "shift")
+    single = pieces.where("mixed").groupBy("core", "own").agg(F.min(pick).alias("s")).select("core", "s.*")
+    texts_of = chosen.select("gram", "c", "k1", "k2")
+    listed = single.join(texts_of, ["gram", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "gram", "c", "p", "d0", "d1", "shift")).alias("wanted"))
+    listed = ws.stage(listed, "listed")
+    cut = long.join(small(listed), ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "lead binary, core long, gram long, c long, shift int, off int, raw binary")
     cut = ws.stage(cut, "cut")
     n = cut.count()
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["lead", "gram", "c"]
+    order = ["lead", "core", "gram", "c", "off"]
     buckets = cut.repartitionByRange(max(shuffle, -(-n // BUCKET)), *order).sortWithinPartitions(*order)
     result = ws.stage(buckets.mapInArrow(_sorted, "gram long, c long, first int, last int, h1 long, h2 long, alone boolean"), "sorted")
     open_rows = result.where("h1 is not null")
     shared = ws.stage(open_rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "across")
     over = open_rows.where("alone").join(small(shared), ["h1", "h2"]).select("gram", "c", "first", "last")
-    runs = ws.stage(result.where("h1 is null").select("gram", "c", "first", "last").unionByName(over), "runs")
+    again = pieces.where("twice").select("gram", "c", F.col("shift").alias("first"), (F.col("shift") + F.col("d1") - F.col("d0")).alias("last"))
+    runs = ws.stage(result.where("h1 is null").select("gram", "c", "first", "last").unionByName(over).unionByName(again), "runs")
 
     whole = found.where("whole").select("k1", "k2", "lo", (F.col("hi") + WIDTH).alias("hi"))
     parts = found.where("open and not whole").join(small(runs), ["gram", "c"])
     parts = parts.select("k1", "k2", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + WIDTH).alias("hi"))
-    spans = ws.stage(whole.unionByName(parts).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "spans")
+    both = whole.unionByName(parts).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("all"))
+    spans = ws.stage(both.select("k1", "k2", _merged(F.col("all")).alias("found")), "spans")
     held = spans.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(spans) if held <= 2 * BROADCAST_ROWS else spans, ["k1", "k2"], "left").select("doc_id", "text", "found")
     out = joined.mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary")
