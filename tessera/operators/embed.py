@@ -67,11 +67,15 @@ def zscored(vectors: DataFrame, id_col: str, vec: str = "vec") -> DataFrame:
 
 
 def nearest(words: DataFrame, table: DataFrame, k: int = 5) -> DataFrame:
-    """word, other, sim: the k most similar of table for each of words (few, in one broadcast row); partial top-k by aggregation."""
-    if words.count() > 10_000:
-        raise ValueError("query words in blocks of 10,000")
-    one = words.agg(F.collect_list(F.struct("word", "vec")).alias("q"))
-    pairs = table.select(F.col("word").alias("other"), F.col("vec").alias("ov")).crossJoin(F.broadcast(one)).select(
+    """word, other, sim: the k most similar of table for each of words.
+
+    The query words stand in blocks of about 5,000, one row each, so a row of the table meets a block and not a word.
+    Blocks are broadcast up to 50,000 words.
+    """
+    n = words.count()
+    block = F.pmod(F.xxhash64("word"), F.lit(max(1, -(-n // 5_000))))
+    blocks = words.groupBy(block.alias("blk")).agg(F.collect_list(F.struct("word", "vec")).alias("q")).select("q")
+    pairs = table.select(F.col("word").alias("other"), F.col("vec").alias("ov")).crossJoin(F.broadcast(blocks) if n <= 50_000 else blocks).select(
         "other", F.explode(F.transform("q", lambda w: F.struct(w.word.alias("word"), V.cosine(w.vec, F.col("ov")).alias("sim")))).alias("p")
     )
     pairs = pairs.select("p.word", "other", "p.sim").where("word <> other")

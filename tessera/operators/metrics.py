@@ -38,12 +38,12 @@ def lattice_measure(vectors: DataFrame, nodes: DataFrame) -> DataFrame:
     return one.select("n_inputs", "occupancy", (o / n).alias("occupancy_ratio"), (n - o).alias("empty_cells"), "mean_qe", "topo_error")
 
 
-def path_length(assigned: DataFrame, nodes: DataFrame, order: str) -> DataFrame:
-    """Lattice steps between the nodes of consecutive vectors of one reasoning path (a short one: it is walked in order)."""
-    w = Window.orderBy(order)
-    at = assigned.select(order, F.col("bmu").alias("node_id")).join(F.broadcast(nodes.select("node_id", "row", "col")), "node_id")
+def path_length(assigned: DataFrame, nodes: DataFrame, order: str, group: str) -> DataFrame:
+    """Lattice steps between the nodes of consecutive vectors of each reasoning path (group), walked in order."""
+    w = Window.partitionBy(group).orderBy(order)
+    at = assigned.select(group, order, F.col("bmu").alias("node_id")).join(F.broadcast(nodes.select("node_id", "row", "col")), "node_id")
     steps = F.greatest(F.abs(F.col("row") - F.lag("row").over(w)), F.abs(F.col("col") - F.lag("col").over(w)))
-    return at.select(steps.alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("path_len"))
+    return at.select(group, steps.alias("s")).groupBy(group).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("path_len"))
 
 
 def _rounds() -> Window:

@@ -174,11 +174,12 @@ def lattice_metrics(spark, d):
     return m.select("n_inputs", "occupancy", "occupancy_ratio", "empty_cells", *r6("mean_qe"), "topo_error")
 
 
-@query(""", l AS (SELECT vec_id, row, col, lag(row) OVER (ORDER BY vec_id) AS pr, lag(col) OVER (ORDER BY vec_id) AS pc FROM b JOIN n ON node_id = bmu WHERE vec_id < 100)
-SELECT CAST(coalesce(sum(greatest(abs(row - pr), abs(col - pc))), 0) AS BIGINT) AS path_len FROM l""")
+@query(""", l AS (SELECT label, row, col, lag(row) OVER w AS pr, lag(col) OVER w AS pc FROM b JOIN n ON node_id = bmu JOIN embeddings e ON e.vec_id = b.vec_id WINDOW w AS (PARTITION BY label ORDER BY b.vec_id))
+SELECT label, CAST(coalesce(sum(greatest(abs(row - pr), abs(col - pc))), 0) AS BIGINT) AS path_len FROM l GROUP BY label""")
 def path_length(spark, d):
-    """Lattice steps along the first 100 vectors in order."""
-    return X.path_length(M.bmu(vectors(spark, d).where("vec_id < 100"), nodes(spark, d)), nodes(spark, d), "vec_id")
+    """Lattice steps along the vectors of each label in order."""
+    v = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return X.path_length(M.bmu(v, nodes(spark, d)), nodes(spark, d), "vec_id", "label")
 
 
 _HISTORY = """, h AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS round, count(DISTINCT user_id) AS occupancy, count(DISTINCT user_id) / 1000.0 AS occ_ratio,
@@ -252,11 +253,11 @@ def unit_vectors(spark, d):
 
 
 @query(""", p AS (SELECT x.vec_id AS word, y.vec_id AS other, list_inner_product(x.vec, y.vec) / greatest(sqrt(list_inner_product(x.vec, x.vec)) * sqrt(list_inner_product(y.vec, y.vec)), 1e-12) AS sim
-  FROM v x, v y WHERE x.vec_id < 6 AND x.vec_id <> y.vec_id)
+  FROM v x, v y WHERE x.vec_id <> y.vec_id)
 SELECT word, other, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sim DESC, other) AS r FROM p) WHERE r <= 5""")
 def nearest_words(spark, d):
     v = vectors(spark, d).withColumnRenamed("vec_id", "word")
-    return E.nearest(v.where("word < 6"), v, 5).select("word", "other", *r6("sim"))
+    return E.nearest(v, v, 5).select("word", "other", *r6("sim"))
 
 
 _SOFT = """s AS (SELECT vec_id, node_id, list_distance(vec, wd) AS d FROM v, q), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d * d, node_id) AS r FROM s) WHERE r <= 4),
@@ -282,10 +283,11 @@ def refine_step(spark, d):
     return out.where("moved").select("node_id", F.posexplode("wq").alias("dim", "q")).select("node_id", "dim", F.col("q").cast("int").alias("q"))
 
 
-@query(""", s AS (SELECT avg(sd) AS spread, any_value(m) AS m FROM (SELECT dim, stddev_pop(vec[dim]) AS sd, count(*) AS m FROM v, sc WHERE vec_id < 50 GROUP BY dim))
+@query(""", s AS (SELECT avg(sd) AS spread, any_value(m) AS m FROM (SELECT dim, stddev_pop(vec[dim]) AS sd, count(*) AS m FROM v JOIN embeddings e USING (vec_id), sc WHERE label = 1 GROUP BY dim))
 SELECT CAST(least(16, greatest(4, 2 * m)) AS INT) AS k, round(least(4.0, greatest(0.8, spread * 8.0)), 6) AS temp, round(least(0.35, greatest(0.15, 0.4 - spread)), 6) AS lr, round(spread, 6) AS spread, m AS region_size FROM s""")
 def auto_parameters(spark, d):
-    return R.auto_params(vectors(spark, d).where("vec_id < 50")).select("k", *r6("temp", "lr", "spread"), "region_size")
+    region = read(spark, d, "embeddings").where("label = 1").select(F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return R.auto_params(region).select("k", *r6("temp", "lr", "spread"), "region_size")
 
 
 @query(""", u AS (SELECT node_id, wq, (node_id * 7) % 16 * 0.95 AS use FROM q), t AS (SELECT quantile_cont(use, 0.3) AS t FROM u)

@@ -163,9 +163,9 @@ _GENERIC = ", ".join(f"'{w}'" for w in T.GENERIC)
 
 @query(f"""SELECT doc_id, line, len(t) = 0 OR hits >= greatest(1, len(t) // 2 + 1) OR (len(t) = 1 AND hits = 1) AS generic FROM (
   SELECT doc_id, line, t, len(list_filter(t, lambda x: x IN ({_GENERIC}))) AS hits FROM (
-    SELECT doc_id, line, list_filter({S.tokenize('line')}, lambda x: length(x) >= 2) AS t FROM (SELECT doc_id, split_part(left(text, 30), chr(10), 1) AS line FROM documents)))""")
+    SELECT doc_id, line, list_filter({S.tokenize('line')}, lambda x: length(x) >= 2) AS t FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)))""")
 def generic_queries(spark, d):
-    lines = read(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 30), "\n")[0].alias("line"))
+    lines = read(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"))
     return lines.select("doc_id", "line", T.too_generic(F.col("line")).alias("generic"))
 
 
