@@ -78,8 +78,8 @@ def trend(history: DataFrame) -> DataFrame:
         "rounds",
         "occupancy_first",
         "occupancy_last",
-        F.round("mean_qe_first", 4).alias("mean_qe_first"),
-        F.round("mean_qe_last", 4).alias("mean_qe_last"),
+        F.round("mean_qe_first", 6).alias("mean_qe_first"),
+        F.round("mean_qe_last", 6).alias("mean_qe_last"),
         F.when(deep, "deepening").otherwise("collapse-risk").alias("trend"),
     )
 

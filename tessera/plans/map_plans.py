@@ -212,7 +212,7 @@ def collapse_alarm(spark, d):
 
 
 @query(_HISTORY + """
-SELECT count(*) AS rounds, min_by(occupancy, round) AS occupancy_first, max_by(occupancy, round) AS occupancy_last, round(min_by(mean_qe, round), 4) AS mean_qe_first, round(max_by(mean_qe, round), 4) AS mean_qe_last,
+SELECT count(*) AS rounds, min_by(occupancy, round) AS occupancy_first, max_by(occupancy, round) AS occupancy_last, round(min_by(mean_qe, round), 6) AS mean_qe_first, round(max_by(mean_qe, round), 6) AS mean_qe_last,
   CASE WHEN max_by(occupancy, round) >= min_by(occupancy, round) AND max_by(vocab_div, round) >= min_by(vocab_div, round) * 0.9 THEN 'deepening' ELSE 'collapse-risk' END AS trend FROM h""")
 def trend_summary(spark, d):
     return X.trend(history(spark, d))
