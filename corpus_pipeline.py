@@ -9,6 +9,8 @@ from tessera.llm import decontaminate, language, linededup, parityjoin, pieces
 from tessera.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A template of so many tokens recurs from two documents on.
+PAIR_TOKENS = 20
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -16,6 +18,11 @@ def _recount(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _without_dropped(left: DataFrame) -> DataFrame:
+    """What line dedup leaves, without the documents of which nothing is left."""
+    return _recount(left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; a missing lang is filled in. Without any labelled text all stay."""
     content = language.dictionaries(docs)
@@ -27,8 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs; those of which nothing is left go."""
-    left = linededup.drop_lines(docs.select(*COLUMNS))
-    return _recount(left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return _without_dropped(linededup.drop_lines(docs.select(*COLUMNS)))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +48,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.contaminated(docs.select(*COLUMNS), items).where(~F.col("contaminated")).select(*COLUMNS)
 
 
+def drop_long_lines_of_pairs(docs: DataFrame) -> DataFrame:
+    """Documents without the long lines whose template a document before has; those of which nothing is left go.
+
+    This comes after the joins that drop whole documents: before them it would make fragments of near copies, and a line
+    would go with its only other document.
+    """
+    return _without_dropped(linededup.drop_lines(docs.select(*COLUMNS), min_docs=2, min_tokens=PAIR_TOKENS))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces, and whether these decode to the text."""
-    coded = pieces.encode(docs.select(*COLUMNS))
+    """Documents, less the long lines that two of them still share, with the ids of their pieces, and whether these decode to the text."""
+    coded = pieces.encode(drop_long_lines_of_pairs(docs))
     return coded.select(*COLUMNS, "piece_ids", F.col("piece_text").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

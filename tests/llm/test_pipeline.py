@@ -28,3 +28,17 @@ def test_empty_documents(spark):
     for _, stage in P.STAGES:
         before = stage(spark, before, sf)
     assert before.count() == 0
+
+
+def test_long_line_of_two_documents_stays_once(spark):
+    def words(name, n):
+        return " ".join(f"{name}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+
+    shared, other = words("shared", 60), words("other", 60)
+    texts = [f"{words('first', 90)}\n{shared}\nshort line here", f"{shared}\n{words('second', 90)}\nshort line here", other, f"{words('third', 90)}\n{other}"]
+    before = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES[1:]:
+        before = stage(spark, before, "/root/testdata/sf0.001")
+    got = {r["doc_id"]: r for r in before.collect()}
+    assert {i: r["text"] for i, r in got.items()} == {0: texts[0], 1: f"{words('second', 90)}\nshort line here", 2: other, 3: words("third", 90)}
+    assert all(r["n_chars"] == len(r["text"]) and r["round_trip"] for r in got.values())
