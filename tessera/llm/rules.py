@@ -4,7 +4,7 @@ Two histograms of a document are compared with references of its language by the
 1): its characters by class, and its common words, with all others as one bin. The references are counted over all
 documents: a language's common words are those of at most `COMMON_LETTERS` letters that make up `COMMON_SHARE` of the
 language's words or more, which bounds their number. Documents without a language, or with a rare one, are compared
-with all languages' counts together.
+with each reference, and with all languages' counts together; the nearest one counts (by the sum of both distances).
 
 A document fails the base rules if it has under 50 words, or if over half of them stand in three-word windows that
 occur twice or more in it. It's kept if it passes them and neither distance exceeds its bound; the distances count
@@ -80,8 +80,9 @@ def class_counts(text: Column) -> Column:
     return let(F.regexp_replace(text, "[a-z]+", ""), counts)
 
 
-def _references(docs: DataFrame) -> tuple[DataFrame, tuple]:
-    """By language, shares of the classes of characters and hashes and shares of common words; and those of all languages."""
+def _references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """ref_lang, refs: each reference, as shares of the classes of characters and hashes and shares of common words; those
+    of all languages, and last of all together, under null. And the languages that have one."""
     names = [*CLASSES, "beyond"]
     chars = docs.select("lang", class_counts(F.col("text")).alias("c"), F.size(words_of(F.col("text"))).alias("n"))
     sums = chars.groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(name) for i, name in enumerate(names)), F.sum("n").alias("n")).collect()
@@ -94,23 +95,30 @@ def _references(docs: DataFrame) -> tuple[DataFrame, tuple]:
     # COMMON_SHARE bounds what is collected: 1 / COMMON_SHARE words for each language. A word common over all languages
     # together reaches that share in one of them.
     limit = F.lit(grand) if n_of is None else F.coalesce(F.try_element_at(n_of, F.col("lang")), F.lit(size.get(None) or 0))
-    rows = counts.where(F.col("count") >= COMMON_SHARE * limit).select("lang", "word", F.xxhash64("word").alias("h"), "count").collect()
+    by_word = counts.groupBy("word").agg(
+        F.sum("count").alias("every"),
+        F.collect_list(F.when(F.col("count") >= COMMON_SHARE * limit, F.struct("lang", "count"))).alias("langs"),
+    )
+    rows = by_word.where(F.size("langs") > 0).select(F.xxhash64("word").alias("h"), "every", "langs").collect()
     total_chars = sum(map(sum, by_lang.values()))
-    common: dict[int, int] = {}
+    common: dict = {}
     for r in rows:
-        common[r["h"]] = common.get(r["h"], 0) + r["count"]
+        for x in r["langs"]:
+            common.setdefault(x["lang"], {})[r["h"]] = x["count"]
 
     def shares(chars: list[int], words: dict[int, int], n: int) -> tuple:
         order = sorted(words)
         return [c / max(1, sum(chars)) for c in chars], order, [words[h] / max(1, n) for h in order]
 
-    every = shares([sum(x) for x in zip(*by_lang.values(), strict=True)] or [0] * len(names), {h: c for h, c in common.items() if c >= COMMON_SHARE * grand}, grand)
-    table = [
-        (lang, *shares(counts, {r["h"]: r["count"] for r in rows if r["lang"] == lang}, size[lang]))
+    every = shares([sum(x) for x in zip(*by_lang.values(), strict=True)] or [0] * len(names), {r["h"]: r["every"] for r in rows if r["every"] >= COMMON_SHARE * grand}, grand)
+    table = {
+        lang: shares(counts, common.get(lang, {}), size[lang])
         for lang, counts in by_lang.items()
         if lang is not None and sum(counts) >= RARE * total_chars and sum(counts)
-    ]
-    return docs.sparkSession.createDataFrame(table, "ref_lang string, ref_chars array<double>, ref_hashes array<long>, ref_words array<double>"), every
+    }
+    refs = [*((lang, [r]) for lang, r in table.items()), (None, [*table.values(), every])]
+    schema = "ref_lang string, refs array<struct<chars: array<double>, hashes: array<long>, words: array<double>>>"
+    return docs.sparkSession.createDataFrame(refs, schema), list(table)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -130,25 +138,22 @@ def distance(p: Column, q: Column) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the base counts, base_failed, the two distances (null where too short) and kept."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    refs, every = _references(rows)
-    chars, hashes, shares = every
-    joined = rows.join(F.broadcast(refs), F.col("lang") == F.col("ref_lang"), "left").select(  # one row for each language that isn't rare
-        "id",
-        "text",
-        F.coalesce("ref_chars", F.array(*map(F.lit, chars)).cast("array<double>")).alias("ref_chars"),
-        F.coalesce("ref_hashes", F.array(*map(F.lit, hashes)).cast("array<long>")).alias("ref_hashes"),
-        F.coalesce("ref_words", F.array(*map(F.lit, shares)).cast("array<double>")).alias("ref_words"),
-    )
+    refs, langs = _references(rows)
+    own = F.when(F.col("lang").isin(langs), F.col("lang"))
+    joined = rows.join(F.broadcast(refs), own.eqNullSafe(F.col("ref_lang"))).select("id", "text", "refs")  # one row for each language that isn't rare, and one
     text = F.col("text")
 
     def measure(w: Column) -> Column:
         def with_hashes(h: Column) -> Column:
             n = F.size(h)
-            counts = F.transform(F.col("ref_hashes"), lambda q: (n - F.size(F.array_remove(h, q))) / F.greatest(n, F.lit(1)))
+
+            def far(r: Column) -> Column:
+                return distance(F.transform(r.hashes, lambda q: (n - F.size(F.array_remove(h, q))) / F.greatest(n, F.lit(1))), r.words)
+
             return F.struct(
                 n.cast("long").alias("n_words"),
                 covered_by_repeats(h).alias("n_repeat_words"),
-                distance(counts, F.col("ref_words")).alias("words"),
+                F.transform("refs", far).alias("words"),
             )
 
         return let(F.transform(w, lambda x: F.xxhash64(x)), with_hashes)
@@ -162,7 +167,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return F.struct(
             (F.length(text) - F.get(c, F.lit(space))).cast("long").alias("word_chars"),
             F.get(c, F.lit(n_classes)).alias("n_symbols"),
-            distance(shares, F.col("ref_chars")).alias("chars"),
+            let(shares, lambda p: F.transform("refs", lambda r: distance(p, r.chars))).alias("chars"),
         )
 
     measured = joined.select(
@@ -172,7 +177,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         let(class_counts(text), of_characters).alias("c"),
     )
     n, rep = F.col("m.n_words"), F.col("m.n_repeat_words")
-    judged = measured.select(
+    each = F.zip_with("m.words", "c.chars", lambda w, c: F.struct((w + c).alias("sum"), w.alias("words"), c.alias("chars")))
+    judged = measured.withColumn("js", F.array_min(each)).select(
         F.col("id").alias(id_col),
         n.alias("n_words"),
         "c.word_chars",
@@ -180,8 +186,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "n_dup_lines",
         rep.alias("n_repeat_words"),
         ((n < 50) | (rep * 100 > n * 50)).alias("base_failed"),
-        F.when(F.col("c.word_chars") >= MIN_CHARS, F.col("c.chars")).alias("js_chars"),
-        F.when(n >= MIN_WORDS, F.col("m.words")).alias("js_words"),
+        F.when(F.col("c.word_chars") >= MIN_CHARS, F.col("js.chars")).alias("js_chars"),
+        F.when(n >= MIN_WORDS, F.col("js.words")).alias("js_words"),
     )
 
     def within(d: str, bound: tuple[float, float], size: str) -> Column:

@@ -66,6 +66,29 @@ def test_rules(spark):
     assert rules.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_documents_without_a_language_meet_the_nearest_reference(spark):
+    common = {"en": "the of and to in is that it was for".split(), "de": "der die und zu im ist das es war mit".split(), "fr": "le la et de les est que il un pour".split()}
+
+    def clean(lang, k):
+        return " ".join(f"{common[lang][(i * 7 + k) % 10]} {lang}{'abcdefgh'[i % 8]}{'klmnop'[(i + k) % 6]}word{'stuvwxyz'[(i // 8 + k) % 8]}" for i in range(100))
+
+    rows = [(100 * j + k, clean(lang, k), lang) for j, (lang, n) in enumerate((("en", 60), ("de", 12), ("fr", 12))) for k in range(n)]
+    rows += [(900, clean("de", 3), None), (901, clean("fr", 4), None), (902, clean("de", 5), "xx"), (903, "qwe rty uio " * 3 + " ".join(f"$$ {'#' * (i % 9)} %{i}" for i in range(150)), None)]
+    out = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(rows) and all(out[i]["kept"] for i in (900, 901)) and not out[903]["kept"]
+    assert out[900]["js_words"] <= out[101]["js_words"] + 0.05 and out[101]["kept"]
+
+
+def test_common_words_are_added_up_before_the_share_is_taken(spark):
+    # "so" is 1 % of the words of one language and 0.4 % of the other's
+    rows = [(0, "so " * 10 + "longer " * 990, "aa"), (1, "so " * 4 + "longer " * 996, "bb")]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string").withColumn("text", F.trim("text"))
+    refs, langs = rules._references(docs)
+    by = {r["ref_lang"]: r["refs"] for r in refs.collect()}
+    assert sorted(langs) == ["aa", "bb"] and len(by[None]) == 3
+    assert [list(r["words"]) for r in (by["aa"][0], by["bb"][0], by[None][-1])] == [[0.01], [], [0.007]]
+
+
 def test_distance_bounds(spark):
     one = spark.range(1).select(
         rules.distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("same"),
