@@ -42,9 +42,10 @@ def fold(id_col: Column, n: int) -> Column:
 def dictionaries(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, excerpt: int = EXCERPT) -> dict[str, bytes]:
     """Raw dictionary content by language, most frequent first, from rows (text, lang). About 120 kB each reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = rows.groupBy("lang").count()
     pick = F.xxhash64("text")
-    share = F.least(F.lit(1.0), F.lit(4.0 * docs_per_lang) / F.col("count"))
+    # the share is of distinct texts, so that copies don't eat the sample; it's ample, so an approximate count will do
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct(pick).alias("distinct"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * docs_per_lang) / F.col("distinct"))
     near = (
         rows.join(F.broadcast(counts), "lang")  # one row for each language
         .where(F.pmod(pick, F.lit(1 << 20)) < share * (1 << 20))

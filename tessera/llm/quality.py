@@ -134,7 +134,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sample(texts: DataFrame, most: int) -> np.ndarray:
     """Features of distinct texts, those with the smallest hashes, `most` at most."""
     h = F.xxhash64("text")
-    n = texts.count()
+    n = texts.agg(F.approx_count_distinct(h)).first()[0]  # of distinct texts, so that copies don't eat the sample
     share = min(1.0, 4.0 * most / max(1, n))
     rows = texts.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text", h.alias("h")).dropDuplicates(["h"])
     found = rows.orderBy("h").limit(most).select("text").mapInArrow(_vectors, "x array<float>").toArrow().column("x").combine_chunks()

@@ -319,3 +319,11 @@ def test_keep_one(spark):
 def test_shingles_of_short_texts():
     owner, gram = parityjoin.shingles(Block([b"", b"a", b"a b", b"a b c", b"a b c a b c"]), 3)
     assert np.bincount(owner, minlength=5).tolist() == [0, 1, 1, 1, 3] and len(np.unique(gram)) == 5
+
+
+def test_copies_do_not_eat_the_dictionary_sample(spark):
+    from tessera.llm import language
+
+    rows = [(f"rare text number {i} of many", "aa") for i in range(400)] + [("one copied text of the rare language", "aa")] * 20_000
+    got = language.dictionaries(spark.createDataFrame(rows, "text string, lang string"), docs_per_lang=100)
+    assert got["aa"].count(b"rare text number") >= 95
