@@ -13,12 +13,15 @@ NEAR, LEAST_NOVELTY = 0.85, 0.15
 
 
 def known(candidates: DataFrame, table: DataFrame, id_col: str, block: int = 2_000) -> DataFrame:
-    """id, known: the largest cosine of each candidate with the table; 0 for an empty one. Candidates meet the table in blocks that fit a task."""
-    one = candidates.select(F.col(id_col).alias("id"), F.col("vec")).withColumn("blk", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / block))
-    packed = one.groupBy("blk").agg(F.collect_list(F.struct("id", "vec")).alias("c"))
-    if candidates.count() > 10 * block:
-        raise ValueError("candidates come in micro-batches")
-    pairs = table.select(F.col("vec").alias("tv")).crossJoin(F.broadcast(packed)).select(
+    """id, known: the largest cosine of each candidate with the table; 0 for an empty one.
+
+    Candidates stand in blocks of about `block`, one row each, so a row of the table meets a block and not a candidate.
+    Blocks are broadcast while there are about ten at most.
+    """
+    n = candidates.count()
+    blk = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // block))))
+    packed = candidates.groupBy(blk.alias("blk")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "vec")).alias("c")).select("c")
+    pairs = table.select(F.col("vec").alias("tv")).crossJoin(F.broadcast(packed) if n <= 10 * block else packed).select(
         F.explode(F.transform("c", lambda x: F.struct(x.id.alias("id"), V.cosine(x.vec, F.col("tv")).alias("sim")))).alias("p")
     )
     best = pairs.groupBy("p.id").agg(F.max("p.sim").alias("known"))

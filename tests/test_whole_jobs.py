@@ -17,3 +17,16 @@ def test_unigrams_count_documents_without_a_language(spark, tmp_path):
     spark.createDataFrame([(0, "ab cd", "en"), (1, "ab ef", "de"), (2, "ab gh", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["tok"]: (r["c"], r["total"]) for r in guard_plans.unigram_counts(spark, str(tmp_path)).collect()}
     assert got["ab"] == (3, 12) and got["gh"] == (1, 12)
+
+
+def test_known_takes_any_number_of_candidates(spark):
+    cand = [(i, [math.cos(i), math.sin(i), 0.1 * i]) for i in range(50)]
+    table = [(i, [math.sin(3 * i), 1.0, math.cos(i)]) for i in range(7)]
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b))
+
+    one, other = (spark.createDataFrame(x, "vec_id long, vec array<double>") for x in (cand, table))
+    got = dict(U.known(one, other, "vec_id", block=2).collect())
+    assert got == {i: pytest.approx(max(cosine(v, t) for _, t in table)) for i, v in cand}
+    assert set(dict(U.known(one, other.limit(0), "vec_id", block=2).collect()).values()) == {0.0}
