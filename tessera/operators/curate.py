@@ -50,9 +50,17 @@ def guide_batch(guided: DataFrame, id_col: str) -> DataFrame:
     return guided.where("action = 'learn'").select(id_col, "priority", F.row_number().over(Window.orderBy(F.desc("priority"), id_col)).alias("rank"))
 
 
-def autonomous_queries(assigned: DataFrame, docs: DataFrame, id_col: str, n: int = 3, words: int = 2, most_share: float = 0.3) -> DataFrame:
-    """node_id, query: queries from the nodes with one or two texts. Frequent words of the corpus are left out; nodes come in order of a hash."""
-    size = assigned.groupBy("bmu").agg(F.count(F.lit(1)).alias("n")).where("n <= 2")
+def autonomous_queries(assigned: DataFrame, docs: DataFrame, id_col: str, n: int = 3, words: int = 2, most_share: float = 0.3, nodes: DataFrame | None = None) -> DataFrame:
+    """node_id, query: queries from the nodes with one or two texts or, where there is none, from the 3n nodes with the fewest.
+
+    nodes (node_id): the map, so that its empty nodes are among the fewest; without it all nodes have texts. Frequent words
+    of the corpus are left out; nodes come in order of a hash.
+    """
+    held = assigned.groupBy("bmu").agg(F.count(F.lit(1)).alias("n"))
+    every = held if nodes is None else nodes.select(F.col("node_id").alias("bmu")).join(held, "bmu", "left").select("bmu", F.coalesce("n", F.lit(0)).alias("n"))
+    sparse = held.where("n <= 2").agg((F.count(F.lit(1)) > 0).alias("any"))
+    fewest = every.orderBy("n", "bmu").limit(3 * n).select("bmu", F.lit(True).alias("few"))
+    size = held.join(fewest, "bmu", "left").crossJoin(F.broadcast(sparse)).where(F.when(F.col("any"), F.col("n") <= 2).otherwise(F.col("few"))).select("bmu")  # one row
     toks = corpus.tokens(docs, id_col)
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     rare = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).crossJoin(F.broadcast(total)).where(F.col("g") <= F.col("total") * most_share)  # one row

@@ -305,8 +305,9 @@ SELECT bmu AS node_id, query FROM q2 ORDER BY md5(CAST(bmu AS VARCHAR)) LIMIT 3"
 def autonomous_queries(spark, d):
     items = read(spark, d, "benchmark")
     v = vectors(spark, d).join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    assigned = M.bmu(v, nodes(spark, d)).select(F.col("vec_id").alias("item_id"), "bmu")
-    return U.autonomous_queries(assigned, items, "item_id")
+    grid = nodes(spark, d)
+    assigned = M.bmu(v, grid).select(F.col("vec_id").alias("item_id"), "bmu")
+    return U.autonomous_queries(assigned, items, "item_id", nodes=grid)
 
 
 def policy_log(spark, d):

@@ -30,3 +30,17 @@ def test_known_takes_any_number_of_candidates(spark):
     got = dict(U.known(one, other, "vec_id", block=2).collect())
     assert got == {i: pytest.approx(max(cosine(v, t) for _, t in table)) for i, v in cand}
     assert set(dict(U.known(one, other.limit(0), "vec_id", block=2).collect()).values()) == {0.0}
+
+
+def test_queries_of_a_full_map(spark):
+    word = "alpha bravo carol delta eagle flame grape house igloo joker karma lemon".split()
+    rows = [(10 * node + k, f"{word[node]} x{k}", node) for node in range(12) for k in range(3 + (node >= 9))]
+    table = spark.createDataFrame(rows, "item_id long, text string, bmu int")
+    docs, assigned = table.select("item_id", "text"), table.select("item_id", "bmu")
+    got = U.autonomous_queries(assigned, docs, "item_id").collect()
+    assert len(got) == 3 and all(r["node_id"] < 9 and r["query"] == word[r["node_id"]] for r in got)
+    empty = spark.range(8).select((F.col("id") + 100).alias("node_id")).unionByName(assigned.select(F.col("bmu").cast("long").alias("node_id")).distinct())
+    got = U.autonomous_queries(assigned, docs, "item_id", nodes=empty).collect()
+    assert [(r["node_id"], r["query"]) for r in got] == [(0, "alpha")]
+    one = assigned.where("item_id not in (50, 51)")
+    assert [r["node_id"] for r in U.autonomous_queries(one, docs, "item_id").collect()] == [5]
