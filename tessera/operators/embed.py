@@ -116,13 +116,16 @@ def skip_gram(sentences: DataFrame, dim: int = 32, window: int = 4, negative: in
         p = np.array([count[w] for w in vocab], float) ** 0.75
         p /= p.sum()
         w_in, w_out = rng.uniform(-0.5, 0.5, (len(vocab), dim)) / dim, np.zeros((len(vocab), dim))
+        around = np.array([d for d in range(-window, window + 1) if d])
         ids = [np.array([index[w] for w in t if w in index]) for t in lists]
         for _ in range(epochs):
             for s in (ids[i] for i in rng.permutation(len(ids))):
                 n = len(s)
                 if n < 2:
                     continue
-                i, j = np.nonzero((np.abs(np.arange(n)[:, None] - np.arange(n)) <= window) & ~np.eye(n, dtype=bool))
+                i = np.repeat(np.arange(n), 2 * window)
+                j = i + np.tile(around, n)
+                i, j = i[(j >= 0) & (j < n)], j[(j >= 0) & (j < n)]
                 target = np.concatenate([s[j][:, None], rng.choice(len(vocab), (len(i), negative), p=p)], axis=1)
                 label = np.zeros(target.shape)
                 label[:, 0] = 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import curate as U
 from ..operators import embed as E
@@ -361,15 +362,33 @@ def identity_retention(spark, d):
     return U.identity_retention(vocabulary_retention(spark, d), *_identity(spark, d)).select("retention", *r6("drift", "coherence"), "identity")
 
 
+@query()
+def corpus_hash_vectors(spark, d):
+    """Hash vectors of the documents' words."""
+    words = C.tokens(read(spark, d, "documents")).select(F.col("tok").alias("word")).distinct()
+    return words.select("word", F.posexplode(E.hash_vector(F.col("word"), 8)).alias("dim", "x")).select("word", "dim", *r6("x"))
+
+
+@query()
+def corpus_sentence_mean(spark, d):
+    """Mean vectors of documents; every word is in the vocabulary."""
+    toks = C.tokens(read(spark, d, "documents"))
+    words = toks.select(F.col("tok").alias("word")).distinct().select("word", E.hash_vector(F.col("word"), 8).alias("vec"))
+    return E.sentence_mean(toks, words).select("doc_id", "dim", *r6("x"))
+
+
 @query()
 def skip_gram_training(spark, d):
-    """Skip-gram vectors of the benchmark's words, trained in one group."""
-    s = read(spark, d, "benchmark").select(F.lit("all").alias("grp"), F.col("item_id").alias("seq"), "text")
-    return E.skip_gram(s).select("word", F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 3).alias("norm"))
+    """Skip-gram vectors of the words of the documents' distinct sentences, trained in one group for each language."""
+    parts = read(spark, d, "documents").select(F.coalesce("lang", F.lit("und")).alias("grp"), "doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "s"))
+    kept = parts.select("grp", "doc_id", "pos", F.trim("s").alias("text")).where(T.keep_sentence(F.col("text")))
+    s = C.keep_first(kept, F.struct("grp", "text"), ["doc_id", "pos"])
+    s = s.select("grp", F.format_string("%020d %010d", F.coalesce("doc_id", F.lit(-1)), "pos").alias("seq"), "text")
+    return E.skip_gram(s).select("grp", "word", F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 3).alias("norm"))
 
 
 @query()
 def generator_vectors(spark, d):
-    """Vectors of the benchmark's words from numpy's generator."""
-    words = C.tokens(read(spark, d, "benchmark"), "item_id").select(F.col("tok").alias("word"))
+    """Vectors of the documents' words from numpy's generator."""
+    words = C.tokens(read(spark, d, "documents")).select(F.col("tok").alias("word"))
     return E.generator_vectors(words, 8).select("word", F.round(F.col("vec")[0], 6).alias("first"))

@@ -239,6 +239,12 @@ def skip_gram_pairs(spark, d):
     return C.skip_gram_pairs(read(spark, d, "benchmark"), 2, "item_id")
 
 
+@query()
+def corpus_skip_gram_pairs(spark, d):
+    """Pairs of the documents' words."""
+    return C.skip_gram_pairs(read(spark, d, "documents"), 2)
+
+
 @query(f"""WITH t AS ({S.tokens('documents')}), n AS (SELECT greatest(5, CAST(floor(0.3 * count(*)) AS BIGINT)) AS k FROM documents),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents),
 top AS (SELECT tok, count(*) AS c FROM t JOIN r USING (doc_id), n WHERE seq < k GROUP BY tok ORDER BY c DESC, tok LIMIT 100)

@@ -44,3 +44,36 @@ def test_queries_of_a_full_map(spark):
     assert [(r["node_id"], r["query"]) for r in got] == [(0, "alpha")]
     one = assigned.where("item_id not in (50, 51)")
     assert [r["node_id"] for r in U.autonomous_queries(one, docs, "item_id").collect()] == [5]
+
+
+TEXTS = [(0, "the cat saw a cat. it is so", "en"), (1, "der hund ist so da", "de"), (2, "the cat is here", None), (3, None, "en")]
+
+
+@pytest.fixture
+def corpus(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_corpus_queries_equal_brute_force(spark, corpus):
+    docs = {r["doc_id"]: r["t"] for r in spark.read.parquet(f"{corpus}/documents.parquet").select("doc_id", T.tokenize(F.col("text")).alias("t")).collect() if r["t"]}
+    pairs = Counter((t[i], t[j]) for t in docs.values() for i in range(len(t)) for j in range(len(t)) if 1 <= abs(i - j) <= 2)
+    assert {(r["center"], r["context"]): r["n"] for r in registry.QUERIES["corpus_skip_gram_pairs"](spark, corpus).collect()} == pairs
+    vec: dict = {}
+    for r in registry.QUERIES["corpus_hash_vectors"](spark, corpus).collect():
+        vec.setdefault(r["word"], {})[r["dim"]] = r["x"]
+    words = {w for t in docs.values() for w in t}
+    assert set(vec) == words and "so" in words and all(len(v) == 8 for v in vec.values())
+    got = {(r["doc_id"], r["dim"]): r["x"] for r in registry.QUERIES["corpus_sentence_mean"](spark, corpus).collect()}
+    assert got == {(i, k): pytest.approx(sum(vec[w][k] for w in t) / len(t), abs=3e-6) for i, t in docs.items() for k in range(8)}
+    assert {r["word"] for r in registry.QUERIES["generator_vectors"](spark, corpus).collect()} == words
+
+
+def test_skip_gram_trains_on_every_language_of_the_documents(spark, tmp_path):
+    def text(lang, k):
+        return " ".join(f"{lang}word{chr(97 + (k * 5 + i * i) % 14)}" for i in range(12)) + "."
+
+    rows = [(k, text(lang or "no", k), lang) for k, lang in enumerate(["en", "de", None] * 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["skip_gram_training"](spark, str(tmp_path)).collect()
+    assert {(r["grp"], r["word"][:2]) for r in got} == {("en", "en"), ("de", "de"), ("und", "no")} and all(r["norm"] == pytest.approx(1, abs=2e-3) for r in got)
