@@ -2,17 +2,23 @@
 
 A document's set has the distinct hashes of its word n-grams. In a band of sizes, a sketch of p blocks is kept for each
 set: every member flips one bit of one block, so the Hamming distance of two sketches is at most the sets' symmetric
-difference. Sets whose Jaccard similarity reaches the threshold differ in at most T members, T given by their sizes;
-with p = T + 1 blocks at least one block is equal (pigeonhole). A block has 2**16 bits and is named by the exclusive or
-of a random number for each bit that is set. Bands are so wide that a partner is in the same band or the next, and every
-set is sketched for its own band and the one below.
+difference. Sets whose Jaccard similarity reaches the threshold differ in at most T members, T given by their sizes, so
+all but T blocks are equal (pigeonhole). A block has 2**16 bits and is named by the exclusive or of a random number for
+each bit that is set. Bands are so wide that a partner is in the same band or the next, and every set is sketched for its
+own band and the one below.
+
+Blocks without a set bit are equal in very many sets and say nothing, so they are not joined. With p = T + 1 + k blocks
+two similar sets still share a block with bits, if one of the two has k empty blocks at most; k is chosen so that nearly
+every set has. The sets that have more are sketched once more with other hashes, and so on; two of them meet there. What
+is left after `SEEDS` sketches (with thresholds so low that no sketch can do) joins by its empty blocks as well, so the
+join is exact at every threshold.
 
 Sets that share a block are candidates; each candidate's exact similarity is verified. What is wanted is classes of
 linked documents, so candidates that earlier links have joined already need no test. In every block's group, the
-members are tested against a leader (the one in most groups) and the linked ones join; groups that still hold
-several classes go on with the next leader, `STARS` leaders in all. After these, the members that are left are joined by their rarest
-n-grams (a prefix filter, exact as well) and compared pair by pair. No link between different classes is lost, and
-large groups of near copies cost a few tests for each member.
+members are tested against a leader (the one with the least hash, which leads most groups that it is in) and the linked
+ones join. Members of groups that still hold several classes are joined by their rarest n-grams (a prefix filter, exact
+as well) and compared pair by pair. No link between different classes is lost, and large groups of near copies cost a
+few tests for each member.
 
 Documents with equal sets are one node. Shuffles carry hashes; the sets themselves travel only for candidates. Tables
 are broadcast behind a count of their rows, and joined by a shuffle beyond.
@@ -24,6 +30,7 @@ without any id has a null one. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +45,8 @@ from .workspace import Workspace
 BROADCAST_ROWS = 2_000_000
 #: Members of all leaders' sets together that are broadcast at most.
 BROADCAST_MEMBERS = 4_000_000
-#: Leaders of a group, before its rest is joined by rare n-grams.
-STARS = 1
+#: Sketches of a set with too many empty blocks, before these are joined too.
+SEEDS = 8
 #: 64-bit words of the short sketch that rules out pairs before their sets are read.
 WORDS = 16
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -72,6 +79,7 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.low = percent, [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def _reach(self, size: int) -> None:
         while self.low[-1] <= size:
@@ -81,31 +89,55 @@ class Bands:
         self._reach(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.low), sizes, "right") - 1
 
-    def blocks(self, band: int) -> int:
-        """One more than the largest symmetric difference of a similar pair whose smaller set is in the band."""
-        while len(self.low) < band + 3:
-            self.low.append(100 * self.low[-1] // self.percent + 1)
-        a, b = self.low[band + 1] - 1, self.low[band + 2] - 1
-        return (100 - self.percent) * (a + b) // (100 + self.percent) + 1
-
+    def widths(self, band: int) -> tuple[int, int]:
+        """Blocks of a sketch in the band, and how many of them may be empty.
 
-def sketches(owner: np.ndarray, gram: np.ndarray, sizes: np.ndarray, bands: Bands, below: int) -> tuple[np.ndarray, np.ndarray]:
+        There is one more than the largest symmetric difference of a similar pair whose smaller set is in the band, and
+        one for each that may be empty: as many as make the fewest blocks in all, with those of the sets sketched again.
+        """
+        if band not in self.known:
+            while len(self.low) < band + 3:
+                self.low.append(100 * self.low[-1] // self.percent + 1)
+            size, a, b = self.low[band], self.low[band + 1] - 1, self.low[band + 2] - 1
+            least = (100 - self.percent) * (a + b) // (100 + self.percent) + 1
+            best, k = (math.inf, 0), 0
+            while least + k < best[0]:
+                p = least + k
+                mean = p * (1 - 1 / p) ** size
+                fit = math.fsum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k + 1)) if mean else 1.0
+                best = min(best, (p / max(fit, 1e-9), k))
+                k += 1
+            self.known[band] = (least + best[1], best[1])
+        return self.known[band]
+
+
+def sketches(owner: np.ndarray, gram: np.ndarray, sizes: np.ndarray, bands: Bands, below: int, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
     """Owners and names of the sketch blocks for each set's band less `below`; sets without such a band have none."""
     band = bands.of(np.maximum(1, sizes)) - below
-    fit = (band >= 0) & (sizes > 0)
-    width = np.array([bands.blocks(b) for b in range(int(band.max(initial=-1)) + 1)] or [1], np.int64)
-    p = np.where(fit, width[np.maximum(band, 0)], 0)
-    start = np.cumsum(p) - p
-    keep = fit[owner]
-    o, g = owner[keep], gram[keep]
-    h = mix(g ^ np.uint64(0xA24BAED4963EE407))
-    block = (h >> np.uint64(32)) * p[o].astype(np.uint64) >> np.uint64(32)
-    bit = h & np.uint64(0xFFFF)
-    out = np.zeros(int(p.sum()), np.uint64)
-    np.bitwise_xor.at(out, start[o] + block.astype(np.int64), mix(bit + np.uint64(1)))
-    who = np.repeat(np.arange(len(sizes)), p)
-    where = np.arange(len(out)) - start[who]
-    return who, mix(out ^ mix((band[who].astype(np.uint64) << np.uint64(32)) + where.astype(np.uint64) + np.uint64(7)))
+    pending = (band >= 0) & (sizes > 0)
+    table = np.array([bands.widths(b) for b in range(int(band.max(initial=-1)) + 1)] or [(1, 0)], np.int64)
+    width, spare = table[np.maximum(band, 0)].T
+    owners, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for seed in range(seeds):
+        p = np.where(pending, width, 0)
+        start = np.cumsum(p) - p
+        keep = pending[owner]
+        o, g = owner[keep], gram[keep]
+        h = mix(g ^ np.uint64(0xA24BAED4963EE407 + (seed << 1)))
+        block = (h >> np.uint64(32)) * p[o].astype(np.uint64) >> np.uint64(32)
+        out = np.zeros(int(p.sum()), np.uint64)
+        np.bitwise_xor.at(out, start[o] + block.astype(np.int64), mix((h & np.uint64(0xFFFF)) + np.uint64(1)))
+        who = np.repeat(np.arange(len(sizes)), p)
+        where = np.arange(len(out)) - start[who]
+        name = mix(out ^ mix((band[who].astype(np.uint64) << np.uint64(32)) + (where * seeds + seed).astype(np.uint64) + np.uint64(7)))
+        empty = out == 0
+        pending &= np.bincount(who[empty], minlength=len(sizes)) > spare
+        full = ~empty | (pending[who] if seed == seeds - 1 else False)
+        owners.append(who[full])
+        names.append(name[full])
+        if not pending.any():
+            break
+    return np.concatenate(owners), np.concatenate(names)
 
 
 def parities(owner: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
@@ -194,29 +226,29 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     table = ws.stage(_sets(rows, n), "table")
-    sigs = ws.stage(_blocks(rows.select("text"), n, percent).groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sig"), "shared")
-    members = ws.stage(_blocks(rows.select("text"), n, percent).join(small(sigs), "sig").distinct(), "members-plain")
-    degree = ws.stage(members.groupBy("id").agg(F.count(F.lit(1)).alias("c")), "degree")
-    members = ws.stage(members.join(small(degree), "id").select("sig", "id", "c"), "members")
-    ws.drop("shared", "members-plain")
-
-    # the sets of the candidates, each from one of the rows that have it
-    one = table.join(small(degree).select(F.col("id").alias("a")), "a").groupBy("a").agg(F.min("doc_id").alias("doc_id"))
-    one = ws.stage(one, "chosen")
-    texts = rows.join(small(one), rows.doc_id.eqNullSafe(one.doc_id)).select("text", "a")
-    sets = _members(texts.select("text"), n)
-    sets = ws.stage(sets.join(small(degree).select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    blocks_of = _blocks(rows.select("text"), n, percent)
+    shared = blocks_of.groupBy("sig").agg(F.min("id").alias("u"), F.max("id").alias("other")).where("u <> other").select("sig", "u")
+    shared = ws.stage(shared, "shared")
+    members = ws.stage(blocks_of.join(small(shared), "sig").select("sig", "id", "u").distinct(), "members")
+    nodes = ws.stage(members.select("id").distinct(), "nodes")
+
+    # the sets of the candidates, each from the rows of one text and id that have it
+    one = table.join(small(nodes.select(F.col("id").alias("a"))), "a").groupBy("a").agg(F.min(F.struct("k", "doc_id")).alias("of"))
+    one = ws.stage(one.select("of.k", F.col("of.doc_id").alias("of_id")), "chosen")
+    texts = rows.withColumn("k", F.xxhash64("text")).join(small(one), (F.col("doc_id").eqNullSafe(F.col("of_id"))) & (F.col("k") == one.k)).select("text")
+    sets = ws.stage(_members(texts, n).join(small(nodes), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    ws.drop("shared", "chosen")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) whose similarity reaches the threshold; there are few different u."""
-        left = ws.stage(sets.join(pairs.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.col("set").alias("su")), f"leaders-{step}")
+        left = ws.stage(sets.join(pairs.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.col("set").alias("su")), f"{name}-leaders")
         held = left.agg(F.coalesce(F.sum(F.size("su")), F.lit(0))).first()[0]
         both = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(F.broadcast(left) if held <= BROADCAST_MEMBERS else left, "u")
         shared = F.size(F.array_intersect("su", "sv"))
         return both.where(shared * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
 
     def prefix_pairs(left: DataFrame) -> DataFrame:
-        """Candidates (u, v, lu, label) of different classes among the (id, label) that stars left over.
+        """Candidates (u, v, lu, label) of different classes among the (id, label) that the star left over.
 
         Similar sets share one of their first members in any one order of all members (prefix filter). The order here
         has rare members first, so what an edit brought in stands in the prefix, and what thousands of near copies have
@@ -238,29 +270,25 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         near = apart * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent)
         return first.join(other, "e").where((F.col("label") < F.col("lu")) & sizes & near).select("u", F.col("id").alias("v"), "lu", "label")
 
-    labels = degree.select("id", F.col("id").alias("label"))
-    rest = members.withColumn("label", F.col("id"))
-    step = 0
-    while True:
-        if step < STARS:
-            top = ws.stage(rest.groupBy("sig").agg(F.max(F.struct("c", "id", "label")).alias("top")).select("sig", F.col("top.id").alias("u"), F.col("top.label").alias("lu")), f"top-{step}")
-            pairs = rest.join(top, "sig").where("label <> lu").select("u", F.col("id").alias("v"), "lu", "label")
-        else:
-            pairs = prefix_pairs(rest.select("id", "label").distinct())
-        pairs = ws.stage(pairs.distinct(), f"pairs-{step}")
-        links = ws.stage(verified(pairs.select("u", "v")).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct(), f"links-{step}")
+    def joined(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """(id, label) after the links among the pairs (u, v, lu, label)."""
+        pairs = ws.stage(pairs.distinct(), f"{name}-pairs")
+        links = verified(pairs.select("u", "v"), name).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct()
+        links = ws.stage(links, f"{name}-links")
         if not links.isEmpty():
-            merged = components(ws, links, f"cc-{step}").select(F.col("id").alias("label"), F.col("label").alias("to"))
-            labels = ws.stage(labels.join(small(merged), "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"labels-{step}")
-        if step >= STARS:
-            break
-        rest = rest.join(top, "sig").where("id <> u").select("sig", "id", "c").join(small(labels), "id")
-        rest = ws.stage(rest.select("sig", "id", "c", "label"), f"rest-{step}-all")
-        open_sigs = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), f"open-{step}")
-        if open_sigs.isEmpty():
-            break
-        rest = ws.stage(rest.join(small(open_sigs), "sig", "left_semi"), f"rest-{step}")
-        step += 1
+            merged = components(ws, links, f"{name}-merged").select(F.col("id").alias("label"), F.col("label").alias("to"))
+            labels = ws.stage(labels.join(small(merged), "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+        ws.drop(f"{name}-pairs", f"{name}-leaders", f"{name}-links")
+        return labels
+
+    labels = nodes.select("id", F.col("id").alias("label"))
+    star = members.where("id <> u").select("u", F.col("id").alias("v")).distinct()
+    labels = joined(labels, star.select("u", "v", F.col("u").alias("lu"), F.col("v").alias("label")), "star")
+    rest = members.where("id <> u").select("sig", "id").join(small(labels), "id")
+    mixed = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "mixed")
+    if not mixed.isEmpty():
+        labels = joined(labels, prefix_pairs(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct()), "rest")
+    ws.drop("members", "nodes", "sets", "mixed", "left", "each", "kinds", "prefixes")
 
     smallest = table.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     smallest = ws.stage(smallest, "classes")
