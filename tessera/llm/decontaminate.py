@@ -6,12 +6,16 @@ benchmark fingerprints are joined; each text that shares one is extended to all
 an item holds too, found by a join on the windows' hashes. An item of fewer than 10 words is one window of its length;
 its whole-length gram joins the fingerprints.
 
+Windows of equal item lists are one group, and a text's hits carry the groups' names, once each: a window in many items
+and many places costs a row for each place, not for each pair.
+
 Words are runs of letters, digits and characters beyond ASCII, in lower case (A-Z only). Only 64-bit hashes of words
 and windows travel; texts are keyed by 128 bits of hash, so copies are extended once. Texts of the candidates alone
 are shuffled. Benchmark tables are broadcast while they have `BROADCAST_ROWS` rows or fewer and shuffled beyond.
 
 Null texts and texts without words have no hits; items likewise. Repeated rows get the same result each; null ids are
-kept. With an empty benchmark nothing is hit. Columns of the documents are kept; those of the result's names are replaced.
+kept. With an empty benchmark nothing is hit. Columns of the documents are kept, whatever their names; those of the
+result's names are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import let
-from .workspace import Workspace
+from .workspace import Workspace, spare_names
 
 WINDOW, K = 10, 5
 BROADCAST_ROWS = 2_000_000
+#: Item ids of all hits together that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -82,11 +88,14 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_c
         item_prints = item_prints.when(F.size(own) == n, grams(own, n))
         item_windows = item_windows.when(F.size(own) == n, grams(own, n))
     fingerprints = _small(ws.stage(bench.select(F.explode(item_prints).alias("f")).distinct(), "fingerprints"))
-    windows = _small(ws.stage(bench.select("item_id", F.explode(item_windows).alias("g")).distinct(), "windows"))
+    of_items = ws.stage(bench.select("item_id", F.explode(item_windows).alias("g")).distinct(), "item-windows")
+    listed = ws.stage(of_items.groupBy("g").agg(F.array_sort(F.collect_set("item_id")).alias("ids")), "listed")
+    groups = ws.stage(listed.groupBy("ids").agg(F.min("g").alias("group")), "groups")
+    windows = _small(ws.stage(listed.join(groups, "ids").select("g", "group"), "windows"))
 
     text = F.col(text_col)
-    key = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
-    keyed = docs.select(*key, text.alias("text")).where(F.col("text").isNotNull())
+    key = [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+    keyed = docs.select(key[0].alias("k1"), key[1].alias("k2"), text.alias("text")).where(F.col("text").isNotNull())
     hit = (
         keyed.select("k1", "k2", F.explode_outer(let(hashes(F.col("text")), prints)).alias("f"))
         .join(fingerprints, "f")
@@ -100,7 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_c
         .select("k1", "k2", "s.*")
         .join(windows, "g")
         .groupBy("k1", "k2")
-        .agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("at"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+        .agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("at"), F.collect_set("group").alias("groups"))
     )
     covered = F.aggregate(
         "at",
@@ -111,11 +120,17 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_c
         ),
         lambda a: a["sum"].cast("long"),
     )
-    hits = ws.stage(found.select("k1", "k2", covered.alias("n_hit"), "item_ids"), "hits")
     new = ("n_words", "n_hit", "item_ids", "contaminated")
     kept = docs.drop(*new)
+    k1, k2 = spare_names(docs, "k1", "k2")
+    hits = ws.stage(found.select("k1", "k2", covered.alias("n_hit"), "groups"), "covered")
+    ids = hits.select("k1", "k2", F.explode("groups").alias("group")).join(_small(groups.select("group", F.explode("ids").alias("item_id"))), "group")
+    ids = ids.select("k1", "k2", "item_id").distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    hits = ws.stage(hits.join(ids, ["k1", "k2"]).select(F.col("k1").alias(k1), F.col("k2").alias(k2), "n_hit", "item_ids"), "hits")
+    rows, names = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()
     words = F.size(F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _SPLIT), "")).cast("long")
-    joined = kept.select(*kept.columns, words.alias("n_words"), *key).join(_small(hits), ["k1", "k2"], "left")
+    keyed_docs = kept.withColumns({"n_words": words, k1: key[0], k2: key[1]})
+    joined = keyed_docs.join(F.broadcast(hits) if rows <= BROADCAST_ROWS and names <= BROADCAST_IDS else hits, [k1, k2], "left")
     return joined.select(
         *kept.columns,
         "n_words",

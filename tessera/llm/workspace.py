@@ -19,6 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "checkpoints", "tessera")
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, made longer where df has a column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Workspace:
     """Writes intermediate tables, so that a lost executor costs a re-read and not a recomputation of the lineage."""
 
