@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     # the sets of the candidates, each from the rows of one text and id that have it
     one = table.join(small(nodes.select(F.col("id").alias("a"))), "a").groupBy("a").agg(F.min(F.struct("k", "doc_id")).alias("of"))
-    one = ws.stage(one.select("of.k", F.col("of.doc_id").alias("of_id")), "chosen")
-    texts = rows.withColumn("k", F.xxhash64("text")).join(small(one), (F.col("doc_id").eqNullSafe(F.col("of_id"))) & (F.col("k") == one.k)).select("text")
+    one = ws.stage(one.select(F.col("of.k").alias("of_k"), F.col("of.doc_id").alias("of_id")), "chosen")
+    texts = rows.withColumn("k", F.xxhash64("text")).join(small(one), (F.col("doc_id").eqNullSafe(F.col("of_id"))) & (F.col("k") == F.col("of_k"))).select("text")
     sets = ws.stage(_members(texts, n).join(small(nodes), "id", "left_semi").dropDuplicates(["id"]), "sets")
     ws.drop("shared", "chosen")
 
@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     mixed = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "mixed")
     if not mixed.isEmpty():
         labels = joined(labels, prefix_pairs(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct()), "rest")
-    ws.drop("members", "nodes", "sets", "mixed", "left", "each", "kinds", "prefixes")
+    # the nodes stay: without any link the labels are read from them
+    ws.drop("members", "sets", "mixed", "left", "each", "kinds", "prefixes")
 
     smallest = table.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     smallest = ws.stage(smallest, "classes")
