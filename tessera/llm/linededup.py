@@ -9,11 +9,13 @@ are left, the line itself is the template.)
 A template recurs if lines of `min_docs` documents have it. Its first line (by doc_id and place) stays; the others are
 dropped, so no content goes altogether. Lines of fewer than `min_tokens` tokens are never dropped.
 
-Only hashes of templates are shuffled: once to count them, with partial sums first, so that a line in a third of all
-documents is no burden; and once more to find their lines if they are more than `BROADCAST_ROWS`.
+The templates of all lines are computed once and staged as hashes. These are shuffled: once to count them, with partial
+sums first, so that a line in a third of all documents is no burden; and once more to find their lines if they are more
+than `BROADCAST_ROWS`.
 
-Null texts stay null; empty texts stay empty; blank lines stay. Rows that are equal in id and text are one document, and
-each of them gets its result. Null ids come first. Extra columns are kept; columns named as the result's are replaced.
+Null texts stay null; empty texts stay empty; blank lines stay. Rows that are equal in id and text are one document, which
+counts once, and each of them gets its result. Null ids come first. Extra columns of any name are kept, but for columns
+named as the result's, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import let
-from .workspace import Workspace
+from .workspace import Workspace, spare_names
 
 DEPTH, MIN_DOCS, MIN_TOKENS = 3, 3, 3
 BROADCAST_ROWS = 500_000
@@ -52,41 +54,56 @@ def templates(text: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) ->
         tokens = F.array_remove(F.split(F.regexp_replace(line, _FIELD, "<*>"), _SPLIT), "")
         return let(tokens, lambda t: _templates(t, at, depth, min_tokens))
 
-    return F.array_sort(F.flatten(F.transform(F.split(text, "\n"), of_line)))
+    return F.sort_array(F.flatten(F.transform(F.split(text, "\n"), of_line)))
+
+
+def _one_of_each(ws: Workspace, keyed: DataFrame) -> DataFrame:
+    """keyed with one of the rows that are equal in both keys. Such rows are found by their keys alone."""
+    repeated = ws.stage(keyed.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
+    n = repeated.count()
+    if not n:
+        return keyed
+    repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    first = keyed.join(repeated, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("all").alias("all"))
+    return keyed.join(repeated, ["k1", "k2"], "left_anti").unionByName(first)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text less its dropped lines, and with n_lines and n_dropped."""
     ws = Workspace(docs.sparkSession, "linededup")
     text = F.col(text_col)
-    key = [F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit("second"), F.col(id_col), text).alias("k2")]
-    keyed = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), *key, templates(text, depth, min_tokens).alias("all"))
+    key = [F.xxhash64(F.col(id_col), text), F.xxhash64(F.lit("second"), F.col(id_col), text)]
+    keyed = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), key[0].alias("k1"), key[1].alias("k2"), templates(text, depth, min_tokens).alias("all"))
+    keyed = ws.stage(keyed, "templates")
+    keyed = _one_of_each(ws, keyed)
     # within a document a template counts once, where it stands first
     once = F.filter("all", lambda x, i: (i == 0) | (x["key"] != F.get("all", i - 1)["key"]))
-    # explode_outer: plain explode would have the optimizer add a filter that computes the templates once more
-    seen = keyed.select("id", "k1", F.explode_outer(once).alias("t")).where("t is not null").select("t.key", F.struct("id", "t.at", "k1").alias("place"), F.col("k1").alias("doc"))
-    recurring = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    recurring = ws.stage(recurring.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi"))).select("key", "first"), "recurring")
+    # explode_outer: plain explode would have the optimizer add a filter that computes this once more
+    seen = keyed.select("id", "k1", F.explode_outer(once).alias("t")).where("t is not null").select("t.key", F.struct("id", "t.at", "k1").alias("place"))
+    recurring = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    recurring = ws.stage(recurring.where(F.col("n") >= min_docs).select("key", "first"), "recurring")
     small = recurring.count() <= BROADCAST_ROWS
-    lines = keyed.select("id", "k1", "k2", F.explode_outer("all").alias("t")).where("t is not null").select("id", "k1", "k2", "t.*")
+    lines = keyed.select("id", "k1", "k2", F.explode("all").alias("t")).select("id", "k1", "k2", "t.*")
     hit = lines.join(F.broadcast(recurring) if small else recurring, "key").where(
         ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.at") == F.col("at")) & (F.col("first.k1") == F.col("k1")))
     )
-    drops = ws.stage(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias("drop")), "drops")
-    rows, places = drops.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
     new = ("n_lines", "n_dropped")
     kept = docs.drop(*new)
-    joined = kept.select(*kept.columns, *key).join(F.broadcast(drops) if rows + places <= 4 * BROADCAST_ROWS else drops, ["k1", "k2"], "left")
+    k1, k2, drop = spare_names(docs, "k1", "k2", "drop")
+    drops = ws.stage(hit.groupBy("k1", "k2").agg(F.collect_set("at").alias(drop)).select(F.col("k1").alias(k1), F.col("k2").alias(k2), drop), "drops")
+    ws.drop("templates", "repeated", "recurring")
+    rows, places = drops.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(drop)), F.lit(0))).first()
+    joined = kept.withColumns({k1: key[0], k2: key[1]}).join(F.broadcast(drops) if rows + places <= 4 * BROADCAST_ROWS else drops, [k1, k2], "left")
 
     def rest(parts: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
         return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
 
-    without = F.when(F.col("drop").isNull(), text).otherwise(let(F.split(text, "\n"), rest))
+    without = F.when(F.col(drop).isNull(), text).otherwise(let(F.split(text, "\n"), rest))
     return joined.select(
         *(without.alias(c) if c == text_col else c for c in kept.columns),
         F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
+        F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_dropped"),
     )
 
 
