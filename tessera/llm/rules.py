@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 COMMON_LETTERS, COMMON_SHARE = 5, 0.005
 #: Languages with a smaller share of the characters have no reference of their own.
@@ -58,64 +60,70 @@ def covered_by_repeats(h: Column, n: int = 3) -> Column:
 
     def starts(w: Column) -> Column:
         twice = F.transform(w, lambda x, i: F.when((x.k == F.get(w, i - 1).k) | (x.k == F.get(w, i + 1).k), x.i))
-        return F.array_sort(F.array_compact(twice))
+        return F.sort_array(F.array_compact(twice))
 
     def total(s: Column) -> Column:
         widths = F.transform(s, lambda x, i: F.least(F.lit(n), F.coalesce(F.get(s, i + 1) - x, F.lit(n))))
         return F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(F.array_sort(windows(h)), lambda w: let(starts(w), total))
+    return let(F.sort_array(windows(h)), lambda w: let(starts(w), total))
 
 
 def class_counts(text: Column) -> Column:
-    """How many characters of each class, and of none; then those of `[#*$%&|<>]`. Lower-case letters, most of a text, go first."""
+    """How many characters of each class, and of none; then those of `[#*$%&|<>]`.
+
+    Lower-case letters go first and white space second, so only the few characters that are left are read by the other
+    classes' patterns.
+    """
 
-    def counts(rest: Column) -> Column:
-        def count(pattern: str) -> Column:
-            return F.length(F.regexp_replace(rest, pattern, "")).cast("long")
+    def of_marks(rest: Column) -> Column:
+        def marks(left: Column) -> Column:
+            def count(name: str) -> Column:
+                fixed = {"lower": F.length(text) - F.length(rest), "space": F.length(rest) - F.length(left)}
+                return fixed.get(name, F.length(F.regexp_replace(left, CLASSES.get(name, name), ""))).cast("long")
 
-        others = [count(pattern) for name, pattern in CLASSES.items() if name != "lower"]
-        return F.array((F.length(text) - F.length(rest)).cast("long"), *others, count(r"[\x00-\x7F]+"), count(r"[^#*$%&|<>]+"))
+            return F.array(*(count(name) for name in [*CLASSES, r"[\x00-\x7F]+", r"[^#*$%&|<>]+"]))
 
-    return let(F.regexp_replace(text, "[a-z]+", ""), counts)
+        return let(F.regexp_replace(rest, WORD_SPLIT, ""), marks)
+
+    return let(F.regexp_replace(text, "[a-z]+", ""), of_marks)
 
 
 def _references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """ref_lang, refs: each reference, as shares of the classes of characters and hashes and shares of common words; those
     of all languages, and last of all together, under null. And the languages that have one."""
     names = [*CLASSES, "beyond"]
+    ws = Workspace(docs.sparkSession, "rules")
     chars = docs.select("lang", class_counts(F.col("text")).alias("c"), F.size(words_of(F.col("text"))).alias("n"))
-    sums = chars.groupBy("lang").agg(*(F.sum(F.get("c", F.lit(i))).alias(name) for i, name in enumerate(names)), F.sum("n").alias("n")).collect()
-    by_lang = {r["lang"]: [r[n] or 0 for n in names] for r in sums}
-    size = {r["lang"]: r["n"] for r in sums}
-    spread = docs.select("lang", F.explode_outer(words_of(F.col("text"))).alias("word"))
-    grand = sum(filter(None, size.values()))
-    n_of = F.create_map(*(F.lit(x) for k, v in size.items() if k is not None for x in (k, v or 0))) if any(k is not None for k in size) else None
-    counts = spread.where(F.length("word") <= COMMON_LETTERS).groupBy("lang", "word").count().where(F.col("word").rlike(r"^\p{L}+$"))
-    # COMMON_SHARE bounds what is collected: 1 / COMMON_SHARE words for each language. A word common over all languages
-    # together reaches that share in one of them.
-    limit = F.lit(grand) if n_of is None else F.coalesce(F.try_element_at(n_of, F.col("lang")), F.lit(size.get(None) or 0))
+    sums = ws.stage(chars.groupBy("lang").agg(*(F.coalesce(F.sum(F.get("c", F.lit(i))), F.lit(0)).alias(name) for i, name in enumerate(names)), F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "classes")
+    total = sums.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in [*names, "n"])).first()
+    grand, total_chars = total["n"], sum(total[x] for x in names)
+    # at most 1 / RARE languages are collected
+    of_lang = sum((F.col(x) for x in names), F.lit(0))
+    frequent = sums.where(F.col("lang").isNotNull() & (of_lang > 0) & (of_lang >= RARE * total_chars)).collect()
+    by_lang = {r["lang"]: r for r in frequent}
+    spread = docs.select("lang", F.explode_outer(words_of(F.col("text"))).alias("word")).where(F.length("word") <= COMMON_LETTERS)
+    counts = spread.groupBy("lang", "word").count().where(F.col("word").rlike(r"^\p{L}+$"))
+    # COMMON_SHARE bounds what is collected: 1 / COMMON_SHARE words for each of these languages and for all together
+    sizes = F.create_map(*(F.lit(x) for k, r in by_lang.items() for x in (k, r["n"]))) if by_lang else F.lit(None).cast("map<string,bigint>")
+    common_there = F.col("count") >= COMMON_SHARE * F.try_element_at(sizes, F.coalesce("lang", F.lit("")))
     by_word = counts.groupBy("word").agg(
         F.sum("count").alias("every"),
-        F.collect_list(F.when(F.col("count") >= COMMON_SHARE * limit, F.struct("lang", "count"))).alias("langs"),
+        F.collect_list(F.when(common_there & F.col("lang").isNotNull(), F.struct("lang", "count"))).alias("langs"),
     )
-    rows = by_word.where(F.size("langs") > 0).select(F.xxhash64("word").alias("h"), "every", "langs").collect()
-    total_chars = sum(map(sum, by_lang.values()))
+    rows = by_word.where((F.size("langs") > 0) | (F.col("every") >= COMMON_SHARE * grand)).select(F.xxhash64("word").alias("h"), "every", "langs").collect()
+    ws.drop("classes")
     common: dict = {}
     for r in rows:
         for x in r["langs"]:
             common.setdefault(x["lang"], {})[r["h"]] = x["count"]
 
-    def shares(chars: list[int], words: dict[int, int], n: int) -> tuple:
-        order = sorted(words)
-        return [c / max(1, sum(chars)) for c in chars], order, [words[h] / max(1, n) for h in order]
+    def shares(row, words: dict[int, int]) -> tuple:
+        chars, order = [row[x] for x in names], sorted(words)
+        return [c / max(1, sum(chars)) for c in chars], order, [words[h] / max(1, row["n"]) for h in order]
 
-    every = shares([sum(x) for x in zip(*by_lang.values(), strict=True)] or [0] * len(names), {r["h"]: r["every"] for r in rows if r["every"] >= COMMON_SHARE * grand}, grand)
-    table = {
-        lang: shares(counts, common.get(lang, {}), size[lang])
-        for lang, counts in by_lang.items()
-        if lang is not None and sum(counts) >= RARE * total_chars and sum(counts)
-    }
+    every = shares(total, {r["h"]: r["every"] for r in rows if r["every"] >= COMMON_SHARE * grand})
+    table = {lang: shares(row, common.get(lang, {})) for lang, row in by_lang.items()}
     refs = [*((lang, [r]) for lang, r in table.items()), (None, [*table.values(), every])]
     schema = "ref_lang string, refs array<struct<chars: array<double>, hashes: array<long>, words: array<double>>>"
     return docs.sparkSession.createDataFrame(refs, schema), list(table)
@@ -140,20 +148,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     refs, langs = _references(rows)
     own = F.when(F.col("lang").isin(langs), F.col("lang"))
-    joined = rows.join(F.broadcast(refs), own.eqNullSafe(F.col("ref_lang"))).select("id", "text", "refs")  # one row for each language that isn't rare, and one
+    refs = refs.withColumn("ref_hashes", F.array_distinct(F.flatten("refs.hashes")))
+    joined = rows.join(F.broadcast(refs), own.eqNullSafe(F.col("ref_lang"))).select("id", "text", "refs", "ref_hashes")  # one row for each language that isn't rare, and one
     text = F.col("text")
 
     def measure(w: Column) -> Column:
         def with_hashes(h: Column) -> Column:
             n = F.size(h)
 
-            def far(r: Column) -> Column:
-                return distance(F.transform(r.hashes, lambda q: (n - F.size(F.array_remove(h, q))) / F.greatest(n, F.lit(1))), r.words)
+            def far(known: Column) -> Column:
+                def count(q: Column) -> Column:
+                    return (F.size(known) - F.size(F.array_remove(known, q))) / F.greatest(n, F.lit(1))
+
+                return F.transform("refs", lambda r: distance(F.transform(r.hashes, count), r.words))
 
             return F.struct(
                 n.cast("long").alias("n_words"),
                 covered_by_repeats(h).alias("n_repeat_words"),
-                F.transform("refs", far).alias("words"),
+                let(F.filter(h, lambda x: F.array_contains("ref_hashes", x)), far).alias("words"),
             )
 
         return let(F.transform(w, lambda x: F.xxhash64(x)), with_hashes)
