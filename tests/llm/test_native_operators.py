@@ -1,7 +1,10 @@
 """The native operators: SQL on the small tables, and defined results at the edges."""
 
 import glob
+import math
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -50,7 +53,76 @@ def test_lines(spark):
 
 def test_line_recurring_in_two_documents_stays(spark):
     rows = [(0, "all rights of this text reserved"), (1, "all rights of this text reserved"), (1, "all rights of this text reserved")]
-    assert all(r["n_dropped"] == 0 for r in linededup.drop_lines(spark.createDataFrame(rows[:2], DOCS)).collect())
+    for some in (rows[:2], rows):
+        assert all(r["n_dropped"] == 0 for r in linededup.drop_lines(spark.createDataFrame(some, DOCS)).collect())
+    third = sorted((r["doc_id"], r["n_dropped"]) for r in linededup.drop_lines(spark.createDataFrame([*rows, (2, rows[0][1])], DOCS)).collect())
+    assert third == [(0, 0), (1, 1), (1, 1), (2, 1)]
+
+
+def test_line_dedup_of_clashing_names_and_long_texts(spark):
+    line = "all rights of this text reserved"
+    long = "\n".join(f"{chr(97 + i % 26) * (i % 50 + 1)} unlike {'xyz'[i % 3] * (i // 50 + 1)} tail" for i in range(20_000))
+    rows = [(i, f"{line}\n{long if i == 3 else ''}", "a", i, "b", "c", "d", "e") for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS + ", k1 string, drop int, id string, `all` string, key string, K2 string")
+    out = linededup.drop_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [(got[i]["k1"], got[i]["drop"], got[i]["id"], got[i]["all"], got[i]["key"], got[i]["K2"]) for i in range(4)] == [("a", i, "b", "c", "d", "e") for i in range(4)]
+    assert got[3]["text"] == long and [got[i]["text"] for i in (0, 1)] == [f"{line}\n", ""]
+
+
+def brute_rules(text):
+    """The contract's base columns, word by word."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {w for w, c in Counter(windows).items() if c > 1}
+    repeated = {i + j for i, w in enumerate(windows) if w in twice for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), failed
+
+
+def shares_of_classes(text):
+    sets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\v\f\r", ".,;:?'\"()-", "!#$%&*+/<=>@[\\]^_`{|}~"]
+    return [sum(c in s for c in text) for s in sets] + [sum(ord(c) > 127 for c in text)]
+
+
+def test_rules_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, None, None), (-2, "", "en"), (-3, "a\u00a0b \U0001f600 c\x0b#d\n\n a\n a\n", "en"), (-4, "x y " * 20_000 + "\x00 [`^_] ~", None)]
+    rows = [tuple(r) for r in docs.collect()] + odd
+    out = {r["doc_id"]: r for r in rules.judge(docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))).collect()}
+    assert len(out) == len(rows)
+    chars, words, size = {}, {}, Counter()
+    for _, text, lang in rows:
+        chars[lang] = [a + b for a, b in zip(chars.get(lang, [0] * 7), shares_of_classes(text or ""), strict=True)]
+        found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        words.setdefault(lang, Counter()).update(w for w in found if len(w) <= rules.COMMON_LETTERS and w.isalpha())
+        size[lang] += len(found)
+
+    def reference(langs):
+        c, w, n = [sum(x) for x in zip(*(chars[k] for k in langs), strict=True)], sum((words[k] for k in langs), Counter()), sum(size[k] for k in langs)
+        return [x / sum(c) for x in c], {k: v / n for k, v in w.items() if v >= rules.COMMON_SHARE * n}
+
+    everything = sum(map(sum, chars.values()))
+    own = {k: reference([k]) for k in chars if k is not None and sum(chars[k]) >= rules.RARE * everything}
+    every = [*own.values(), reference(list(chars))]
+
+    def js(p, q):
+        p, q = [*p, max(0, 1 - sum(p))], [*q, max(0, 1 - sum(q))]
+        return math.sqrt(max(0, sum(x * math.log2(2 * x / (x + y)) for a, b in zip(p, q, strict=True) for x, y in ((a, b), (b, a)) if x > 0) / 2))
+
+    for i, text, lang in rows:
+        got, (n, letters, *others, failed) = out[i], brute_rules(text)
+        assert tuple(got[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == (n, letters, *others, failed)
+        mine, found = [x / max(1, len(text or "")) for x in shares_of_classes(text or "")], Counter(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        far = [(js([found[w] / max(1, n) for w in sorted(ws)], [ws[w] for w in sorted(ws)]), js(mine, cs)) for cs, ws in ([own[lang]] if lang in own else every)]
+        w, c = min(far, key=sum)
+        w, c = (w if n >= rules.MIN_WORDS else 0), (c if letters >= rules.MIN_CHARS else 0)
+        assert (got["js_words"] or 0, got["js_chars"] or 0) == (pytest.approx(w, abs=1e-6), pytest.approx(c, abs=1e-6))
+        within = c <= rules.CHARS_BOUND[0] + rules.CHARS_BOUND[1] / max(1, letters) ** 0.5 and w <= rules.WORDS_BOUND[0] + rules.WORDS_BOUND[1] / max(1, n) ** 0.5
+        assert got["kept"] == (not failed and within)
 
 
 def test_rules(spark):
@@ -117,3 +189,15 @@ def test_hits(spark):
     none = decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], "item_id long, text string")).collect()
     assert not any(r["contaminated"] for r in none)
     assert decontaminate.contaminated(spark.createDataFrame([], DOCS), items).count() == 0
+
+
+def test_window_of_many_items_in_many_places(spark):
+    span = " ".join(f"w{i}" for i in range(10))
+    items = spark.range(1000).select(F.concat(F.lit("i"), F.col("id")).alias("item_id"), F.lit(f"{span} end").alias("text"), F.lit(1).alias("g"))
+    rows = [(0, f"{span} " * 10_000, 1, 2, 3, "x"), (1, "w0 w1 w2", 1, 2, 3, "y")]
+    docs = spark.createDataFrame(rows, DOCS + ", k1 int, k2 int, g int, h string")
+    out = decontaminate.contaminated(docs, items)
+    assert out.columns == [*docs.columns, "n_words", "n_hit", "item_ids", "contaminated"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert (got[0]["n_words"], got[0]["n_hit"], len(got[0]["item_ids"]), got[0]["k1"], got[0]["k2"], got[0]["h"]) == (100_000, 100_000, 1000, 1, 2, "x")
+    assert got[0]["item_ids"] == sorted(got[0]["item_ids"]) and not got[1]["contaminated"] and got[1]["h"] == "y"
