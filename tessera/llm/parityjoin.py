@@ -13,7 +13,7 @@ every set has. The sets that have more are sketched once more with other hashes,
 is left after `SEEDS` sketches (with thresholds so low that no sketch can do) joins by its empty blocks as well, so the
 join is exact at every threshold.
 
-Sets that share a block are candidates; each candidate's exact similarity is verified. What is wanted is classes of
+Sets that share a block are candidates; those whose sizes and short sketches allow it get their exact similarity verified. What is wanted is classes of
 linked documents, so candidates that earlier links have joined already need no test. In every block's group, the
 members are tested against a leader (the one with the least hash, which leads most groups that it is in) and the linked
 ones join. Members of groups that still hold several classes are joined by their rarest n-grams (a prefix filter, exact
@@ -200,7 +200,7 @@ def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """id, set and short sketch of each row."""
+    """id, size, set and short sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +212,9 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 flat = parities(owner, gram, m).view(np.int64).ravel()
                 parts = [(edge, gram.view(np.int64)), (np.arange(m + 1, dtype=np.int32) * WORDS, flat)]
                 lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], names=["id", "set", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(edge)), *lists], names=["id", "n", "set", "parity"])
 
-    return docs.mapInArrow(run, "id long, set array<long>, parity array<long>")
+    return docs.mapInArrow(run, "id long, n int, set array<long>, parity array<long>")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,11 +239,20 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     sets = ws.stage(_members(texts, n).join(small(nodes), "id", "left_semi").dropDuplicates(["id"]), "sets")
     ws.drop("shared", "chosen")
 
+    def within_bounds(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes and short parity sketches allow the similarity; the sets themselves aren't read."""
+        both = pairs
+        for side in ("u", "v"):
+            both = both.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+        apart = sum((F.bit_count(F.get(F.col("pu"), F.lit(i)).bitwiseXOR(F.get(F.col("pv"), F.lit(i)))) for i in range(WORDS)), F.lit(0))
+        sizes = (F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent)
+        return both.where(sizes & (apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent))).select(*pairs.columns)
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) whose similarity reaches the threshold; there are few different u."""
         left = ws.stage(sets.join(pairs.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.col("set").alias("su")), f"{name}-leaders")
         held = left.agg(F.coalesce(F.sum(F.size("su")), F.lit(0))).first()[0]
-        both = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(F.broadcast(left) if held <= BROADCAST_MEMBERS else left, "u")
+        both = small(pairs).join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(F.broadcast(left) if held <= BROADCAST_MEMBERS else left, "u")
         shared = F.size(F.array_intersect("su", "sv"))
         return both.where(shared * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
 
@@ -282,14 +291,14 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         return labels
 
     labels = nodes.select("id", F.col("id").alias("label"))
-    star = members.where("id <> u").select("u", F.col("id").alias("v")).distinct()
+    star = within_bounds(ws.stage(members.where("id <> u").select("u", F.col("id").alias("v")).distinct(), "candidates"))
     labels = joined(labels, star.select("u", "v", F.col("u").alias("lu"), F.col("v").alias("label")), "star")
     rest = members.where("id <> u").select("sig", "id").join(small(labels), "id")
     mixed = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "mixed")
     if not mixed.isEmpty():
         labels = joined(labels, prefix_pairs(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct()), "rest")
     # the nodes stay: without any link the labels are read from them
-    ws.drop("members", "sets", "mixed", "left", "each", "kinds", "prefixes")
+    ws.drop("candidates", "members", "sets", "mixed", "left", "each", "kinds", "prefixes")
 
     smallest = table.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     smallest = ws.stage(smallest, "classes")
