@@ -159,7 +159,7 @@ def _sums(owner: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, k, n, a, b: hash of each row's text, size and hashes of its set."""
+    """doc_id, k, n, a, b, parity: hash of each row's text; size, hashes and short parity sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +169,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 a, b = _sums(owner, gram, m)
                 size = np.bincount(owner, minlength=m)
                 own = [batch.column(0).slice(first, m), batch.column(2).slice(first, m)]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (size, a, b))], names=["doc_id", "k", "n", "a", "b"])
+                short = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * WORDS), pa.array(parities(owner, gram, m).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (size, a, b)), short], names=["doc_id", "k", "n", "a", "b", "parity"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("k")).mapInArrow(run, "doc_id long, k long, n long, a long, b long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("k")).mapInArrow(run, "doc_id long, k long, n long, a long, b long, parity array<long>")
 
 
 def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -200,7 +201,7 @@ def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """id, size, set and short sketch of each row."""
+    """id and set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +210,9 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 m = len(block.begin)
                 ids, _ = _sums(owner, gram, m)
                 edge = np.searchsorted(owner, np.arange(m + 1)).astype(np.int32)
-                flat = parities(owner, gram, m).view(np.int64).ravel()
-                parts = [(edge, gram.view(np.int64)), (np.arange(m + 1, dtype=np.int32) * WORDS, flat)]
-                lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(edge)), *lists], names=["id", "n", "set", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(edge), pa.array(gram.view(np.int64)))], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, n int, set array<long>, parity array<long>")
+    return docs.mapInArrow(run, "id long, set array<long>")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,30 +223,47 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+    def once_each(table: DataFrame) -> DataFrame:
+        """The text of one row of each set; rows equal in id and text may come again."""
+        own = F.struct("k", "doc_id")
+        twice = ws.stage(table.groupBy("a").agg(F.min(own).alias("of"), F.max(own).alias("other")).where("of <> other").select("a", "of"), "twice")
+        go = table.join(small(twice), "a").where(~own.eqNullSafe(F.col("of"))).select(F.col("k").alias("go_k"), F.col("doc_id").alias("go_id")).distinct()
+        go = ws.stage(go, "copies")
+        return rows.join(small(go), (F.xxhash64("text") == F.col("go_k")) & F.col("doc_id").eqNullSafe(F.col("go_id")), "left_anti").select("text")
+
     table = ws.stage(_sets(rows, n), "table")
-    blocks_of = _blocks(rows.select("text"), n, percent)
-    shared = blocks_of.groupBy("sig").agg(F.min("id").alias("u"), F.max("id").alias("other")).where("u <> other").select("sig", "u")
-    shared = ws.stage(shared, "shared")
-    members = ws.stage(blocks_of.join(small(shared), "sig").select("sig", "id", "u").distinct(), "members")
+    blocks_of = _blocks(once_each(table), n, percent)
+    # nearly every set comes once here, so a count tells shared blocks and no id need travel; members settle what doesn't
+    shared = ws.stage(blocks_of.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "shared")
+    held = ws.stage(blocks_of.join(small(shared), "sig").select("sig", "id").distinct(), "held")
+    leaders = held.groupBy("sig").agg(F.min("id").alias("u"), F.max("id").alias("other")).where("u <> other").select("sig", "u")
+    members = ws.stage(held.join(small(ws.stage(leaders, "leaders")), "sig"), "members")
     nodes = ws.stage(members.select("id").distinct(), "nodes")
 
-    # the sets of the candidates, each from the rows of one text and id that have it
-    one = table.join(small(nodes.select(F.col("id").alias("a"))), "a").groupBy("a").agg(F.min(F.struct("k", "doc_id")).alias("of"))
-    one = ws.stage(one.select(F.col("of.k").alias("of_k"), F.col("of.doc_id").alias("of_id")), "chosen")
-    texts = rows.withColumn("k", F.xxhash64("text")).join(small(one), (F.col("doc_id").eqNullSafe(F.col("of_id"))) & (F.col("k") == F.col("of_k"))).select("text")
-    sets = ws.stage(_members(texts, n).join(small(nodes), "id", "left_semi").dropDuplicates(["id"]), "sets")
-    ws.drop("shared", "chosen")
+    # of every candidate the size and short sketch, and the rows of one text and id that have its set
+    ours = table.join(small(nodes.select(F.col("id").alias("a"))), "a")
+    one = ours.groupBy("a").agg(F.min(F.struct("k", "doc_id")).alias("of"))
+    one = ws.stage(one.select(F.col("a").alias("id"), F.col("of.k").alias("of_k"), F.col("of.doc_id").alias("of_id")), "chosen")
+    shorts = ws.stage(ours.select(F.col("a").alias("id"), "n", "parity").dropDuplicates(["id"]), "shorts")
+    ws.drop("shared", "twice", "copies", "held", "leaders")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """The sets of the ids; only these texts are read to the end."""
+        texts = ws.stage(one.join(small(ids), "id", "left_semi"), f"{name}-texts")
+        same = (F.xxhash64("text") == F.col("of_k")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+        sets = ws.stage(_members(rows.join(small(texts.drop("id")), same).select("text"), n).join(small(ids), "id", "left_semi"), f"{name}-sets")
+        return ws.stage(sets.dropDuplicates(["id"]), f"{name}-once") if sets.count() > ids.count() else sets  # repeated rows
 
     def within_bounds(pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and short parity sketches allow the similarity; the sets themselves aren't read."""
         both = pairs
         for side in ("u", "v"):
-            both = both.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+            both = both.join(shorts.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
         apart = sum((F.bit_count(F.get(F.col("pu"), F.lit(i)).bitwiseXOR(F.get(F.col("pv"), F.lit(i)))) for i in range(WORDS)), F.lit(0))
         sizes = (F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent)
         return both.where(sizes & (apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent))).select(*pairs.columns)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) whose similarity reaches the threshold; there are few different u."""
         left = ws.stage(sets.join(pairs.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.col("set").alias("su")), f"{name}-leaders")
         held = left.agg(F.coalesce(F.sum(F.size("su")), F.lit(0))).first()[0]
@@ -256,22 +271,22 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         shared = F.size(F.array_intersect("su", "sv"))
         return both.where(shared * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
 
-    def prefix_pairs(left: DataFrame) -> DataFrame:
-        """Candidates (u, v, lu, label) of different classes among the (id, label) that the star left over.
+    def prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+        """Candidates (u, v, lu, label) of different classes among the (id, label) that the star left over, with their sets.
 
         Similar sets share one of their first members in any one order of all members (prefix filter). The order here
         has rare members first, so what an edit brought in stands in the prefix, and what thousands of near copies have
         in common does not. Members whose sets are of one class only need no pair. Of the rest, pairs go whose short
         parity sketches differ in more bits than their sets may differ in members.
         """
-        mine = sets.join(small(ws.stage(left, "left")), "id")
+        mine = sets.join(small(left), "id")
         each = mine.select("id", "label", F.size("set").alias("n"), F.explode_outer("set").alias("e")).where("e is not null")
         each = ws.stage(each, "each")
         kinds = ws.stage(each.groupBy("e").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("mixed")), "kinds")
         first = each.join(kinds, "e").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "e", "mixed"))).alias("all"))
         length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
         first = first.select("id", "label", "n", F.explode_outer(F.slice("all", 1, length)).alias("x")).where("x.mixed").select("id", "label", "n", "x.e")
-        words = mine.select("id", *(F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)))
+        words = shorts.select("id", *(F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)))
         first = ws.stage(first.join(words, "id"), "prefixes")
         other = first.select("e", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), *(F.col(f"p{i}").alias(f"q{i}") for i in range(WORDS)))
         sizes = (F.col("n") * 100 >= F.col("nu") * percent) & (F.col("nu") * 100 >= F.col("n") * percent)
@@ -279,15 +294,18 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         near = apart * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent)
         return first.join(other, "e").where((F.col("label") < F.col("lu")) & sizes & near).select("u", F.col("id").alias("v"), "lu", "label")
 
-    def joined(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    def joined(labels: DataFrame, pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
         """(id, label) after the links among the pairs (u, v, lu, label)."""
         pairs = ws.stage(pairs.distinct(), f"{name}-pairs")
-        links = verified(pairs.select("u", "v"), name).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct()
+        if sets is None:
+            ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+            sets = sets_of(ws.stage(ids, f"{name}-ids"), name)
+        links = verified(pairs.select("u", "v"), sets, name).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct()
         links = ws.stage(links, f"{name}-links")
         if not links.isEmpty():
             merged = components(ws, links, f"{name}-merged").select(F.col("id").alias("label"), F.col("label").alias("to"))
             labels = ws.stage(labels.join(small(merged), "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
-        ws.drop(f"{name}-pairs", f"{name}-leaders", f"{name}-links")
+        ws.drop(*(f"{name}-{x}" for x in ("pairs", "ids", "texts", "sets", "once", "leaders", "links")))
         return labels
 
     labels = nodes.select("id", F.col("id").alias("label"))
@@ -296,9 +314,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     rest = members.where("id <> u").select("sig", "id").join(small(labels), "id")
     mixed = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "mixed")
     if not mixed.isEmpty():
-        labels = joined(labels, prefix_pairs(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct()), "rest")
+        left = ws.stage(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct(), "left")
+        sets = sets_of(left.select("id"), "rest")
+        labels = joined(labels, prefix_pairs(left, sets), "rest", sets)
     # the nodes stay: without any link the labels are read from them
-    ws.drop("candidates", "members", "sets", "mixed", "left", "each", "kinds", "prefixes")
+    ws.drop("candidates", "members", "chosen", "shorts", "mixed", "left", "each", "kinds", "prefixes")
 
     smallest = table.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     smallest = ws.stage(smallest, "classes")
