@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, linededup, parityjoin, pieces, quality, rules, sharding, suffixdedup
+from . import alignment, chat, codebooks, decontaminate, language, linededup, packing, parityjoin, pieces, quality, rules, sharding, suffixdedup
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_sentencepiece": pieces.query,
     "op10_ngram_jaccard": parityjoin.query,
+    "op11_best_fit_packing": packing.query,
+    "op12_vector_codes": codebooks.query,
+    "op13_tokenizer_alignment": alignment.query,
 }
 ORACLES = {
     "op1_line_dedup": linededup.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard": parityjoin.ORACLE,
+    "op12_vector_codes": codebooks.ORACLE,
 }
