@@ -59,6 +59,23 @@ def sentence_mean(toks: DataFrame, words: DataFrame, id_col: str = "doc_id") ->
     return sums.join(total, id_col).select(id_col, "dim", (F.col("s") / F.col("n")).alias("x"))
 
 
+def vector_sums(rows: DataFrame, by: list[str], vec: str, weight: str, dim: int) -> DataFrame:
+    """by, n (sum of the weights) and sums (of the weighted vectors): one aggregation with a sum for each dimension, so no
+    row is multiplied by the dimension and every task adds up its own rows first."""
+    w = F.col(weight)
+    sums = rows.groupBy(*by).agg(F.sum(w).alias("n"), *(F.sum(w * F.get(F.col(vec), F.lit(i))).alias(f"_{i}") for i in range(dim)))
+    return sums.select(*by, "n", F.array(*(F.col(f"_{i}") for i in range(dim))).alias("sums"))
+
+
+def text_vectors(toks: DataFrame, words: DataFrame, id_col: str, dim: int) -> DataFrame:
+    """id, vec: mean over a text's tokens as an array; a token without a vector counts as zeros."""
+    counts = toks.groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("c"))
+    held = counts.join(words.select(F.col("word").alias("tok"), "vec"), "tok", "left")
+    zero = F.array(*(F.lit(0.0) for _ in range(dim)))
+    means = vector_sums(held.withColumn("vec", F.coalesce("vec", zero)), [id_col], "vec", "c", dim)
+    return means.select(id_col, F.transform("sums", lambda x: x / F.col("n")).alias("vec"))
+
+
 def zscored(vectors: DataFrame, id_col: str, vec: str = "vec") -> DataFrame:
     """Vectors less the mean over the deviation of each dimension; the two rows of moments are broadcast, nothing is exploded and regrouped by vector."""
     by = vectors.select(F.posexplode(vec).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..sources.workspace import Workspace
 
 #: Nodes that are sent to every task at most: at 64 dimensions about 50 MB.
 MAX_NODES = 100_000
@@ -189,30 +190,63 @@ def lattice_edges(nodes: DataFrame) -> DataFrame:
     )
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """source, node, cost, hops, path to every node reached within max_hops; (source, 0, 0, [source]) for itself.
+def shortest_labels(edges: DataFrame, sources: DataFrame, ws: Workspace) -> DataFrame:
+    """source, node, cost, hops, pred of every node that each source reaches: the cheapest way, the fewest hops among
+    equals, then the smallest predecessor. The source itself has cost 0 and no predecessor.
 
-    Relaxation in rounds over DataFrames: the frontier joins the edges, the best label of each (source, node) stays.
-    Stops when a round improves nothing. Exact if max_hops is at least the number of nodes less one.
+    Rounds of relaxation: the labels that the last round improved meet the edges, and the best label of each (source,
+    node) stays. Every round is written, so plans don't grow; it ends when a round improves nothing, which takes at most
+    as many rounds as there are nodes. Edges: src, dst, w (not negative).
     """
-    s = F.col("source")
-    best = sources.select(s, s.alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array(s).alias("path"))
-    frontier = best
-    for _ in range(max_hops):
-        step = frontier.join(edges, frontier.node == edges.src).select(
-            "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path")
-        )
-        label = F.struct("cost", "hops", "path")
-        found = step.groupBy("source", "node").agg(F.min(label).alias("new"))
-        old = best.select("source", "node", label.alias("old"))
-        both = found.join(old, ["source", "node"], "full")
-        better = F.col("old").isNull() | (F.col("new").isNotNull() & (F.col("new") < F.col("old")))
-        both = both.select("source", "node", F.when(better, F.col("new")).otherwise(F.col("old")).alias("l"), better.alias("improved")).persist()
-        frontier = both.where("improved").select("source", "node", "l.cost", "l.hops", "l.path")
-        best = both.select("source", "node", "l.cost", "l.hops", "l.path")
-        if frontier.isEmpty():
-            break
-    return best
+    s, none = F.col("source"), F.lit(None).cast(edges.schema["src"].dataType)
+    label = F.struct("cost", "hops", "pred")
+    graph = ws.stage(edges.select("src", "dst", F.col("w").cast("double").alias("w")), "edges")
+    best = ws.stage(sources.select(s).distinct().select(s, s.alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), none.alias("pred"), F.lit(True).alias("new")), "labels-0")
+    step = 0
+    while True:
+        step += 1
+        front = best.where("new").select("source", F.col("node").alias("src"), "cost", "hops")
+        reached = front.join(graph, "src").where(F.col("dst") != s).select(s, F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("pred"))
+        found = reached.groupBy("source", "node").agg(F.min(label).alias("found"))
+        both = best.select("source", "node", label.alias("old")).join(found, ["source", "node"], "full")
+        better = F.col("found").isNotNull() & (F.col("old").isNull() | (F.col("found") < F.col("old")))
+        after = both.select("source", "node", F.when(better, F.col("found")).otherwise(F.col("old")).alias("l"), better.alias("new"))
+        best = ws.stage(after.select("source", "node", "l.cost", "l.hops", "l.pred", "new"), f"labels-{step}")
+        if step > 1:
+            ws.drop(f"labels-{step - 2}")
+        if best.where("new").isEmpty():
+            return best.drop("new")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, ws: Workspace) -> DataFrame:
+    """src, dst, path, cost, hops of the wanted pairs (src, dst).
+
+    A node to itself is ([src], 0, 0); a pair without a way is ([src, dst], inf, -1). Paths are read off the predecessors,
+    from their ends, one step of all pairs in each round.
+    """
+    wanted = ws.stage(pairs.select("src", "dst").distinct(), "wanted")
+    labels = ws.stage(shortest_labels(edges, wanted.select(F.col("src").alias("source")), ws), "labels")
+    back = labels.select(F.col("source").alias("src"), F.col("node").alias("at"), "pred")
+    own = labels.select(F.col("source").alias("src"), F.col("node").alias("dst"), "cost", "hops")
+    reached = wanted.join(own, ["src", "dst"])
+    trail = ws.stage(reached.select("src", "dst", F.col("dst").alias("at"), F.col("hops").alias("place")), "trail-0")
+    steps = [trail]
+    while not trail.where("at <> src").isEmpty():
+        further = trail.where("at <> src").join(back, ["src", "at"]).select("src", "dst", F.col("pred").alias("at"), (F.col("place") - 1).alias("place"))
+        trail = ws.stage(further, f"trail-{len(steps)}")
+        steps.append(trail)
+    every = steps[0]
+    for one in steps[1:]:
+        every = every.unionByName(one)
+    paths = every.groupBy("src", "dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "at"))), lambda x: x.at).alias("path"))
+    out = wanted.join(reached, ["src", "dst"], "left").join(paths, ["src", "dst"], "left")
+    return out.select(
+        "src",
+        "dst",
+        F.coalesce("path", F.array("src", "dst")).alias("path"),
+        F.coalesce("cost", F.lit(float("inf"))).alias("cost"),
+        F.coalesce("hops", F.lit(-1)).alias("hops"),
+    )
 
 
 def low_density_centers(nodes: DataFrame, k: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import Workspace
 from . import corpus, mapnet
 
 
@@ -46,6 +47,25 @@ def path_length(assigned: DataFrame, nodes: DataFrame, order: str, group: str) -
     return at.select(group, steps.alias("s")).groupBy(group).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("path_len"))
 
 
+def pair_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, ws: Workspace) -> DataFrame:
+    """One row: pairs, reached, mean_cost and mean_hops of the shortest paths between the nodes of vector pairs (q, a).
+
+    Means are over the pairs that have a way (null if none has). Pairs are counted by their two nodes first, so paths are
+    sought for different pairs of nodes only, however many pairs of vectors there are.
+    """
+    q = mapnet.bmu(pairs, nodes, "q").select(F.col("bmu").alias("src"), "a")
+    both = mapnet.bmu(q, nodes, "a").groupBy("src", F.col("bmu").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    both = ws.stage(both, "pairs")
+    found = both.join(mapnet.shortest_paths(edges, both, ws), ["src", "dst"])
+    finite = F.when(F.col("hops") >= 0, F.col("n"))
+    return found.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"),
+        F.coalesce(F.sum(finite), F.lit(0)).alias("reached"),
+        (F.sum(finite * F.col("cost")) / F.sum(finite)).alias("mean_cost"),
+        (F.sum(finite * F.col("hops")) / F.sum(finite)).alias("mean_hops"),
+    )
+
+
 def _rounds() -> Window:
     return Window.orderBy("round")  # a history has a row for each round
 

@@ -8,11 +8,16 @@ from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import curate as U
 from ..operators import embed as E
+from ..operators import growing as W
 from ..operators import guard as G
 from ..operators import mapnet as M
+from ..operators import metrics as X
 from ..operators import search as Q
+from ..sources import session as N
+from ..sources.store import scratch
+from ..sources.workspace import Workspace
 from . import sqlparts as S
-from .map_plans import _BASE, nodes, r6, vectors
+from .map_plans import _BASE, _HISTORY, _KNN, _PATHS, history, nodes, r6, vectors
 from .text_plans import read
 
 QUERIES: dict = {}
@@ -224,6 +229,27 @@ def cold_start_words(spark, d):
     return E.cold_start(read(spark, d, "documents").where("lang = 'de'"), words)
 
 
+@query(f"""WITH e AS (SELECT DISTINCT tok FROM ({_TOKENS_EN})), h AS ({_hash_vectors("SELECT tok AS word FROM e", 8)}), t AS ({S.tokens('documents')}),
+s AS (SELECT doc_id, dim, sum(x) AS s, count(*) AS n FROM t JOIN h ON tok = word GROUP BY doc_id, dim),
+w AS (SELECT DISTINCT doc_id, tok FROM t WHERE tok NOT IN (SELECT tok FROM e))
+SELECT tok AS word, dim, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS x FROM w JOIN s USING (doc_id) GROUP BY tok, dim""")
+def cold_start_vectors(spark, d):
+    """First vectors of the words that no English document has: means of the English words' vectors in all their documents."""
+    toks = C.tokens(read(spark, d, "documents"))
+    seed = C.tokens(english(spark, d)).select(F.col("tok").alias("word")).distinct().select("word", E.hash_vector(F.col("word"), 8).alias("vec"))
+    out = W.first_vectors(toks, W.seeded(seed), "doc_id", 8).where("n > 0")
+    return out.select("word", "n", F.posexplode("vec").alias("dim", "x")).select("word", "dim", "n", *r6("x"))
+
+
+@query()
+def growing_embedding(spark, d):
+    """The English documents' words as seed, grown by all others: new words, frequencies, three rounds of training."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    seed = C.tokens(english(spark, d)).select(F.col("tok").alias("word")).distinct().select("word", E.hash_vector(F.col("word"), 8).alias("vec"))
+    out = W.grow(docs.where("NOT (lang <=> 'en')"), W.seeded(seed), Workspace(spark, "growing"), "doc_id", 8)
+    return out.select("word", "is_seed", "version", "freq", F.round(W.rate(F.col("is_seed")), 3).alias("rate"), *(F.round(F.get(c, F.lit(0)), 4).alias(c) for c in ("vec", "ctx")))
+
+
 _QUESTION = "qs AS (SELECT 0 AS q, text FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 1)"
 
 
@@ -250,6 +276,27 @@ def hybrid_search(spark, d):
     return Q.hybrid(index.similarities(ask).select("doc_id", "sim"), cos, "doc_id", 8).select("doc_id", *r6("score"))
 
 
+@query(f"""WITH RECURSIVE {_BASE}, {_KNN.format(k=3)}, {_PATHS}, tx AS (SELECT md5(coalesce(text, '')) AS k, any_value(text) AS text FROM conversations GROUP BY 1),
+tk AS ({S.tokens('tx', 'k')}), hv AS ({_hash_vectors("SELECT DISTINCT tok AS word FROM tk", 8)}),
+mv AS (SELECT k, dim, avg(x) AS x FROM tk JOIN hv ON tok = word GROUP BY k, dim),
+tb AS (SELECT k, arg_min(node_id, d2) AS node FROM (SELECT k, node_id, sum((x - w[dim + 1]) ** 2) AS d2 FROM mv, n GROUP BY k, node_id) GROUP BY k),
+tp AS (SELECT x.node AS src, y.node AS dst FROM conversations q JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1
+  JOIN tb x ON x.k = md5(coalesce(q.text, '')) JOIN tb y ON y.k = md5(coalesce(r.text, '')) WHERE q.role = 'user' AND r.role = 'assistant')
+SELECT count(*) AS pairs, count(*) FILTER (hops >= 0) AS reached, round(avg(cost) FILTER (hops >= 0), 6) AS mean_cost, round(avg(hops) FILTER (hops >= 0), 6) AS mean_hops FROM tp JOIN ways USING (src, dst)""")
+def qa_path_means(spark, d):
+    """Every user turn and the assistant's answer after it, as nodes of the map by their mean hash vectors: means of the shortest paths."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5("text"))
+    toks = C.tokens(turns.select("k", "text").dropDuplicates(["k"]), "k")
+    words = toks.select(F.col("tok").alias("word")).distinct().select("word", E.hash_vector(F.col("word"), 8).alias("vec"))
+    vecs = E.text_vectors(toks, words, "k", 8)
+    ask = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("k").alias("kq"))
+    both = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("k").alias("ka")).join(ask, ["conv_id", "turn"])
+    both = both.join(vecs.select(F.col("k").alias("kq"), F.col("vec").alias("q")), "kq").join(vecs.select(F.col("k").alias("ka"), F.col("vec").alias("a")), "ka")
+    grid = nodes(spark, d)
+    flat = grid.withColumn("w", F.slice("w", 1, 8))
+    return X.pair_paths(both.select("q", "a"), flat, M.knn_graph(grid, 3), Workspace(spark, "qa")).select("pairs", "reached", *r6("mean_cost", "mean_hops"))
+
+
 @query(f"WITH RECURSIVE {_BASE} SELECT v.vec_id, round(list_distance(v.vec, o.vec), 6) AS d FROM v, v o WHERE o.vec_id = 0 ORDER BY list_distance(v.vec, o.vec), v.vec_id LIMIT 8")
 def euclid_context(spark, d):
     from ..functions import vec as V
@@ -362,6 +409,53 @@ def identity_retention(spark, d):
     return U.identity_retention(vocabulary_retention(spark, d), *_identity(spark, d)).select("retention", *r6("drift", "coherence"), "identity")
 
 
+_SESSION = f"""WITH RECURSIVE {_BASE}, {_model(_EN, 'doc_id')}, g AS (SELECT score FROM ({_score(_EN, 'doc_id')})), {_HISTORY.lstrip(', ')}, {_LOG},
+lg AS (SELECT event_id, query, reward FROM (SELECT event_id, event_type || ' u' || (user_id % 7) AS query, value / 100 AS reward FROM events) ORDER BY event_id DESC LIMIT 300)
+SELECT 'nodes' AS part, CAST(node_id AS VARCHAR) AS k, '' AS t, round(list_sum(wd) + cx + cy + err, 6) AS x FROM q JOIN n USING (node_id)
+UNION ALL SELECT 'corpus', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')), 0 FROM {_EN}
+UNION ALL SELECT 'history', CAST(round AS VARCHAR), CAST(occupancy AS VARCHAR), round(mean_qe + vocab_div, 6) FROM h
+UNION ALL SELECT 'policy', word, CAST(n AS VARCHAR), round(reward_sum, 6) FROM p
+UNION ALL SELECT 'policy_log', CAST(event_id AS VARCHAR), query, round(reward, 6) FROM lg
+UNION ALL SELECT 'baseline', w1 || ' ' || w2, CAST(c12 AS VARCHAR), 0 FROM m_b
+UNION ALL SELECT 'baseline', w, CAST(c AS VARCHAR), 1 FROM m_u
+UNION ALL SELECT 'locked', '', '', round({_THRESHOLD.format(p=0.25)}, 6) FROM g
+UNION ALL SELECT 'guardrail', '', '', round({_THRESHOLD.format(p=0.15)}, 6) FROM g"""
+
+
+@query(_SESSION)
+def session_round_trip(spark, d):
+    """A session of every part, saved over an older save, read back and laid out part by part."""
+    en = english(spark, d).select(F.col("doc_id").alias("seq"), "text")
+    model, _, locked = G.fit_guardrail(en, "seq")
+    events = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.col("event_type"), F.lit(" u"), F.col("user_id") % 7).alias("query"), (F.col("value") / 100).alias("reward"))
+    whole = N.Session(nodes=nodes(spark, d).select("node_id", "w", "cx", "cy", "err"), corpus=en, history=history(spark, d), policy=U.policy(events), policy_log=events, baseline=(model, locked), dim=64, round=3)
+    path = scratch(spark, "session")
+    N.save(N.Session(history=history(spark, d)), path, spark)
+    N.save(whole, path, spark)
+    back = N.load(spark, path)
+
+    def part(name, df, key, t, x):
+        return df.select(F.lit(name).alias("part"), key.cast("string").alias("k"), t.cast("string").alias("t"), F.round(x.cast("double"), 6).alias("x"))
+
+    c, none, zero = F.col, F.lit(""), F.lit(0)
+    one = spark.range(1)
+    parts = [
+        part("nodes", back.nodes, c("node_id"), none, F.aggregate("w", F.lit(0.0), lambda a, x: a + x) + c("cx") + c("cy") + c("err")),
+        part("corpus", back.corpus, c("seq"), F.md5(F.coalesce("text", none)), zero),
+        part("history", back.history, c("round"), c("occupancy"), c("mean_qe") + c("vocab_div")),
+        part("policy", back.policy, c("word"), c("n"), c("reward_sum")),
+        part("policy_log", back.policy_log, c("seq"), c("query"), c("reward")),
+        part("baseline", back.baseline[0].bi, F.concat_ws(" ", "w1", "w2"), c("c"), zero),
+        part("baseline", back.baseline[0].uni, c("tok"), c("c"), F.lit(1)),
+        part("locked", one, none, none, F.lit(back.baseline[1])),
+        part("guardrail", one, none, none, F.lit(back.guardrail[1])),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query()
 def corpus_hash_vectors(spark, d):
     """Hash vectors of the documents' words."""

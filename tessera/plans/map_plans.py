@@ -10,6 +10,7 @@ from ..operators import embed as E
 from ..operators import mapnet as M
 from ..operators import metrics as X
 from ..operators import refine as R
+from ..sources.workspace import Workspace
 from . import sqlparts as S
 from .text_plans import read
 
@@ -136,12 +137,22 @@ def lattice_edges(spark, d):
     return M.lattice_edges(nodes(spark, d)).select("src", "dst", *r6("w"))
 
 
-@query(f""", {_KNN.format(k=3)}, p AS (SELECT CAST(0 AS BIGINT) AS node, 0.0::DOUBLE AS cost, 0 AS hops, [CAST(0 AS BIGINT)] AS path
-  UNION ALL SELECT dst, cost + w, hops + 1, list_append(path, dst) FROM p JOIN e ON src = node WHERE hops < 8 AND NOT list_contains(path, dst))
-SELECT node, round(min(cost), 6) AS cost FROM p GROUP BY node""")
+#: Shortest ways of all pairs: after i steps each row is the best way of i edges at most; 15 steps are enough for 16 nodes.
+_PATHS = """z AS (SELECT src, dst, w, 1 AS h FROM e UNION ALL SELECT node_id, node_id, 0, 0 FROM n),
+p AS (SELECT node_id AS src, node_id AS dst, {'cost': 0.0::DOUBLE, 'hops': 0, 'path': [node_id]} AS l, 0 AS i FROM n
+  UNION ALL SELECT p.src, z.dst, min({'cost': l.cost + w, 'hops': l.hops + h, 'path': CASE h WHEN 1 THEN list_append(l.path, z.dst) ELSE l.path END}), i + 1
+  FROM p JOIN z ON z.src = p.dst WHERE i < 15 GROUP BY p.src, z.dst, i),
+ways AS (SELECT x.node_id AS src, y.node_id AS dst, coalesce(l.cost, 'infinity'::DOUBLE) AS cost, coalesce(l.hops, -1) AS hops, coalesce(l.path, [x.node_id, y.node_id]) AS path
+  FROM n x CROSS JOIN n y LEFT JOIN (SELECT * FROM p WHERE i = 15) q ON q.src = x.node_id AND q.dst = y.node_id)"""
+
+
+@query(f", {_KNN.format(k=3)}, {_PATHS} SELECT src, dst, round(cost, 6) AS cost, hops, array_to_string(path, ' ') AS path FROM ways")
 def semantic_paths(spark, d):
-    src = spark.range(1).select(F.col("id").alias("source"))
-    return M.shortest_paths(M.knn_graph(nodes(spark, d), 3), src, 8).select("node", *r6("cost"))
+    """Shortest paths between all pairs of nodes, those without a way included."""
+    grid = nodes(spark, d)
+    ends = grid.select(F.col("node_id").alias("src")).crossJoin(F.broadcast(grid.select(F.col("node_id").alias("dst"))))  # 16 nodes
+    out = M.shortest_paths(M.knn_graph(grid, 3), ends, Workspace(spark, "paths"))
+    return out.select("src", "dst", *r6("cost"), "hops", F.array_join("path", " ").alias("path"))
 
 
 @query("SELECT node_id, round(sqrt(list_inner_product(w, w)), 6) AS norm FROM n ORDER BY sqrt(list_inner_product(w, w)), node_id LIMIT 4")

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mapnet
+from .workspace import shared_dir
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path in the folder of spark.checkpoint.dir; in a local session without it, one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints/tessera"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def save_state(nodes: DataFrame, path: str, meta: dict) -> None:

@@ -15,6 +15,7 @@ from tessera.operators import mapnet as M
 from tessera.operators import metrics as X
 from tessera.operators import refine as R
 from tessera.operators import search as Q
+from tessera.sources.workspace import Workspace
 
 
 def one(spark, column, **values):
@@ -122,12 +123,37 @@ def test_nearest_node_ties_go_to_the_smaller_id(spark):
     assert (two["bmu"], two["second"]) == (5, None)
 
 
+def paths(spark, edges, pairs):
+    ws = Workspace(spark, "test-paths")
+    table = spark.createDataFrame(edges, "src long, dst long, w double")
+    out = M.shortest_paths(table, spark.createDataFrame(pairs, "src long, dst long"), ws).collect()
+    ws.close()
+    return {(r["src"], r["dst"]): (r["path"], r["cost"], r["hops"]) for r in out}
+
+
 def test_paths(spark):
-    edges = spark.createDataFrame([(0, 1, 5.0), (0, 2, 1.0), (2, 1, 1.0), (1, 3, 1.0)], "src long, dst long, w double")
-    got = {r["node"]: (r["cost"], r["hops"], r["path"]) for r in M.shortest_paths(edges, spark.createDataFrame([(0,)], "source long"), 4).collect()}
-    assert got == {0: (0.0, 0, [0]), 2: (1.0, 1, [0, 2]), 1: (2.0, 2, [0, 2, 1]), 3: (3.0, 3, [0, 2, 1, 3])}
-    alone = M.shortest_paths(edges, spark.createDataFrame([(3,)], "source long"), 4).collect()
-    assert [r["node"] for r in alone] == [3]
+    edges = [(0, 1, 5.0), (0, 2, 1.0), (2, 1, 1.0), (1, 3, 1.0)]
+    got = paths(spark, edges, [(0, 0), (0, 1), (0, 3), (0, 3), (3, 0), (7, 7), (7, 0)])
+    assert got == {(0, 0): ([0], 0.0, 0), (0, 1): ([0, 2, 1], 2.0, 2), (0, 3): ([0, 2, 1, 3], 3.0, 3), (3, 0): ([3, 0], math.inf, -1), (7, 7): ([7], 0.0, 0), (7, 0): ([7, 0], math.inf, -1)}
+    assert paths(spark, edges, []) == {} and paths(spark, [], [(1, 1), (1, 2)]) == {(1, 1): ([1], 0.0, 0), (1, 2): ([1, 2], math.inf, -1)}
+
+
+def test_paths_longer_than_any_bound_ties_and_cycles(spark):
+    chain = [(i, i + 1, 1.0) for i in range(12)] + [(i + 1, i, 0.0) for i in range(12)]
+    got = paths(spark, chain, [(0, 12), (12, 0)])
+    assert got[0, 12] == (list(range(13)), 12.0, 12) and got[12, 0] == (list(range(12, -1, -1)), 0.0, 12)
+    tie = [(0, 5, 1.0), (5, 9, 1.0), (0, 4, 1.0), (4, 9, 1.0), (0, 9, 2.0), (0, 9, 7.0)]
+    assert paths(spark, tie, [(0, 9)])[0, 9] == ([0, 9], 2.0, 1)  # fewer steps first
+    assert paths(spark, tie[:4], [(0, 9)])[0, 9] == ([0, 4, 9], 2.0, 2)  # then the smaller node
+
+
+def test_pair_paths_are_means_over_pairs_that_have_a_way(spark):
+    grid = nodes(spark, [(0, [0.0], 0.0, 0.0, 0.0), (1, [1.0], 1.0, 0.0, 0.0), (2, [2.0], 2.0, 0.0, 0.0)])
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 3.0)], "src long, dst long, w double")
+    pairs = spark.createDataFrame([([0.1], [2.2]), ([0.1], [2.2]), ([0.0], [1.1]), ([1.0], [0.9]), ([2.0], [0.0])], "q array<double>, a array<double>")
+    ws = Workspace(spark, "test-pairs")
+    assert tuple(X.pair_paths(pairs, grid, edges, ws).first()) == (5, 4, (4.0 + 4.0 + 1.0 + 0.0) / 4, (2 + 2 + 1 + 0) / 4)
+    assert tuple(X.pair_paths(pairs.limit(0), grid, edges, Workspace(spark, "test-pairs")).first()) == (0, 0, None, None)
 
 
 def test_quantization_bounds(spark):
