@@ -49,6 +49,8 @@ BROADCAST_MEMBERS = 4_000_000
 SEEDS = 8
 #: 64-bit words of the short sketch that rules out pairs before their sets are read.
 WORDS = 16
+#: Buckets of counts that tell rare members from frequent ones in the order of the prefix filter.
+BUCKETS = 1 << 16
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -74,6 +76,13 @@ def shingles(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], gram[new]
 
 
+def _at_most(k: int, mean: float) -> float:
+    """About the chance that k or fewer blocks are empty where `mean` are on average (Poisson, or normal for large means)."""
+    if mean > 60:
+        return 0.5 * (1 + math.erf((k + 0.5 - mean) / math.sqrt(2 * mean)))
+    return math.fsum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(min(k, 400) + 1)) if mean else 1.0
+
+
 class Bands:
     """Bands of set sizes for a threshold in hundredths."""
 
@@ -93,20 +102,23 @@ class Bands:
         """Blocks of a sketch in the band, and how many of them may be empty.
 
         There is one more than the largest symmetric difference of a similar pair whose smaller set is in the band, and
-        one for each that may be empty: as many as make the fewest blocks in all, with those of the sets sketched again.
+        one for each that may be empty: about as many as make the fewest blocks in all, with those of the sets sketched
+        again. -1: so low a threshold leaves empty blocks in every sketch, and they are joined at once.
         """
         if band not in self.known:
             while len(self.low) < band + 3:
                 self.low.append(100 * self.low[-1] // self.percent + 1)
             size, a, b = self.low[band], self.low[band + 1] - 1, self.low[band + 2] - 1
             least = (100 - self.percent) * (a + b) // (100 + self.percent) + 1
-            best, k = (math.inf, 0), 0
-            while least + k < best[0]:
+            # With more blocks than members some stay empty at any number: then there is no such number.
+            best, k = (math.inf, -1), 0
+            while least <= size and least + k < best[0] and least + k <= 2 * size + 2:
                 p = least + k
-                mean = p * (1 - 1 / p) ** size
-                fit = math.fsum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k + 1)) if mean else 1.0
-                best = min(best, (p / max(fit, 1e-9), k))
-                k += 1
+                best = min(best, (p / max(_at_most(k, p * (1 - 1 / p) ** size), 1e-9), k))
+                k += 1 + k // 64
+            if best[1] < 0:
+                self.known[band] = (least, -1)
+                return self.known[band]
             self.known[band] = (least + best[1], best[1])
         return self.known[band]
 
@@ -132,7 +144,9 @@ def sketches(owner: np.ndarray, gram: np.ndarray, sizes: np.ndarray, bands: Band
         name = mix(out ^ mix((band[who].astype(np.uint64) << np.uint64(32)) + (where * seeds + seed).astype(np.uint64) + np.uint64(7)))
         empty = out == 0
         pending &= np.bincount(who[empty], minlength=len(sizes)) > spare
-        full = ~empty | (pending[who] if seed == seeds - 1 else False)
+        joined = pending if seed == seeds - 1 else pending & (spare < 0)
+        pending &= ~joined
+        full = ~empty | joined[who]
         owners.append(who[full])
         names.append(name[full])
         if not pending.any():
@@ -215,6 +229,42 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>")
 
 
+def _bucket_counts(sets: DataFrame) -> DataFrame:
+    """b, c: how many members of the sets (id, set, ...) fall into each hashed bucket; a row for each task and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_bucket(np.asarray(batch.column(0).flatten(), np.int64)), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["b", "c"])
+
+    return sets.select("set").mapInArrow(run, "b long, c long")
+
+
+def _bucket(members: np.ndarray) -> np.ndarray:
+    return (mix(members.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _rare_first(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """e, id, label: the first members of each set, in order of their bucket's count and then of the member itself."""
+    held = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = np.asarray(batch.column(2).flatten(), np.int64)
+            sizes = np.asarray(batch.column(2).value_lengths(), np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((members, held.value[_bucket(members)], owner))
+            rank = np.arange(len(members)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            prefix = sizes + 1 - -(-sizes * percent // 100)
+            keep = order[rank < prefix[owner]]
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(members[keep]), batch.column(0).take(at), batch.column(1).take(at)], names=["e", "id", "label"])
+
+    return sets.select("id", "label", "set").mapInArrow(run, "e long, id long, label long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key (its text's hash), n_shingles and component_id of every row of docs."""
     ws = Workspace(docs.sparkSession, "parityjoin")
@@ -247,11 +297,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     shorts = ws.stage(ours.select(F.col("a").alias("id"), "n", "parity").dropDuplicates(["id"]), "shorts")
     ws.drop("shared", "twice", "copies", "held", "leaders")
 
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        """The sets of the ids; only these texts are read to the end."""
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """id and set of the ids, made anew from their texts where they are read."""
         texts = ws.stage(one.join(small(ids), "id", "left_semi"), f"{name}-texts")
         same = (F.xxhash64("text") == F.col("of_k")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-        sets = ws.stage(_members(rows.join(small(texts.drop("id")), same).select("text"), n).join(small(ids), "id", "left_semi"), f"{name}-sets")
+        return _members(rows.join(small(texts.drop("id")), same).select("text"), n)
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """The sets of the ids; only these texts are read to the end."""
+        sets = ws.stage(texts_of(ids, name).join(small(ids), "id", "left_semi"), f"{name}-sets")
         return ws.stage(sets.dropDuplicates(["id"]), f"{name}-once") if sets.count() > ids.count() else sets  # repeated rows
 
     def within_bounds(pairs: DataFrame) -> DataFrame:
@@ -271,22 +325,23 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         shared = F.size(F.array_intersect("su", "sv"))
         return both.where(shared * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
 
-    def prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
-        """Candidates (u, v, lu, label) of different classes among the (id, label) that the star left over, with their sets.
+    def prefix_pairs(left: DataFrame) -> DataFrame:
+        """Candidates (u, v, lu, label) of different classes among the (id, label) that the star left over.
 
         Similar sets share one of their first members in any one order of all members (prefix filter). The order here
         has rare members first, so what an edit brought in stands in the prefix, and what thousands of near copies have
-        in common does not. Members whose sets are of one class only need no pair. Of the rest, pairs go whose short
-        parity sketches differ in more bits than their sets may differ in members.
+        in common does not; rare is told by counts over `BUCKETS` hashed buckets, which the driver holds. Only prefixes
+        are written. Members whose sets are of one class only need no pair. Of the rest, pairs go whose short parity
+        sketches differ in more bits than their sets may differ in members.
         """
-        mine = sets.join(small(left), "id")
-        each = mine.select("id", "label", F.size("set").alias("n"), F.explode_outer("set").alias("e")).where("e is not null")
-        each = ws.stage(each, "each")
-        kinds = ws.stage(each.groupBy("e").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("mixed")), "kinds")
-        first = each.join(kinds, "e").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "e", "mixed"))).alias("all"))
-        length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-        first = first.select("id", "label", "n", F.explode_outer(F.slice("all", 1, length)).alias("x")).where("x.mixed").select("id", "label", "n", "x.e")
-        words = shorts.select("id", *(F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)))
+        mine = texts_of(left.select("id"), "left").join(small(left), "id")
+        counts = np.zeros(BUCKETS, np.int64)
+        for r in _bucket_counts(mine).groupBy("b").agg(F.sum("c").alias("c")).collect():  # BUCKETS rows at most
+            counts[r["b"]] = r["c"]
+        each = ws.stage(_rare_first(mine, counts, percent), "each")
+        mixed = each.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("e")
+        first = each.join(small(ws.stage(mixed, "kinds")), "e").distinct()
+        words = shorts.select("id", "n", *(F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(WORDS)))
         first = ws.stage(first.join(words, "id"), "prefixes")
         other = first.select("e", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), *(F.col(f"p{i}").alias(f"q{i}") for i in range(WORDS)))
         sizes = (F.col("n") * 100 >= F.col("nu") * percent) & (F.col("nu") * 100 >= F.col("n") * percent)
@@ -294,12 +349,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         near = apart * (100 + percent) <= (F.col("n") + F.col("nu")) * (100 - percent)
         return first.join(other, "e").where((F.col("label") < F.col("lu")) & sizes & near).select("u", F.col("id").alias("v"), "lu", "label")
 
-    def joined(labels: DataFrame, pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
+    def joined(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """(id, label) after the links among the pairs (u, v, lu, label)."""
         pairs = ws.stage(pairs.distinct(), f"{name}-pairs")
-        if sets is None:
-            ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-            sets = sets_of(ws.stage(ids, f"{name}-ids"), name)
+        ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+        sets = sets_of(ws.stage(ids, f"{name}-ids"), name)
         links = verified(pairs.select("u", "v"), sets, name).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct()
         links = ws.stage(links, f"{name}-links")
         if not links.isEmpty():
@@ -315,10 +369,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     mixed = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "mixed")
     if not mixed.isEmpty():
         left = ws.stage(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct(), "left")
-        sets = sets_of(left.select("id"), "rest")
-        labels = joined(labels, prefix_pairs(left, sets), "rest", sets)
+        labels = joined(labels, prefix_pairs(left), "rest")
     # the nodes stay: without any link the labels are read from them
-    ws.drop("candidates", "members", "chosen", "shorts", "mixed", "left", "each", "kinds", "prefixes")
+    ws.drop("candidates", "members", "chosen", "shorts", "mixed", "left", "left-texts", "each", "kinds", "prefixes")
 
     smallest = table.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     smallest = ws.stage(smallest, "classes")

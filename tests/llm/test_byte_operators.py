@@ -290,6 +290,48 @@ def test_components_equal_brute_force(spark, n, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(texts, n, percent)
 
 
+def test_numbers_of_blocks_are_found_at_once_at_every_threshold():
+    for percent in (1, 20, 50, 60, 65, 70, 80, 90, 99, 100):
+        bands = parityjoin.Bands(percent)
+        for size in (1, 7, 60, 1000, 200_000):
+            width, spare = bands.widths(int(bands.of(np.array([size]))[0]))
+            assert width >= 1 and -1 <= spare < width
+
+
+@pytest.mark.parametrize("n,percent", [(2, 50), (3, 60)])
+def test_components_at_low_thresholds(spark, n, percent):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    texts = near_fixture()[:40]
+    for _ in range(4):
+        base = rng.choices(words, k=1000)
+        for share in (0.02, 0.08, 0.11, 0.14, 0.2, 0.4):
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base))
+    out = parityjoin.near_duplicates(docs(spark, list(enumerate(texts))), n, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(texts, n, percent)
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_components_among_shared_passages_one_long_text_and_clashing_names(spark, n, percent):
+    rng = random.Random(7)
+    words = [f"v{i}" for i in range(20_000)]
+    passages = [rng.choices(words, k=90) for _ in range(3)]
+    texts = ["huge " * 5 + " ".join(f"h{i}" for i in range(150_000))]
+    for k in range(240):
+        text = rng.choices(words, k=rng.randint(20, 60))
+        for p in rng.sample(passages, rng.randint(1, 3)):
+            at = rng.randint(0, len(text))
+            text = text[:at] + p + text[at:]
+        texts.append(" ".join(text))
+        while rng.random() < 0.3:  # chains of near copies
+            text = [rng.choice(words) if rng.random() < 0.015 else w for w in text]
+            texts.append(" ".join(text))
+    rows = [(i, t, i, "x", [1]) for i, t in enumerate(texts)]
+    df = docs(spark, rows, "doc_id long, text string, id long, label string, set array<int>")
+    out = parityjoin.near_duplicates(df, n, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(texts, n, percent)
+
+
 def test_sketch_distance_is_below_symmetric_difference():
     rng = np.random.default_rng(0)
     bands = parityjoin.Bands(90)
