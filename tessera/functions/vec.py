@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def digest_vector(word: Column, dim: int | Column) -> Column:
+    """A normal vector from the word's digest (Box-Muller on slices of md5), the same in any SQL engine."""
+
+    def one(i: Column) -> Column:
+        h = F.md5(F.concat(word, F.lit(":"), i.cast("string")))
+        u = [(F.conv(F.substring(h, a, 8), 16, 10).cast("double") + 1) / 4294967297.0 for a in (1, 9)]
+        return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
+
+    return F.transform(F.sequence(F.lit(0), (F.lit(dim) if isinstance(dim, int) else dim) - 1), one)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 

@@ -7,25 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec as V
-from . import corpus, mapnet
+from . import corpus, mapnet, similar
 
 NEAR, LEAST_NOVELTY = 0.85, 0.15
 
 
-def known(candidates: DataFrame, table: DataFrame, id_col: str, block: int = 2_000) -> DataFrame:
-    """id, known: the largest cosine of each candidate with the table; 0 for an empty one.
+def known(candidates: DataFrame, table: DataFrame, id_col: str, key: str | None = None, block_bytes: int = similar.BLOCK_BYTES) -> DataFrame:
+    """id, known: the largest cosine of each candidate (id, vec) with the table (vec); 0 for an empty one.
 
-    Candidates stand in blocks of about `block`, one row each, so a row of the table meets a block and not a candidate.
-    Blocks are broadcast while there are about ten at most.
+    key: a column of both sides, such as the text. A candidate whose key the table holds is known to the full (1) by a
+    semi-join, and only the others are compared by their vectors.
     """
-    n = candidates.count()
-    blk = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // block))))
-    packed = candidates.groupBy(blk.alias("blk")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), "vec")).alias("c")).select("c")
-    pairs = table.select(F.col("vec").alias("tv")).crossJoin(F.broadcast(packed) if n <= 10 * block else packed).select(
-        F.explode(F.transform("c", lambda x: F.struct(x.id.alias("id"), V.cosine(x.vec, F.col("tv")).alias("sim")))).alias("p")
-    )
-    best = pairs.groupBy("p.id").agg(F.max("p.sim").alias("known"))
-    return candidates.select(F.col(id_col)).join(best.withColumnRenamed("id", id_col), id_col, "left").select(id_col, F.coalesce("known", F.lit(0.0)).alias("known"))
+    own = candidates.select(id_col, "vec", *([key] if key else []))
+    exact = None
+    if key:
+        keys = table.select(key).where(F.col(key).isNotNull()).distinct()
+        exact = own.join(keys, key, "left_semi").select(id_col).distinct()
+        own = own.join(keys, key, "left_anti")
+    ids = table.select(F.lit("").alias("word"), "vec")  # which of the table it is doesn't matter
+    best = similar.top(own.select(F.col(id_col).alias("word"), "vec"), ids, 1, own=True, block_bytes=block_bytes)
+    best = best.groupBy(F.col("word").alias("_id")).agg(F.max("sim").alias("sim"))
+    out = candidates.select(id_col).join(best, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("sim", F.lit(0.0)).alias("known"))
+    if exact is None:
+        return out
+    flag = exact.select(F.col(id_col).alias("_id"), F.lit(1.0).alias("_one"))
+    return out.join(flag, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("_one", "known").alias("known"))
 
 
 def novelty(candidates: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:

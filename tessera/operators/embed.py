@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,17 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec as V
+from . import similar
 
 
 def hash_vector(word: Column, dim: int = 64) -> Column:
-    """A normal vector from the word's digest (Box-Muller on slices of md5), the same in any SQL engine."""
-
-    def one(i: Column) -> Column:
-        h = F.md5(F.concat(word, F.lit(":"), i.cast("string")))
-        u = [(F.conv(F.substring(h, a, 8), 16, 10).cast("double") + 1) / 4294967297.0 for a in (1, 9)]
-        return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
-
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
+    """A normal vector from the word's digest."""
+    return V.digest_vector(word, dim)
 
 
 def generator_vectors(words: DataFrame, dim: int = 64, col: str = "word") -> DataFrame:
@@ -84,22 +78,8 @@ def zscored(vectors: DataFrame, id_col: str, vec: str = "vec") -> DataFrame:
 
 
 def nearest(words: DataFrame, table: DataFrame, k: int = 5) -> DataFrame:
-    """word, other, sim: the k most similar of table for each of words.
-
-    The query words stand in blocks of about 5,000, one row each, so a row of the table meets a block and not a word.
-    Blocks are broadcast up to 50,000 words.
-    """
-    n = words.count()
-    block = F.pmod(F.xxhash64("word"), F.lit(max(1, -(-n // 5_000))))
-    blocks = words.groupBy(block.alias("blk")).agg(F.collect_list(F.struct("word", "vec")).alias("q")).select("q")
-    pairs = table.select(F.col("word").alias("other"), F.col("vec").alias("ov")).crossJoin(F.broadcast(blocks) if n <= 50_000 else blocks).select(
-        "other", F.explode(F.transform("q", lambda w: F.struct(w.word.alias("word"), V.cosine(w.vec, F.col("ov")).alias("sim")))).alias("p")
-    )
-    pairs = pairs.select("p.word", "other", "p.sim").where("word <> other")
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("sim"), "other"))
-    return pairs.withColumn("r", r).where(F.col("r") <= k).drop("r")
+    """word, other, sim: the k most similar other words of table for each of words, by blocked matrix products."""
+    return similar.top(words, table, k)
 
 
 def cold_start(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.workspace import Workspace
+from . import ranks
 
 # Sentinels, smoothing weight and bounds of thresholds
 BEGIN, END = "<s>", "</s>"
@@ -35,11 +37,13 @@ class Model:
         self.totals = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.greatest(F.lit(1), F.count(F.lit(1))).alias("v"))
 
     @classmethod
-    def fit(cls, df: DataFrame, text_col: str = "text") -> Model:
-        toks = df.select(F.explode(framed(F.col(text_col))).alias("tok"))
-        uni = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
+    def fit(cls, df: DataFrame, text_col: str = "text", ws: Workspace | None = None) -> Model:
+        """Texts are tokenized once, for the transitions; every token but the last one of a text starts a transition, so the
+        counts of tokens are sums of theirs. With a workspace the tables are written, and later plans start from them."""
         bi = bigrams(df.withColumn("_one", F.lit(0)), "_one", text_col).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"))
-        return cls(uni, bi)
+        bi = bi if ws is None else ws.stage(bi, "bi")
+        uni = unigrams(bi)
+        return cls(uni if ws is None else ws.stage(uni, "uni"), bi)
 
     def update(self, other: Model) -> Model:
         """The counts of both: count tables merge by sums."""
@@ -51,45 +55,89 @@ class Model:
         self.uni, self.bi = self.uni.persist(), self.bi.persist()
         return Model(self.uni, self.bi)
 
-    def score(self, df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    def score(self, df: DataFrame, id_col: str, text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
         """id, score: the mean log probability of a text's transitions.
 
         Transitions are counted by text first; each distinct (w1, w2) gets its probability once, then joins the texts.
+        With a workspace the counted transitions are written, so texts are tokenized once.
         """
         seen = bigrams(df, id_col, text_col).groupBy(id_col, "w1", "w2").agg(F.count(F.lit(1)).alias("k"))
+        seen = seen if ws is None else ws.stage(seen, "seen")
         c1 = self.uni.select(F.col("tok").alias("w1"), F.col("c").alias("c1"))
         c2 = self.uni.select(F.col("tok").alias("w2"), F.col("c").alias("c2"))
         kinds = seen.select("w1", "w2").distinct().join(self.bi.withColumnRenamed("c", "c12"), ["w1", "w2"], "left").join(c1, "w1", "left").join(c2, "w2", "left")
-        p = LAMBDA * F.coalesce(F.col("c12") / F.col("c1"), F.lit(0.0)) + (1 - LAMBDA) * (F.coalesce("c2", F.lit(0)) + 1) / (F.col("total") + F.col("v"))
-        logs = kinds.crossJoin(F.broadcast(self.totals)).select("w1", "w2", F.ln(F.when(p > 0, p).otherwise(FLOOR)).alias("l"))  # one row
+        logs = kinds.crossJoin(F.broadcast(self.totals)).select("w1", "w2", log_probability().alias("l"))  # one row
         return seen.join(logs, ["w1", "w2"]).groupBy(id_col).agg((F.sum(F.col("k") * F.col("l")) / F.sum("k")).alias("score"))
 
 
+def unigrams(bi: DataFrame, *by: str) -> DataFrame:
+    """by, tok, c from counted transitions (by, w1, w2, c): those that start with the token, and of END those that end with it."""
+    ends = bi.where(F.col("w2") == END).select(*by, F.col("w2").alias("tok"), "c")
+    return bi.select(*by, F.col("w1").alias("tok"), "c").unionByName(ends).groupBy(*by, "tok").agg(F.sum("c").alias("c"))
+
+
+def log_probability() -> Column:
+    """Of a transition with counts c12, c1, c2, total and v; missing counts are null."""
+    p = LAMBDA * F.coalesce(F.col("c12") / F.col("c1"), F.lit(0.0)) + (1 - LAMBDA) * (F.coalesce("c2", F.lit(0)) + 1) / (F.col("total") + F.col("v"))
+    return F.ln(F.when(p > 0, p).otherwise(FLOOR))
+
+
+def fit_experts(df: DataFrame, expert_col: str, ws: Workspace, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Tables uni (expert, tok, c) and bi (expert, w1, w2, c): the models of any number of experts, from one tokenization."""
+    pairs = bigrams(df.where(F.col(expert_col).isNotNull()).withColumn("expert", F.col(expert_col)), "expert", text_col)
+    bi = ws.stage(pairs.groupBy("expert", "w1", "w2").agg(F.count(F.lit(1)).alias("c")), "experts-bi")
+    return ws.stage(unigrams(bi, "expert"), "experts-uni"), bi
+
+
+def score_experts(texts: DataFrame, uni: DataFrame, bi: DataFrame, id_col: str, ws: Workspace, text_col: str = "text") -> DataFrame:
+    """id, expert, score of every text by every expert's model.
+
+    Each distinct transition of the texts gets a probability by every expert: rows grow with the number of experts, as
+    the result does; the texts' own transitions are written once and joined once.
+    """
+    seen = ws.stage(bigrams(texts, id_col, text_col).groupBy(id_col, "w1", "w2").agg(F.count(F.lit(1)).alias("k")), "experts-seen")
+    totals = uni.groupBy("expert").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"))
+    kinds = seen.select("w1", "w2").distinct().crossJoin(F.broadcast(totals))  # a row for each expert
+    c1 = uni.select("expert", F.col("tok").alias("w1"), F.col("c").alias("c1"))
+    c2 = uni.select("expert", F.col("tok").alias("w2"), F.col("c").alias("c2"))
+    kinds = kinds.join(bi.withColumnRenamed("c", "c12"), ["expert", "w1", "w2"], "left").join(c1, ["expert", "w1"], "left").join(c2, ["expert", "w2"], "left")
+    logs = kinds.select("expert", "w1", "w2", log_probability().alias("l"))
+    return seen.join(logs, ["w1", "w2"]).groupBy(id_col, "expert").agg((F.sum(F.col("k") * F.col("l")) / F.sum("k")).alias("score"))
+
+
 def judge(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.withColumn("inside", F.col("score") >= threshold)
 
 
 def suggest_threshold(scored: DataFrame, percent: float = 15.0) -> DataFrame:
-    """threshold: for 10 scores or more the percentile less half a deviation, within bounds; for fewer a low score, capped."""
-    p = percent / 100
-    one = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("score", F.lit(p)).alias("low"),
-        F.stddev_pop("score").alias("sd"),
-    )
-    first = scored.orderBy("score").limit(10).agg(F.array_sort(F.collect_list("score")).alias("lowest"))
-    at = F.greatest(F.lit(0), F.floor(F.col("n") * p) - 1).cast("int")
-    few = F.least(F.get("lowest", at), F.lit(SHORT_CAP))
-    many = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.col("low") - 0.5 * F.col("sd")))
-    return one.crossJoin(F.broadcast(first)).select(F.when(F.col("n") == 0, F.lit(THRESHOLD)).when(F.col("n") < 10, few).otherwise(many).alias("threshold"))  # one row each
+    """threshold: for 10 scores or more the percentile less half a deviation, within bounds; for fewer a low score, capped.
+
+    The percentile is selected by counts over ranges, so no task holds all scores; they are written first, since several
+    passes read them.
+    """
+    spark = scored.sparkSession
+    ws = Workspace(spark, "threshold")
+    rows = ws.stage(scored.select(F.col("score").cast("double").alias("score")).where("score is not null"), "scores")
+    n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop("score")).first()
+    share = percent / 100
+    if not n:
+        value = THRESHOLD
+    elif n < 10:
+        place = max(0, int(n * share) - 1)
+        value = min(ranks.at_ranks(rows, "score", [place])[place], SHORT_CAP)
+    else:
+        value = max(LOWEST, min(HIGHEST, ranks.percentile(rows, "score", share, n) - 0.5 * sd))
+    ws.close()
+    return spark.range(1).select(F.lit(float(value)).alias("threshold"))
 
 
 def fit_guardrail(sentences: DataFrame, id_col: str, percent: float = 15.0, locked: float | None = None) -> tuple[Model, float, float] | None:
     """Model, threshold and locked baseline threshold; None under 10 sentences. The first fit locks the baseline."""
     if sentences.limit(10).count() < 10:
         return None
-    model = Model.fit(sentences)
-    scored = model.score(sentences, id_col)
+    ws = Workspace(sentences.sparkSession, "guardrail")
+    model = Model.fit(sentences, ws=ws)
+    scored = ws.stage(model.score(sentences, id_col, ws=ws), "scores")
     threshold = suggest_threshold(scored, percent).first()[0]
     return model, threshold, suggest_threshold(scored, max(percent, 25.0)).first()[0] if locked is None else locked
 
@@ -112,6 +160,12 @@ def add_sentences(corpus: DataFrame, new: DataFrame, id_col: str, model: Model |
     return fresh.join(model.score(fresh, id_col), id_col).select(id_col, "text", F.round("score", 2).alias("score"), (F.col("score") >= threshold).alias("added"))
 
 
+def last_rejected(judged: DataFrame, id_col: str, most: int = 200) -> DataFrame:
+    """id, text, score (rounded to 2) of the last `most` rejected sentences, in order of id: the log of one batch."""
+    out = judged.where("NOT added").select(id_col, "text", F.round("score", 2).alias("score"))
+    return out.orderBy(F.desc(id_col), F.desc("text")).limit(most)
+
+
 def route(texts: DataFrame, scored: DataFrame, id_col: str, min_margin: float = 0.5, floor: float = -5.0) -> DataFrame:
     """id, expert, top_score, margin: the best expert of rows (id, expert, score), or null where it is too low or too close."""
     s = F.struct(-F.round("score", 2), "expert")

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..functions.vec import digest_vector
 from ..sources.workspace import Workspace
 
 #: Nodes that are sent to every task at most: at 64 dimensions about 50 MB.
@@ -72,6 +73,43 @@ def bmu_arrow(vectors: DataFrame, nodes: DataFrame, id_col: str = "vec_id", vec:
     return vectors.select(id_col, vec).mapInArrow(run, f"{id_col} {kind}, bmu {nodes.schema['node_id'].dataType.simpleString()}, qe double")
 
 
+def _normals(key: Column, dim: int, spread: float) -> Column:
+    """An array of normal numbers made of a key's digests, so that any run and any SQL engine gives the same."""
+    return F.transform(digest_vector(key, dim), lambda x: x * spread)
+
+
+def places(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """node_id, cx, cy: where a new map's nodes lie."""
+    at = _normals(F.concat(F.lit(f"place {seed} "), F.col("node_id").cast("string")), 2, 1.0)
+    return ids.select("node_id", at.alias("_at")).select("node_id", F.col("_at")[0].alias("cx"), F.col("_at")[1].alias("cy"))
+
+
+def init_nodes(spark: SparkSession, n: int = 16, dim: int = 64, seed: int = 0) -> DataFrame:
+    """A new map: n nodes with small normal weights, normal places and no error."""
+    ids = spark.range(n).select(F.col("id").alias("node_id"))
+    w = _normals(F.concat(F.lit(f"weight {seed} "), F.col("node_id").cast("string")), dim, 0.3)
+    return places(ids, seed).select("node_id", w.alias("w"), "cx", "cy", F.lit(0.0).alias("err"))
+
+
+def reinit(vectors: DataFrame, id_col: str = "vec_id", vec: str = "vec", most: int = 36, noise: float = 0.01, seed: int = 0) -> DataFrame:
+    """A new map of the vectors' own dimension: node_id, id (of the vector it starts from), w, cx, cy, err.
+
+    `most` vectors are drawn without replacement, those whose ids have the least digests: the same ones in any run and
+    on any layout of the table, found by a top-k and not a sort. Rows of one id count once; null vectors not at all. With
+    fewer vectors there are fewer nodes; places and errors follow their number.
+    """
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    least = rows.select("h").distinct().orderBy("h").limit(most)
+    drawn = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.struct("v", "id")).alias("r"))  # `most` rows
+    number = (F.row_number().over(Window.orderBy("h")) - 1).cast("long")  # `most` rows
+    nodes = drawn.select(number.alias("node_id"), F.col("r.id").alias("id"), F.col("r.v").alias("v"), "h")
+    shaken = F.zip_with("v", digest_vector(F.concat(F.lit("noise "), F.col("h")), F.size("v")), lambda x, z: x + z * noise)
+    w = shaken if noise else F.col("v")
+    at = places(nodes.select("node_id"), seed)
+    return nodes.select("node_id", "id", w.alias("w")).join(F.broadcast(at), "node_id").select("node_id", "id", "w", "cx", "cy", F.lit(0.0).alias("err"))
+
+
 def scales(nodes: DataFrame) -> DataFrame:
     """dim, scale: the largest magnitude of each dimension plus 1e-8, over 127."""
     return nodes.select(F.posexplode("w").alias("dim", "x")).groupBy("dim").agg(((F.max(F.abs("x")) + 1e-8) / 127).alias("scale"))

@@ -14,6 +14,7 @@ from ..operators import mapnet as M
 from ..operators import metrics as X
 from ..operators import search as Q
 from ..sources import session as N
+from ..sources.experts import Experts
 from ..sources.store import scratch
 from ..sources.workspace import Workspace
 from . import sqlparts as S
@@ -78,13 +79,14 @@ def unigram_counts(spark, d):
 
 @query(f"WITH {_model(_EN, 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM ({_score('documents', 'doc_id')})")
 def guard_score(spark, d):
-    docs = read(spark, d, "documents")
-    return G.Model.fit(english(spark, d)).score(docs, "doc_id").select("doc_id", *r6("score"))
+    ws = Workspace(spark, "guard")
+    return G.Model.fit(english(spark, d), ws=ws).score(read(spark, d, "documents"), "doc_id", ws=ws).select("doc_id", *r6("score"))
 
 
 @query(f"WITH {_model(_EN, 'doc_id')} SELECT doc_id, score >= -9.0 AS inside FROM ({_score('documents', 'doc_id')})")
 def guard_filter(spark, d):
-    return G.judge(G.Model.fit(english(spark, d)).score(read(spark, d, "documents"), "doc_id")).select("doc_id", "inside")
+    ws = Workspace(spark, "guard")
+    return G.judge(G.Model.fit(english(spark, d), ws=ws).score(read(spark, d, "documents"), "doc_id", ws=ws)).select("doc_id", "inside")
 
 
 _THRESHOLD = "greatest(-9.0, least(-5.0, quantile_cont(score, {p}) - 0.5 * stddev_pop(score)))"
@@ -92,8 +94,8 @@ _THRESHOLD = "greatest(-9.0, least(-5.0, quantile_cont(score, {p}) - 0.5 * stdde
 
 @query(f"WITH {_model(_EN, 'doc_id')} SELECT round({_THRESHOLD.format(p=0.15)}, 6) AS threshold FROM ({_score(_EN, 'doc_id')})")
 def guard_threshold(spark, d):
-    en = english(spark, d)
-    return G.suggest_threshold(G.Model.fit(en).score(en, "doc_id")).select(*r6("threshold"))
+    en, ws = english(spark, d), Workspace(spark, "guard")
+    return G.suggest_threshold(G.Model.fit(en, ws=ws).score(en, "doc_id", ws=ws)).select(*r6("threshold"))
 
 
 @query(f"""WITH {_model(_EN, 'doc_id')}, t AS (SELECT {_THRESHOLD.format(p=0.25)} AS t FROM ({_score(_EN, 'doc_id')}))
@@ -119,7 +121,7 @@ SELECT round(avg(CASE WHEN score < t THEN 1.0 ELSE 0.0 END), 9) AS foreign_ratio
 def foreign_ratio(spark, d):
     """Share of later documents that a guardrail of the first 30 % rejects."""
     early, late = U.halves(read(spark, d, "documents"), "doc_id")
-    model = G.Model.fit(early)
+    model = G.Model.fit(early, ws=Workspace(spark, "guard"))
     t = G.suggest_threshold(model.score(early, "doc_id"), 25.0)
     judged = model.score(late, "doc_id").crossJoin(F.broadcast(t))  # one row
     return judged.agg(F.round(F.avg(F.when(F.col("score") < F.col("threshold"), 1.0).otherwise(0.0)), 9).alias("foreign_ratio"))
@@ -137,22 +139,19 @@ def defense_rate(spark, d):
     return scored.agg(F.round(F.avg(F.when(F.col("score") < locked, 1.0).otherwise(0.0)), 9).alias("defense_rate"))
 
 
-_LANGS = ("de", "en", "es", "fr")
-_ROUTE = ", ".join(_model(f"(SELECT * FROM documents WHERE lang = '{x}')", "doc_id", x) for x in _LANGS)
-_ROUTED = " UNION ALL ".join(f"SELECT item_id, '{x}' AS expert, score FROM ({_score('benchmark', 'item_id', x)})" for x in _LANGS)
+_EXPERTS = "(SELECT * FROM documents WHERE lang IS NOT NULL)"
 
 
-@query(f"""WITH {_ROUTE}, s AS (SELECT item_id, expert, round(score, 2) AS score FROM ({_ROUTED})),
+@query(f"""WITH {_model(_EXPERTS, 'doc_id', 'm', 'lang')}, t AS ({_bigrams('benchmark', 'item_id')}),
+s AS (SELECT item_id, m_t.lang AS expert, round(avg({_P}), 2) AS score FROM t CROSS JOIN m_t LEFT JOIN m_b b ON b.lang = m_t.lang AND b.w1 = t.w1 AND b.w2 = t.w2
+  LEFT JOIN m_u x ON x.lang = m_t.lang AND x.w = t.w1 LEFT JOIN m_u y ON y.lang = m_t.lang AND y.w = t.w2 GROUP BY item_id, m_t.lang),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, expert))
 SELECT item_id, CASE WHEN score >= -5.0 AND score - coalesce(second, -99.0) >= 0.5 THEN expert END AS expert FROM r WHERE r = 1""")
 def route_experts(spark, d):
-    """Benchmark items to the guardrails of four languages."""
-    items, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
-    scored = None
-    for lang in _LANGS:
-        one = G.Model.fit(docs.where(F.col("lang") == lang)).score(items, "item_id").withColumn("expert", F.lit(lang))
-        scored = one if scored is None else scored.unionByName(one)
-    return G.route(items, scored, "item_id").select("item_id", "expert")
+    """Benchmark items to the guardrails of all languages of the documents."""
+    items, ws = read(spark, d, "benchmark"), Workspace(spark, "route")
+    uni, bi = G.fit_experts(read(spark, d, "documents"), "lang", ws)
+    return G.route(items, G.score_experts(items, uni, bi, "item_id", ws), "item_id").select("item_id", "expert")
 
 
 @query("SELECT lang AS expert, count(*) AS n_sentences, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
@@ -160,6 +159,29 @@ def list_experts(spark, d):
     return read(spark, d, "documents").groupBy(F.col("lang").alias("expert")).agg(F.count(F.lit(1)).alias("n_sentences"), F.count_distinct("source").alias("n_sources"))
 
 
+_OWN = "(SELECT * FROM (SELECT lang, min(doc_id) AS doc_id, text FROM documents WHERE lang IN ('de', 'en', 'fr') AND text IS NOT NULL GROUP BY lang, text))"
+
+
+@query(f"""WITH {_model(_OWN, 'doc_id', 'm', 'lang')},
+t AS (SELECT lang, doc_id, t[i] AS w1, t[i + 1] AS w2 FROM (SELECT lang, doc_id, t, unnest(range(1, len(t))) AS i FROM (SELECT lang, doc_id, list_concat(['<s>'], {S.tokenize('text')}, ['</s>']) AS t FROM {_OWN}))),
+s AS (SELECT t.lang, t.doc_id, avg({_P}) AS score FROM t JOIN m_t USING (lang) LEFT JOIN m_b b ON b.lang = t.lang AND b.w1 = t.w1 AND b.w2 = t.w2
+  LEFT JOIN m_u x ON x.lang = t.lang AND x.w = t.w1 LEFT JOIN m_u y ON y.lang = t.lang AND y.w = t.w2 GROUP BY t.lang, t.doc_id)
+SELECT lang AS expert, CASE lang WHEN 'fr' THEN 'later' ELSE 'first' END AS about, count(*) AS n_sentences, round({_THRESHOLD.format(p=0.25)}, 6) AS threshold FROM s GROUP BY lang""")
+def expert_registry(spark, d):
+    """Experts of the documents' languages: three added and filled, one of them removed, another added later; all trained."""
+    docs = read(spark, d, "documents").select(F.col("lang").alias("expert"), F.col("doc_id").alias("seq"), "text")
+    held = Experts(spark, scratch(spark, "experts"))
+    for name in ("de", "en", "es"):
+        held.add(name, "first")
+    held.add_to(docs)  # of languages that aren't experts nothing is taken
+    held.train("de", "es")
+    held.remove("es")
+    held.add("fr", "later")
+    held.add_to(docs)  # what is there already isn't added again
+    held.train()
+    return held.list().select("expert", "about", "n_sentences", *r6("threshold"))
+
+
 _STEM = f"list_transform({S.tokenize('text')}, lambda t: regexp_replace(t, '^([가-힣]{{2,}}?)(?:으로부터|에서)$', '\\1'))"
 _INDEX = f"""s AS (SELECT min(doc_id) AS doc_id, text FROM (SELECT doc_id, trim(text) AS text FROM documents) WHERE length(text) >= 6 GROUP BY text),
 k AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok FROM (SELECT doc_id, {_STEM} AS t FROM s)),

@@ -319,6 +319,20 @@ def state_round_trip(spark, d):
     return store.load_nodes(spark, path).select("node_id", F.posexplode("w").alias("dim", "w")).select("node_id", "dim", F.round("w", 9).alias("w"))
 
 
+def _digest(word: str) -> str:
+    u = [f"((CAST(('0x' || substr(md5({word}), {at}, 8)) AS BIGINT) + 1) / 4294967297.0e0)" for at in (1, 9)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+@query(f""", s AS (SELECT vec_id, vec, md5('0 ' || vec_id) AS h, row_number() OVER (ORDER BY md5('0 ' || vec_id)) - 1 AS node_id FROM v ORDER BY h LIMIT 36)
+SELECT node_id, vec_id, dim, round(vec[dim + 1] + 0.01 * {_digest("'noise ' || h || ':' || dim")}, 6) AS w, round({_digest("'place 0 ' || node_id || ':0'")}, 6) AS cx, round({_digest("'place 0 ' || node_id || ':1'")}, 6) AS cy
+FROM s, range(64) t(dim)""")
+def map_reinit(spark, d):
+    """A map begun anew from 36 vectors drawn from all, with noise."""
+    out = M.reinit(vectors(spark, d)).select("node_id", F.col("id").alias("vec_id"), F.posexplode("w").alias("dim", "w"), "cx", "cy")
+    return out.select("node_id", "vec_id", "dim", *r6("w", "cx", "cy"))
+
+
 @query()
 def train_online_maps(spark, d):
     """Exact sequential training, a map for each label; its quantization error must not rise."""

@@ -14,9 +14,12 @@ from ..operators import mapnet as M
 from ..operators import metrics as X
 from ..functions import text as FT
 from ..sources import store
+from ..sources.workspace import Folder
 
 # Penalties of a cycle that finds nothing, and of one that is all rejected
 PENALTY_EMPTY, PENALTY_REJECTED = -0.1, -0.2
+#: Rejected sentences that the log keeps.
+REJECTED = 200
 
 
 @dataclass
@@ -68,6 +71,8 @@ class Learner:
         if old is not None:
             fresh = fresh.join(old.select("text").distinct(), "text", "left_anti").select("seq", "text")
         judged = G.check_identity(fresh, "seq", self.baseline, None)
+        outside = fresh.join(judged, "seq").withColumn("added", F.col("inside"))
+        store.save_table(G.last_rejected(outside, "seq", REJECTED), f"{self.path}/rejected", batch_id)
         vectors = self.encode(fresh)
         table = None if old is None else self.encode(old.select("seq", "text"))
         known = U.known(vectors, table, "seq") if table is not None else vectors.select("seq", F.lit(0.0).alias("known"))
@@ -100,6 +105,16 @@ class Learner:
         store.save_table(log, f"{self.path}/policy_log", record["cycle"])
         return record
 
+    def rejected(self) -> DataFrame:
+        """seq, text, score: the last `REJECTED` sentences that the baseline rejected, over all batches.
+
+        Each batch writes its own last ones, so what is read is bounded by batches and a replayed batch changes nothing.
+        """
+        if not Folder(self.spark, self.path).names("rejected"):
+            return self.spark.createDataFrame([], "seq long, text string, score double")
+        rows = self.spark.read.parquet(f"{self.path}/rejected")
+        return rows.orderBy(F.desc("version"), F.desc("seq"), F.desc("text")).limit(REJECTED).select("seq", "text", "score")
+
     def policy(self) -> DataFrame:
         return U.policy(self.spark.read.parquet(f"{self.path}/policy_log").where("query is not null"))
 

@@ -27,9 +27,9 @@ def test_known_takes_any_number_of_candidates(spark):
         return sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b))
 
     one, other = (spark.createDataFrame(x, "vec_id long, vec array<double>") for x in (cand, table))
-    got = dict(U.known(one, other, "vec_id", block=2).collect())
+    got = dict(U.known(one, other, "vec_id", block_bytes=48).collect())
     assert got == {i: pytest.approx(max(cosine(v, t) for _, t in table)) for i, v in cand}
-    assert set(dict(U.known(one, other.limit(0), "vec_id", block=2).collect()).values()) == {0.0}
+    assert set(dict(U.known(one, other.limit(0), "vec_id").collect()).values()) == {0.0}
 
 
 def test_queries_of_a_full_map(spark):
