@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.workspace import Workspace
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = T.MIN_LEN, max_len: int = T.MAX_LEN) -> DataFrame:
@@ -44,6 +45,20 @@ def crawl_log(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").join(found, "page_id")
 
 
+def numbered(df: DataFrame, by: list, name: str, ws: Workspace) -> DataFrame:
+    """df with a number from 0 in the order of `by` (columns that tell all rows apart, or rows that are equal).
+
+    Rows are dealt by ranges, numbered within their range and moved up by the counts of the ranges before: no task sees
+    more than its range.
+    """
+    part, base = f"_{name}_part", f"_{name}_base"
+    rows = ws.stage(df.repartitionByRange(*by).withColumn(part, F.spark_partition_id()), f"{name}-ranges")
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    bases = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, F.coalesce(before, F.lit(0)).alias(base))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*by)) - 1
+    return rows.withColumn(name, own).join(F.broadcast(bases), part).withColumn(name, F.col(name) + F.col(base)).select(*df.columns, name)
+
+
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, pos, tok: one row for each token."""
     return docs.select(F.col(id_col), F.posexplode(T.tokenize(F.col(text_col))).alias("pos", "tok"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec as V
+from ..sources.workspace import Workspace
 from . import corpus, mapnet, similar
 
 NEAR, LEAST_NOVELTY = 0.85, 0.15
@@ -52,8 +53,10 @@ def guide(candidates: DataFrame) -> DataFrame:
 
 
 def guide_batch(guided: DataFrame, id_col: str) -> DataFrame:
-    """action, n and the learn order: id, rank by priority."""
-    return guided.where("action = 'learn'").select(id_col, "priority", F.row_number().over(Window.orderBy(F.desc("priority"), id_col)).alias("rank"))
+    """The learn order: id, priority and rank by priority, from 1."""
+    learn = guided.where("action = 'learn'").select(id_col, "priority")
+    ranked = corpus.numbered(learn, [F.desc("priority"), F.col(id_col)], "rank", Workspace(guided.sparkSession, "order"))
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 def autonomous_queries(assigned: DataFrame, docs: DataFrame, id_col: str, n: int = 3, words: int = 2, most_share: float = 0.3, nodes: DataFrame | None = None) -> DataFrame:

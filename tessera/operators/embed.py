@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vec as V
-from . import similar
+from ..sources.workspace import Workspace
+from . import corpus, similar
 
 
 def hash_vector(word: Column, dim: int = 64) -> Column:
@@ -34,11 +35,8 @@ def generator_vectors(words: DataFrame, dim: int = 64, col: str = "word") -> Dat
 
 def matrix_layout(table: DataFrame, key: str, value: str) -> DataFrame:
     """word, idx, vec from any table of names and vectors, indexed in order of name."""
-    from pyspark.sql import Window
-
-    return table.select(F.col(key).cast("string").alias("word"), F.transform(value, lambda x: x.cast("double")).alias("vec")).withColumn(
-        "idx", F.row_number().over(Window.orderBy("word")) - 1
-    )
+    rows = table.select(F.col(key).cast("string").alias("word"), F.transform(value, lambda x: x.cast("double")).alias("vec"))
+    return corpus.numbered(rows, ["word"], "idx", Workspace(table.sparkSession, "layout"))
 
 
 def sentence_mean(toks: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
+from ..sources import files
 from . import sqlparts as S
 
 QUERIES: dict = {}
@@ -125,6 +126,28 @@ def search_fallback(spark, d):
     return found.groupBy("q").agg(F.min("engine").alias("engine"), F.min_by("n", "engine").alias("n_links"))
 
 
+def _files(spark, d):
+    """The documents as files, as the binaryFile source gives them."""
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
+    return read(spark, d, "documents").select(path.alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+
+
+_FILES = f"""WITH f AS (SELECT coalesce(source, 'none') || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+s AS ({S.sentences('f', 'path')})"""
+
+
+@query(_FILES + " SELECT path, pos, md5(sentence) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY path, pos) AS r FROM s) WHERE r = 1")
+def file_corpus(spark, d):
+    """Sentences of all files, decoded, split, filtered and kept once in their first place."""
+    return files.sentences(_files(spark, d))[0].select("path", "pos", F.md5("sentence").alias("digest"))
+
+
+@query(_FILES + ", c AS (SELECT path, count(DISTINCT sentence) AS n FROM s GROUP BY path) SELECT path, 'txt, ' || length(text) || ' characters, ' || coalesce(n, 0) || ' sentences' AS info FROM f LEFT JOIN c USING (path)")
+def file_info(spark, d):
+    """What became of every file."""
+    return files.sentences(_files(spark, d))[1].select("path", "info")
+
+
 @query(f"SELECT doc_id, len({S.tokenize('text')}) AS n_tokens, md5(array_to_string({S.tokenize('text')}, ' ')) AS digest FROM documents")
 def tokenize_documents(spark, d):
     t = T.tokenize(F.col("text"))

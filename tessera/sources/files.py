@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as FT
 from ..functions.text import SKIPPED_TAGS
+from ..operators import corpus
+from .workspace import Workspace
 
 #: Fixed value: encodings in order; the last takes any bytes.
 ENCODINGS = ("utf-8", "cp949", "euc-kr", "latin-1")
@@ -121,6 +124,27 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return texts(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
 
 
+def sentences(files: DataFrame, min_len: int = FT.MIN_LEN, max_len: int = FT.MAX_LEN) -> tuple[DataFrame, DataFrame]:
+    """Sentences (path, pos, sentence) of files (path, content), each once in its first place, and what became of every file.
+
+    The second table has path, kind, n_chars, n_sentences (different ones within the file), error and info, a line that says the same. Files are
+    decoded once: texts are written before both tables read them. A blank file has no sentence and no error; files of no bytes are not listed by the source.
+    """
+    ws = Workspace(files.sparkSession, "files")
+    got = ws.stage(texts(files).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))), "texts")
+    parts = ws.stage(corpus.sentences(got.where("text is not null"), "path", min_len=min_len, max_len=max_len), "sentences")
+    counts = parts.groupBy("path").agg(F.count_distinct("sentence").alias("n"))
+    status = got.join(counts, "path", "left").select(
+        "path",
+        "kind",
+        F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"),
+        F.coalesce("n", F.lit(0)).alias("n_sentences"),
+        "error",
+    )
+    info = F.coalesce("error", F.format_string("%s, %d characters, %d sentences", "kind", "n_chars", "n_sentences"))
+    return corpus.keep_first(parts, F.col("sentence"), ["path", "pos"]), status.withColumn("info", info)
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, text by the HTML parser."""
 
