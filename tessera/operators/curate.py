@@ -88,10 +88,15 @@ def policy(log: DataFrame) -> DataFrame:
     )
 
 
-def rank_queries(queries: DataFrame, table: DataFrame, explore: bool = False, seed: int = 0) -> DataFrame:
-    """query, score in order of the mean of the words' means (0 if unseen); in order of a seeded hash when exploring."""
+def query_scores(queries: DataFrame, table: DataFrame) -> DataFrame:
+    """query, score: the mean of the words' means, 0 for unseen ones."""
     words = queries.select("query", F.explode(F.split(F.trim("query"), r"\s+")).alias("word"))
-    score = words.join(table, "word", "left").groupBy("query").agg(F.avg(F.coalesce("mean", F.lit(0.0))).alias("score"))
+    return words.join(table, "word", "left").groupBy("query").agg(F.avg(F.coalesce("mean", F.lit(0.0))).alias("score"))
+
+
+def rank_queries(queries: DataFrame, table: DataFrame, explore: bool = False, seed: int = 0) -> DataFrame:
+    """query, score in order of score; in order of a seeded hash when exploring."""
+    score = query_scores(queries, table)
     return score.orderBy(F.xxhash64("query", F.lit(seed))) if explore else score.orderBy(F.desc("score"), "query")
 
 

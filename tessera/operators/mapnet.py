@@ -119,6 +119,11 @@ def scale_array(nodes: DataFrame) -> DataFrame:
     return scales(nodes).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "scale"))), lambda s: s.scale).alias("scale"))
 
 
+def scale_array_of(quantized: DataFrame) -> DataFrame:
+    """One row with the scale that quantized nodes carry."""
+    return quantized.agg(F.first("scale").alias("scale"))
+
+
 def quantized(nodes: DataFrame) -> DataFrame:
     """nodes with wq (INT8) and the scale."""
     return nodes.crossJoin(F.broadcast(scale_array(nodes))).withColumn("wq", F.zip_with("w", "scale", V.quantize))  # one row
@@ -174,28 +179,23 @@ def grown(nodes: DataFrame, threshold: float = 2.0, most: int = 4, seed: int = 0
     """nodes and their children: a child's weights and place are its parent's plus noise; the parent's error halves."""
     pick = growth(nodes, threshold, most)
 
-    def noise(i: Column, scale: float) -> Column:
-        """Box-Muller on hashes of the child's id, so that a rerun gives the same child."""
-        u = [(F.pmod(F.xxhash64(F.col("child_id"), i, F.lit(seed), F.lit(j)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1) for j in (0, 1)]
-        return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * np.pi * u[1]) * scale
-
+    key = F.concat(F.lit(f"child {seed} "), F.col("child_id").cast("string"))  # digests, so that a rerun gives the same child
+    at = digest_vector(F.concat(key, F.lit(" at")), 2)
     parents = nodes.join(F.broadcast(pick.select("node_id", "child_id")), "node_id", "left")
     kids = parents.where("child_id is not null").select(
         F.col("child_id").alias("node_id"),
-        F.transform("w", lambda x, i: x + noise(i, 0.1)).alias("w"),
-        (F.col("cx") + noise(F.lit(-1), 0.3)).alias("cx"),
-        (F.col("cy") + noise(F.lit(-2), 0.3)).alias("cy"),
+        F.zip_with("w", digest_vector(F.concat(key, F.lit(" w")), F.size("w")), lambda x, z: x + 0.1 * z).alias("w"),
+        (F.col("cx") + 0.3 * at[0]).alias("cx"),
+        (F.col("cy") + 0.3 * at[1]).alias("cy"),
         F.lit(0.0).alias("err"),
     )
     kept = parents.withColumn("err", F.when(F.col("child_id").isNull(), F.col("err")).otherwise(F.col("err") / 2)).select("node_id", "w", "cx", "cy", "err")
     return kept.unionByName(kids)
 
 
-def schedule(rounds: int, lr0: float = 0.4, lr_rate: float = 0.9, lr_floor: float = 0.02, r0: float = 2.0, r_rate: float = 0.85, r_floor: float = 0.5) -> tuple[Column, Column, Column]:
-    """Columns round, lr, radius of a schedule, to select from one row."""
-    r = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
-    n = F.col("round")
-    return r, F.greatest(F.lit(lr_floor), lr0 * F.pow(F.lit(lr_rate), n)), F.greatest(F.lit(r_floor), r0 * F.pow(F.lit(r_rate), n))
+def schedule(round: Column, lr0: float = 0.4, lr_rate: float = 0.9, lr_floor: float = 0.02, r0: float = 2.0, r_rate: float = 0.85, r_floor: float = 0.5) -> tuple[Column, Column]:
+    """Learning rate and radius of a round."""
+    return F.greatest(F.lit(lr_floor), lr0 * F.pow(F.lit(lr_rate), round)), F.greatest(F.lit(r_floor), r0 * F.pow(F.lit(r_rate), round))
 
 
 def knn_graph(nodes: DataFrame, k: int = 6) -> DataFrame:

@@ -132,12 +132,13 @@ def rewards(history: DataFrame) -> DataFrame:
 
 
 def quantization_report(vectors: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Mean errors with full and INT8 weights, bytes of both and their ratio."""
+    """Mean errors with full and INT8 weights and their difference in per cent, bytes of both and their ratio."""
     q = mapnet.quantized(nodes)
     full = mapnet.bmu(vectors, nodes).agg(F.avg("qe").alias("qe_full"))
     int8 = mapnet.bmu(vectors, mapnet.dequantized(q).select("node_id", "w")).agg(F.avg("qe").alias("qe_int8"))
     size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w")).alias("dim"))
     n, dim = F.col("n"), F.col("dim")
     return full.crossJoin(int8).crossJoin(size).select(  # one row each
-        "qe_full", "qe_int8", (n * dim * 8).alias("bytes_full"), (n * dim + dim * 8).alias("bytes_int8"), (n * dim * 8 / (n * dim + dim * 8)).alias("ratio")
+        "qe_full", "qe_int8", (n * dim * 8).alias("bytes_full"), (n * dim + dim * 8).alias("bytes_int8"), (n * dim * 8 / (n * dim + dim * 8)).alias("ratio"),
+        (F.try_divide(F.abs(F.col("qe_int8") - F.col("qe_full")), F.col("qe_full")) * 100).alias("diff_percent"),
     )

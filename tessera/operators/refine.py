@@ -30,6 +30,29 @@ def refine(vector: DataFrame, quantized: DataFrame, k: int = 8, temp: float = 1.
     return both.withColumn("wq", F.when(F.col("moved"), F.zip_with("w", "scale", V.quantize)).otherwise(F.col("wq"))).drop("vec", "p")
 
 
+def refine_each(vectors: DataFrame, quantized: DataFrame, k: int = 8, temp: float = 1.0, lr: float = 0.25) -> DataFrame:
+    """vectors with before, after and moved: the local error before and after an update by the vector alone, and the nodes
+    that it moves as (node_id, p, wq), quantized again. Within rows: each vector has its k nodes with it, whatever the map."""
+    nodes = mapnet.dequantized(quantized)
+    one = mapnet.packed(nodes, "w")
+    scale = mapnet.scale_array_of(quantized)
+    near = local_qe(soft_assign(vectors, quantized, k, temp)).withColumnRenamed("local_qe", "before")
+    held = near.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(scale))  # one row each
+    own = F.transform("soft", lambda s: F.struct(s.node_id.alias("node_id"), s.p.alias("p"), F.filter("nodes", lambda n: n.node_id == s.node_id)[0].w.alias("w")))
+    held = held.withColumn("own", own).drop("nodes", "soft")
+    moved = F.transform("own", lambda o: F.struct(o.node_id.alias("node_id"), o.p.alias("p"), F.zip_with(F.zip_with(o.w, "vec", lambda w, x: w + lr * o.p * (x - w)), "scale", V.quantize).alias("wq")))
+    held = held.withColumn("moved", moved).drop("own")
+    d2 = F.transform("moved", lambda m: V.squared_distance(F.zip_with(m.wq, "scale", lambda q, s: q * s), F.col("vec")))
+    held = held.withColumn("d2", d2).withColumn("q", V.softmax(F.transform("d2", lambda d: -d), temp))
+    return held.withColumn("after", V.total(F.zip_with("q", "d2", lambda q, d: q * F.sqrt(d)))).drop("d2", "q", "scale")
+
+
+def use_counts(assigned: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, use_count: the sum of the soft assignments to each node, 0 included; what forgetting goes by."""
+    by = assigned.select(F.explode("soft").alias("s")).groupBy("s.node_id").agg(F.sum("s.p").alias("use_count"))
+    return nodes.select("node_id").join(by, "node_id", "left").select("node_id", F.coalesce("use_count", F.lit(0.0)).alias("use_count"))
+
+
 def auto_params(vectors: DataFrame) -> DataFrame:
     """One row: k, temp, lr, spread and region_size from the spread of a region."""
     by = vectors.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.stddev_pop("x").alias("sd"), F.count(F.lit(1)).alias("m"))

@@ -19,7 +19,7 @@ from ..sources.store import scratch
 from ..sources.workspace import Workspace
 from . import sqlparts as S
 from .map_plans import _BASE, _HISTORY, _KNN, _PATHS, history, nodes, r6, vectors
-from .text_plans import read
+from .text_plans import _JOSA, RETENTION, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -182,7 +182,7 @@ def expert_registry(spark, d):
     return held.list().select("expert", "about", "n_sentences", *r6("threshold"))
 
 
-_STEM = f"list_transform({S.tokenize('text')}, lambda t: regexp_replace(t, '^([가-힣]{{2,}}?)(?:으로부터|에서)$', '\\1'))"
+_STEM = f"list_transform({S.tokenize('text')}, lambda t: regexp_replace(t, '^([가-힣]{{2,}}?)(?:{_JOSA})$', '\\1'))"
 _INDEX = f"""s AS (SELECT min(doc_id) AS doc_id, text FROM (SELECT doc_id, trim(text) AS text FROM documents) WHERE length(text) >= 6 GROUP BY text),
 k AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok FROM (SELECT doc_id, {_STEM} AS t FROM s)),
 f AS (SELECT doc_id, tok, count(*) / any_value(n) AS tf FROM k GROUP BY ALL),
@@ -367,7 +367,8 @@ def learning_order(spark, d):
     return U.guide_batch(guided(spark, d), "vec_id")
 
 
-@query(f"""WITH RECURSIVE {_BASE}, ab AS (SELECT item_id, bmu FROM b JOIN benchmark ON item_id = vec_id), sz AS (SELECT bmu FROM ab GROUP BY bmu HAVING count(*) <= 2), t AS ({_TOKENS_B}),
+@query(f"""WITH RECURSIVE {_BASE}, ab AS (SELECT item_id, bmu FROM b JOIN benchmark ON item_id = vec_id), nn AS (SELECT node_id AS bmu, count(item_id) AS c FROM n LEFT JOIN ab ON ab.bmu = node_id GROUP BY node_id),
+sz AS (SELECT bmu FROM nn WHERE c BETWEEN 1 AND 2 UNION SELECT bmu FROM (SELECT bmu FROM nn ORDER BY c, bmu LIMIT 9) WHERE NOT EXISTS (SELECT 1 FROM nn WHERE c BETWEEN 1 AND 2)), t AS ({_TOKENS_B}),
 rare AS (SELECT tok FROM t GROUP BY tok HAVING count(*) <= 0.3 * (SELECT count(*) FROM benchmark)),
 k AS (SELECT bmu, tok AS word, count(*) AS c FROM t JOIN ab USING (item_id) WHERE bmu IN (SELECT bmu FROM sz) AND tok IN (SELECT tok FROM rare) AND regexp_matches(tok, '^[\\p{{L}}]{{4,}}$') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY bmu ORDER BY c DESC, word) AS r FROM k), q2 AS (SELECT bmu, string_agg(word, ' ' ORDER BY r) AS query FROM r WHERE r <= 2 GROUP BY bmu)
@@ -393,10 +394,12 @@ def policy_table(spark, d):
     return U.policy(policy_log(spark, d)).select("word", *r6("reward_sum"), "n", *r6("mean"))
 
 
-@query(f"WITH {_LOG}, q AS (SELECT DISTINCT query FROM l), w AS (SELECT query, unnest(string_split(query, ' ')) AS word FROM q) SELECT query, round(avg(coalesce(mean, 0)), 6) AS score FROM w LEFT JOIN p USING (word) GROUP BY query")
+@query(f"WITH {_LOG}, q AS (SELECT DISTINCT query FROM l), w AS (SELECT query, unnest(string_split(query, ' ')) AS word FROM q) SELECT query, score, row_number() OVER (ORDER BY score DESC, query) AS rank FROM (SELECT query, round(avg(coalesce(mean, 0)), 6) AS score FROM w LEFT JOIN p USING (word) GROUP BY query)")
 def rank_queries(spark, d):
     log = policy_log(spark, d)
-    return U.rank_queries(log.select("query").distinct(), U.policy(log)).select("query", *r6("score"))
+    scored = U.query_scores(log.select("query").distinct(), U.policy(log)).select("query", *r6("score"))
+    ranked = C.numbered(scored, [F.desc("score"), F.col("query")], "rank", Workspace(spark, "rank"))
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 _HALF = """, e AS (SELECT vec_id < (SELECT greatest(10, CAST(floor(0.3 * count(*)) AS BIGINT)) FROM v) AS early, vec_id, list_transform(vec, lambda x: x / (sqrt(list_inner_product(vec, vec)) + 1e-8)) AS u FROM v),
@@ -424,7 +427,7 @@ def coherence(spark, d):
     return _identity(spark, d)[1].select(*r6("coherence"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BASE} {_HALF}, rt AS ({RETENTION}) SELECT retention, round(drift, 6) AS drift, round(coherence, 6) AS coherence, round(0.4 * retention + 0.3 * (1 - drift) + 0.3 * coherence, 3) AS identity FROM rt, dr, co")
 def identity_retention(spark, d):
     from .text_plans import vocabulary_retention
 

@@ -109,15 +109,19 @@ def grow_selection(spark, d):
     return M.growth(nodes(spark, d)).select("node_id", *r6("err"), "child_id")
 
 
-@query(", g AS (SELECT node_id FROM n WHERE err >= 2.0 ORDER BY err DESC, node_id LIMIT 4) SELECT 16 + count(*) AS n_nodes, round((SELECT sum(CASE WHEN node_id IN (SELECT node_id FROM g) THEN err / 2 ELSE err END) FROM n), 6) AS err FROM g")
-def grow_nodes(spark, d):
-    return M.grown(nodes(spark, d)).agg(F.count(F.lit(1)).alias("n_nodes"), F.round(F.sum("err"), 6).alias("err"))
+def _digest(word: str) -> str:
+    u = [f"((CAST(('0x' || substr(md5({word}), {at}, 8)) AS BIGINT) + 1) / 4294967297.0e0)" for at in (1, 9)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
 
 
-@query("SELECT round, round(greatest(0.02, 0.4 * pow(0.9, round)), 9) AS lr, round(greatest(0.5, 2.0 * pow(0.85, round)), 9) AS radius FROM range(40) t(round)")
-def training_schedule(spark, d):
-    r, lr, radius = M.schedule(40)
-    return spark.range(1).select(r).select(F.col("round").cast("long").alias("round"), F.round(lr, 9).alias("lr"), F.round(radius, 9).alias("radius"))
+@query(f""", g AS (SELECT *, 15 + row_number() OVER (ORDER BY err DESC, node_id) AS child FROM n WHERE err >= 2.0 ORDER BY err DESC, node_id LIMIT 4),
+k AS (SELECT node_id, w, cx, cy, CASE WHEN node_id IN (SELECT node_id FROM g) THEN err / 2 ELSE err END AS err FROM n
+UNION ALL SELECT child, [w[i + 1] + 0.1 * {_digest("'child 0 ' || child || ' w:' || i")} for i in range(64)], cx + 0.3 * {_digest("'child 0 ' || child || ' at:0'")}, cy + 0.3 * {_digest("'child 0 ' || child || ' at:1'")}, 0 FROM g)
+SELECT node_id, dim, round(w[dim + 1], 6) AS w, round(cx, 6) AS cx, round(cy, 6) AS cy, round(err, 6) AS err FROM k, range(64) t(dim)""")
+def grow_nodes(spark, d):
+    """The map after one growth, its children included."""
+    out = M.grown(nodes(spark, d)).select("node_id", F.posexplode("w").alias("dim", "w"), "cx", "cy", "err")
+    return out.select("node_id", "dim", *r6("w", "cx", "cy", "err"))
 
 
 _KNN = """e AS (SELECT src, dst, w FROM (SELECT x.node_id AS src, y.node_id AS dst, list_distance(x.w, y.w) AS w,
@@ -209,6 +213,13 @@ def history(spark, d):
     )
 
 
+@query(_HISTORY + "SELECT round, round(greatest(0.02, 0.4 * pow(0.9, round)), 9) AS lr, round(greatest(0.5, 2.0 * pow(0.85, round)), 9) AS radius FROM h")
+def training_schedule(spark, d):
+    """Rate and radius of every round of the history."""
+    lr, radius = M.schedule(F.col("round"))
+    return history(spark, d).select("round", F.round(lr, 9).alias("lr"), F.round(radius, 9).alias("radius"))
+
+
 _DOWN = "({k} <= lag({k}) OVER w AND lag({k}) OVER w <= lag({k}, 2) OVER w AND lag({k}, 2) OVER w <= lag({k}, 3) OVER w AND lag({k}, 3) OVER w > {k})"
 
 
@@ -246,9 +257,9 @@ def learning_reward(spark, d):
 
 
 @query(""", e AS (SELECT vec_id, vec, x.wd FROM v, q x), i AS (SELECT vec_id, min(list_distance(vec, wd)) AS qe8 FROM e GROUP BY vec_id)
-SELECT round(avg(qe), 6) AS qe_full, round(avg(qe8), 6) AS qe_int8, 16 * 64 * 8 AS bytes_full, 16 * 64 + 64 * 8 AS bytes_int8, round(16 * 64 * 8 / (16 * 64 + 64 * 8), 6) AS ratio FROM b JOIN i USING (vec_id)""")
+SELECT round(avg(qe), 6) AS qe_full, round(avg(qe8), 6) AS qe_int8, 16 * 64 * 8 AS bytes_full, 16 * 64 + 64 * 8 AS bytes_int8, round(16 * 64 * 8 / (16 * 64 + 64 * 8), 6) AS ratio, round(abs(avg(qe8) - avg(qe)) / avg(qe) * 100, 6) AS diff_percent FROM b JOIN i USING (vec_id)""")
 def quantization_report(spark, d):
-    return X.quantization_report(vectors(spark, d), nodes(spark, d)).select(*r6("qe_full", "qe_int8"), "bytes_full", "bytes_int8", *r6("ratio"))
+    return X.quantization_report(vectors(spark, d), nodes(spark, d)).select(*r6("qe_full", "qe_int8"), "bytes_full", "bytes_int8", *r6("ratio", "diff_percent"))
 
 
 @query(", m AS (SELECT dim, avg(vec[dim]) AS m, stddev_pop(vec[dim]) AS s FROM v, sc GROUP BY dim) SELECT vec_id, dim - 1 AS dim, round((vec[dim] - m) / (s + 1e-8), 6) AS z FROM v, m")
@@ -286,12 +297,22 @@ def local_qe(spark, d):
     return R.local_qe(R.soft_assign(vectors(spark, d), M.quantized(nodes(spark, d)), 4, 2.0)).select("vec_id", *r6("local_qe"))
 
 
-@query(f""", {_SOFT}, x AS (SELECT node_id, p, vec FROM p JOIN v USING (vec_id) WHERE vec_id = 100)
-SELECT node_id, dim - 1 AS dim, CAST(greatest(-127, least(127, round_even((wd[dim] + 0.3 * p * (vec[dim] - wd[dim])) / scale, 0))) AS INT) AS q FROM x JOIN q USING (node_id), sc""")
+@query(f""", {_SOFT}, x AS (SELECT vec_id, node_id, p, vec FROM p JOIN v USING (vec_id)),
+y AS (SELECT vec_id, node_id, p, vec, [greatest(-127, least(127, round_even((wd[i] + 0.3 * p * (vec[i] - wd[i])) / sc2[i], 0))) * sc2[i] for i in range(1, 65)] AS wn FROM x JOIN q USING (node_id), (SELECT list(scale ORDER BY dim) AS sc2 FROM sc)),
+da AS (SELECT vec_id, node_id, p, list_distance(vec, wn) AS d FROM y), ea AS (SELECT *, exp(-(d * d) / 2.0 - max(-(d * d) / 2.0) OVER (PARTITION BY vec_id)) AS e FROM da),
+pa AS (SELECT vec_id, node_id, p, d, e / (sum(e) OVER (PARTITION BY vec_id) + 1e-12) AS q FROM ea),
+bf AS (SELECT vec_id, sum(p * d) AS before FROM p GROUP BY vec_id)
+SELECT vec_id, round(any_value(before), 6) AS before, round(sum(q * d), 6) AS after, round(sum(p), 6) AS used FROM pa JOIN bf USING (vec_id) GROUP BY vec_id""")
 def refine_step(spark, d):
-    """One local update by vector 100; the nodes it moves, quantized again."""
-    out = R.refine(vectors(spark, d).where("vec_id = 100"), M.quantized(nodes(spark, d)), 4, 2.0, 0.3)
-    return out.where("moved").select("node_id", F.posexplode("wq").alias("dim", "q")).select("node_id", "dim", F.col("q").cast("int").alias("q"))
+    """For every vector, one local update by it alone: the local error before and after, and the use that it adds."""
+    out = R.refine_each(vectors(spark, d), M.quantized(nodes(spark, d)), 4, 2.0, 0.3)
+    return out.select("vec_id", *r6("before", "after"), F.round(V.total(F.transform("moved", lambda m: m.p)), 6).alias("used"))
+
+
+@query(f", {_SOFT} SELECT node_id, round(coalesce(sum(p), 0), 6) AS use_count FROM n LEFT JOIN p USING (node_id) GROUP BY node_id")
+def node_use(spark, d):
+    """How much all vectors use each node, by their soft assignment."""
+    return R.use_counts(R.soft_assign(vectors(spark, d), M.quantized(nodes(spark, d)), 4, 2.0), nodes(spark, d)).select("node_id", *r6("use_count"))
 
 
 @query(""", s AS (SELECT avg(sd) AS spread, any_value(m) AS m FROM (SELECT dim, stddev_pop(vec[dim]) AS sd, count(*) AS m FROM v JOIN embeddings e USING (vec_id), sc WHERE label = 1 GROUP BY dim))
@@ -319,11 +340,6 @@ def state_round_trip(spark, d):
     return store.load_nodes(spark, path).select("node_id", F.posexplode("w").alias("dim", "w")).select("node_id", "dim", F.round("w", 9).alias("w"))
 
 
-def _digest(word: str) -> str:
-    u = [f"((CAST(('0x' || substr(md5({word}), {at}, 8)) AS BIGINT) + 1) / 4294967297.0e0)" for at in (1, 9)]
-    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
-
-
 @query(f""", s AS (SELECT vec_id, vec, md5('0 ' || vec_id) AS h, row_number() OVER (ORDER BY md5('0 ' || vec_id)) - 1 AS node_id FROM v ORDER BY h LIMIT 36)
 SELECT node_id, vec_id, dim, round(vec[dim + 1] + 0.01 * {_digest("'noise ' || h || ':' || dim")}, 6) AS w, round({_digest("'place 0 ' || node_id || ':0'")}, 6) AS cx, round({_digest("'place 0 ' || node_id || ':1'")}, 6) AS cy
 FROM s, range(64) t(dim)""")

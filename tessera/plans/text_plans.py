@@ -60,14 +60,19 @@ _BLOCKED = " OR ".join(f"contains(u, '{b}')" for b in T.BLOCKED_LINKS)
 
 
 @query(f"""
-WITH h AS (SELECT page_id, generate_subscripts(l, 1) AS pos, replace(unnest(l), '&amp;', '&') AS h FROM (SELECT page_id, regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1) AS l FROM pages)),
+WITH h AS (SELECT page_id, generate_subscripts(l, 1) AS pos, replace(unnest(l), '&amp;', '&') AS h FROM (SELECT page_id, regexp_extract_all(html || '<a href="' || replace(url, '&', '&amp;') || '">x</a><a href=''/l/?uddg=' || url_encode(url || '#top') || '&amp;rut=1''>y</a><a href="/url?q=' || url_encode(url || '/z') || '">', 'href=["'']([^"'']+)["'']', 1) AS l FROM pages)),
 r AS (SELECT page_id, pos, CASE WHEN contains(h, 'uddg=') THEN url_decode(nullif(regexp_extract(h, '[?&]uddg=([^&#]*)', 1), '')) WHEN contains(h, '/url?q=') THEN url_decode(nullif(regexp_extract(h, '[?&]q=([^&#]*)', 1), ''))
   WHEN regexp_matches(h, '^https?://') THEN h END AS u FROM h),
 f AS (SELECT page_id, u, min(pos) AS pos FROM r WHERE u IS NOT NULL AND NOT ({_BLOCKED}) GROUP BY ALL)
 SELECT page_id, u AS link, rank - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f) WHERE rank <= 10
 """)
 def page_links(spark, d):
-    return read(spark, d, "pages").select("page_id", F.posexplode(T.links(F.col("html"))).alias("pos", "link"))
+    """Outside links of pages to which their own address is added, as it is and wrapped as search engines do."""
+    url = F.col("url")
+    plain = F.concat(F.lit('<a href="'), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit('">x</a>'))
+    wrapped = F.concat(F.lit("<a href='/l/?uddg="), F.url_encode(F.concat(url, F.lit("#top"))), F.lit("&amp;rut=1'>y</a>"))
+    other = F.concat(F.lit('<a href="/url?q='), F.url_encode(F.concat(url, F.lit("/z"))), F.lit('">'))
+    return read(spark, d, "pages").select("page_id", F.posexplode(T.links(F.concat("html", plain, wrapped, other))).alias("pos", "link"))
 
 
 _PAGE_SENTENCES = f"""
@@ -161,13 +166,27 @@ def space_token_counts(spark, d):
 
 
 _JOSA = "|".join(sorted(T.SEARCH_PARTICLES, key=len, reverse=True))
-_HANGUL = "(VALUES (0, '학교에서부터'), (1, '나라'), (2, '사람에게서'), (3, '도서관으로'), (4, '이는'), (5, '물을'), (6, 'word'))"
+_ENDINGS = ", ".join(f"'{p}'" for p in T.SEARCH_PARTICLES)
 
 
-@query(f"SELECT id, regexp_replace(w, '^([가-힣]{{2,}}?)(?:{_JOSA})$', '\\1') AS stem FROM {_HANGUL} v(id, w)")
+@query(f"""WITH t AS (SELECT DISTINCT tok, md5(tok) AS h FROM ({S.tokens('documents')})),
+n AS (SELECT tok, [CAST(('0x' || substr(h, i, 4)) AS BIGINT) for i in [1, 5, 9, 13]] AS n FROM t),
+w AS (SELECT tok, chr(CAST(44032 + n[1] % 11172 AS INT)) || CASE WHEN n[3] % 3 > 0 THEN chr(CAST(44032 + n[2] % 11172 AS INT)) ELSE '' END || [{_ENDINGS}][1 + n[4] % {len(T.SEARCH_PARTICLES)}] AS w FROM n)
+SELECT tok, w, regexp_replace(w, '^([가-힣]{{2,}}?)(?:{_JOSA})$', '\\1') AS stem FROM w""")
 def particle_strip(spark, d):
-    words = [(0, "학교에서부터"), (1, "나라"), (2, "사람에게서"), (3, "도서관으로"), (4, "이는"), (5, "물을"), (6, "word")]
-    return spark.createDataFrame(words, "id int, w string").select("id", T.strip_search_particle(F.col("w")).alias("stem"))
+    """Hangul words made of the digests of the documents' tokens, each with one of the particles, stripped of it."""
+    toks = C.tokens(read(spark, d, "documents")).select("tok").distinct()
+    n = [F.conv(F.substring(F.md5("tok"), i, 4), 16, 10).cast("long") for i in (1, 5, 9, 13)]
+
+    def syllable(x):  # the three bytes of a syllable in UTF-8
+        c = F.lit(44032) + x % 11172
+        parts = (224 + F.shiftright(c, 12), 128 + F.shiftright(c, 6) % 64, 128 + c % 64)
+        return F.decode(F.unhex(F.concat(*(F.hex(p) for p in parts))), "utf-8")
+
+    second = F.when(n[2] % 3 > 0, syllable(n[1])).otherwise("")
+    ending = F.get(F.array(*(F.lit(p) for p in T.SEARCH_PARTICLES)), (n[3] % len(T.SEARCH_PARTICLES)).cast("int"))
+    words = toks.select("tok", F.concat(syllable(n[0]), second, ending).alias("w"))
+    return words.select("tok", "w", T.strip_search_particle(F.col("w")).alias("stem"))
 
 
 _CLEAN = "CASE " + " ".join(f"WHEN ends_with(tok, '{p}') AND length(tok) - {len(p)} >= 2 THEN left(tok, length(tok) - {len(p)})" for p in T.WORD_PARTICLES) + " ELSE tok END"
@@ -268,10 +287,13 @@ def corpus_skip_gram_pairs(spark, d):
     return C.skip_gram_pairs(read(spark, d, "documents"), 2)
 
 
-@query(f"""WITH t AS ({S.tokens('documents')}), n AS (SELECT greatest(5, CAST(floor(0.3 * count(*)) AS BIGINT)) AS k FROM documents),
+RETENTION = f"""WITH t AS ({S.tokens('documents')}), n AS (SELECT greatest(5, CAST(floor(0.3 * count(*)) AS BIGINT)) AS k FROM documents),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM documents),
 top AS (SELECT tok, count(*) AS c FROM t JOIN r USING (doc_id), n WHERE seq < k GROUP BY tok ORDER BY c DESC, tok LIMIT 100)
-SELECT count(*) FILTER (tok IN (SELECT tok FROM t JOIN r USING (doc_id), n WHERE seq >= k)) / count(*) AS retention FROM top""")
+SELECT count(*) FILTER (tok IN (SELECT tok FROM t JOIN r USING (doc_id), n WHERE seq >= k)) / count(*) AS retention FROM top"""
+
+
+@query(RETENTION)
 def vocabulary_retention(spark, d):
     """Share of the first 30 % of documents' top 100 words that the rest has (document ids are in order of arrival)."""
     docs = read(spark, d, "documents")
