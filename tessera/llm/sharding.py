@@ -5,9 +5,10 @@ the next virtual node clockwise. No shard takes more than its bound. Rows beyond
 clockwise to the next virtual node of a shard that has room. With slack 0 the bounds add up to the number of rows, so
 every shard ends full and counts differ by one at most; a larger slack moves fewer rows and lets counts differ more.
 
-What reaches the driver is a count per cell (2**16 rows at most, plus one for each `SPLIT` rows of a crowded cell),
-whatever the input's size. A cell that holds more than `SPLIT` rows, such as that of one id on a third of all rows, is
-ranked in several parts.
+What reaches the driver is a count per cell (2**16 rows at most), whatever the input's size. A cell that holds more than
+`SPLIT` rows is ranked in several parts, by hashes of the rows; equal rows on more than `SPLIT` places, such as one id on a
+third of all rows, are a part of their own, which is numbered in several pieces. Where parts and pieces begin is summed up in
+Spark. Shards and slots depend on the rows alone and not on how files or tasks hold them (equal rows can't be told apart).
 
 Null texts have size 1 and checksum 0; a null id is a key as any other; repeated rows each get a slot of their own; an
 empty table gives an empty table; extra columns are ignored.
@@ -28,6 +29,8 @@ CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 #: Rows that are ranked together at most (about), before a cell is ranked in parts.
 SPLIT = 50_000
+#: Rows of a table of offsets or of hot rows that is sent to every task, at most.
+BROADCAST_ROWS = 500_000
 
 
 def ring(n_shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,37 +83,42 @@ def shard(docs: DataFrame, n_shards: int, vnodes: int = 256, slack: float = 0.0,
     spark = docs.sparkSession
     ws = Workspace(spark, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(F.col(id_col), F.lit("ring"))
     rows = ws.stage(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("crc"),
-            F.shiftrightunsigned(key, 64 - CELL_BITS).cast("int").alias("cell"),
-            F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()).alias("salt"),
+            F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("ring")), 64 - CELL_BITS).cast("int").alias("cell"),
+            F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
+            F.monotonically_increasing_id().alias("nr"),  # written, so that every plan sees the same
         ),
         "rows",
     )
     counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
-    parts = {c: -(-n // SPLIT) for c, n in counts.items() if n > SPLIT}
-    if parts:
-        small = spark.createDataFrame(list(parts.items()), "cell int, parts long")
-        rows = rows.join(F.broadcast(small), "cell", "left").withColumn("part", F.pmod("salt", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        offsets, seen = [], dict.fromkeys(counts, 0)
-        hot = rows.where(F.col("cell").isin(list(parts)) if len(parts) < 1000 else F.lit(True)).groupBy("cell", "part").count()
-        for r in sorted(hot.collect(), key=lambda r: (r["cell"], r["part"])):
-            offsets.append((r["cell"], r["part"], seen[r["cell"]]))
-            seen[r["cell"]] += r["count"]
-        first = spark.createDataFrame(offsets, "cell int, part int, offset long")
-        rows = rows.join(F.broadcast(first), ["cell", "part"], "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+    crowded = [(c, -(-n // SPLIT)) for c, n in counts.items() if n > SPLIT]
+    if crowded:
+        rows = rows.join(F.broadcast(spark.createDataFrame(crowded, "cell int, parts long")), "cell", "left")  # 2**16 rows at most
+        hot = rows.where("parts is not null").groupBy("cell", "key").count().where(F.col("count") > SPLIT)
+        hot = ws.stage(hot.select("cell", "key", F.ceil(F.col("count") / SPLIT).alias("pieces")), "hot")
+        rows = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["cell", "key"], "left")
+        whole = F.when(F.col("pieces").isNull(), F.coalesce(F.pmod("key", "parts"), F.lit(0)))
+        rows = rows.select(
+            "id", "size", "crc", "cell", "key", F.coalesce(whole, F.lit(-1)).alias("part"), F.when(F.col("pieces").isNull(), 0).otherwise(F.col("key")).alias("own"),
+            F.coalesce(F.pmod(F.xxhash64("nr"), F.col("pieces")), F.lit(0)).alias("piece"),
+        )
+        place_in_cell = ["part", "own", "piece"]
+        before = F.sum("count").over(Window.partitionBy("cell").orderBy(*place_in_cell).rowsBetween(Window.unboundedPreceding, -1))
+        first = ws.stage(rows.groupBy("cell", *place_in_cell).count().withColumn("offset", F.coalesce(before, F.lit(0))).drop("count"), "offsets")
+        rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["cell", *place_in_cell])
     else:
-        rows = rows.withColumn("part", F.lit(0)).withColumn("offset", F.lit(0).cast("long"))
+        place_in_cell = []
+        rows = rows.withColumn("offset", F.lit(0).cast("long"))
     ranges = place(counts, n_shards, vnodes, slack)
     names = ("cell", "lo", "hi", "shard", "first")
     columns = list(zip(*ranges, strict=True)) if ranges else [[]] * 5
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
     table = spark.createDataFrame(pa.table({k: pa.array(v, t) for k, v, t in zip(names, columns, kinds, strict=True)}))
-    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("salt", "id")) - 1 + F.col("offset")
+    rank = F.row_number().over(Window.partitionBy("cell", *place_in_cell).orderBy("key", "id", "crc", "size")) - 1 + F.col("offset")
     # One range for each cell, and some more where shards are full: 2**16 and a few, at any input size.
     return (
         rows.withColumn("rank", rank)

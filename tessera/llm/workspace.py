@@ -1,22 +1,12 @@
-"""Staged tables in the folder that the cluster shares."""
+"""Staged tables in the folder that the cluster shares, and names for helper columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.workspace import Workspace, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session without that setting gets one of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "checkpoints", "tessera")
+__all__ = ["Workspace", "shared_dir", "spare_names"]
 
 
 def spare_names(df: DataFrame, *names: str) -> list[str]:
@@ -27,23 +17,3 @@ def spare_names(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
-
-
-class Workspace:
-    """Writes intermediate tables, so that a lost executor costs a re-read and not a recomputation of the lineage."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a written table; its plan starts from the files."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Remove staged tables that no later plan reads."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
