@@ -76,11 +76,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written before the next reads it."""
+    """All stages over documents; what each returns is written before the next reads it, and goes once that one is written.
+
+    Null ids, null and blank texts, repeated rows and further columns are no error: rows without a letter have no language
+    and go in the first stage; repeated rows are one document, of which the third stage keeps one; rows of equal n-grams are ties, and the
+    smallest id stays; only the columns of documents are kept. An empty table gives an empty table.
+    """
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = ws.stage(docs, f"stage-{i}")
+            ws.drop(f"stage-{i - 1}")
     return docs
