@@ -13,8 +13,9 @@ each window) go through the suffix sort: sampled splitters
 range-partition them by the leading bytes at the anchor, each bucket sorts its suffixes locally by multikey quicksort
 (eight bytes at a time, only ties go on), and neighbours that agree on WIDTH bytes are repeats. Groups that touch a
 bucket's boundary, or are larger than a block of `MOST` stretches, are compared across boundaries: each part hands on
-one 128-bit hash for each different window, and these are counted. So one passage in a third of all texts is split over
-buckets and never gathered.
+two 64-bit hashes for each different window, and these are counted. (Both come from one polynomial modulo 2**64, so they are
+less than 128 independent bits; a false repeat would need two different windows that agree in it.) So one passage in a
+third of all texts is split over buckets and never gathered.
 
 Null texts are empty. Texts under WIDTH bytes keep all. Repeated rows are repeats of each other. Null ids are ids. An
 empty table gives an empty table. Extra columns are ignored.
@@ -38,7 +39,8 @@ STRETCH = 16
 #: Stretches of one core that are sorted together, and stretches of a bucket (about).
 MOST, BUCKET = 4096, 20_000
 BROADCAST_ROWS = 1_000_000
-_PLACE = np.uint64(28)
+#: Bits of a place within a block: no string of Spark is longer.
+_PLACE = np.uint64(32)
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -60,7 +62,7 @@ def contexts(block: Block, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nda
     at = np.arange(n - gram + 1)
     grams = hasher(at, at + gram)
     least = _slide_min((grams >> _PLACE << _PLACE) | at.astype(np.uint64), width - gram + 1)
-    anchor = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+    anchor = (least & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     starts = np.arange(len(anchor))
     text = np.searchsorted(block.begin, starts, "right") - 1
     inside = np.flatnonzero(starts + width <= block.end[text])
@@ -277,8 +279,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ws = Workspace(spark, "suffixdedup")
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    def small(df: DataFrame, listed: str | None = None) -> DataFrame:
+        """df for every task if it has few rows, and few entries in its lists; a list's entry counts as a row."""
+        size = F.count(F.lit(1)) + (F.coalesce(F.sum(F.size(listed)), F.lit(0)) if listed else F.lit(0))
+        return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_ROWS else df
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"))
@@ -295,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chosen = found.where("open").groupBy("gram", "c").agg(F.min(place).alias("at")).select("gram", "c", "at.*")
     wanted = ws.stage(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "c", "p", "lo", "hi")).alias("wanted")), "wanted")
     kinds = "gram long, c long, core long, own long, p int, d0 int, d1 int, shift int"
-    pieces = long.join(small(wanted), ["k1", "k2"]).select("text", "wanted").mapInArrow(_stretches, kinds).dropDuplicates(["gram", "c", "d1"])
+    pieces = long.join(small(wanted, "wanted"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_stretches, kinds).dropDuplicates(["gram", "c", "d1"])
     pieces = ws.stage(pieces, "stretches")
     counts = ws.stage(pieces.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n")), "owns")
     cores = counts.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
@@ -309,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts_of = chosen.select("gram", "c", "k1", "k2")
     listed = single.join(texts_of, ["gram", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("core", "gram", "c", "p", "d0", "d1", "shift")).alias("wanted"))
     listed = ws.stage(listed, "listed")
-    cut = long.join(small(listed), ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "lead binary, core long, gram long, c long, shift int, off int, raw binary")
+    cut = long.join(small(listed, "wanted"), ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut, "lead binary, core long, gram long, c long, shift int, off int, raw binary")
     cut = ws.stage(cut, "cut")
     n = cut.count()
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))

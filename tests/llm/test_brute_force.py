@@ -205,3 +205,25 @@ def test_pipeline_of_no_rows(spark, tmp_path):
     table(spark, [], DOCS + ", lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+# --- op6: a very long text, clashing names, one passage in every text ---
+
+
+def test_repeats_in_a_long_text_and_under_clashing_names(spark):
+    import hashlib
+
+    from tessera.llm import suffixdedup
+
+    rng = np.random.default_rng(3)
+    far = rng.integers(97, 123, 3_000_000, dtype=np.uint8).tobytes()
+    passage = rng.integers(97, 123, 700, dtype=np.uint8).tobytes()
+    raws = [far + b"Z" + passage, *(rng.integers(97, 123, 150, dtype=np.uint8).tobytes() + bytes([65 + k]) + passage + bytes([97 + k]) * 3 for k in range(12)), b"short"]
+    rows = [(i, r.decode(), 1, "x", [2]) for i, r in enumerate(raws)]
+    df = table(spark, rows, DOCS + ", k1 long, gram string, spans array<int>")
+    got = {r["doc_id"]: (r["n_bytes"], [tuple(x) for x in r["spans"]], hashlib.sha256(r["kept"]).hexdigest()) for r in suffixdedup.remove_repeats(df).collect()}
+    for i, raw in enumerate(raws):
+        at = raw.find(passage)
+        spans = [(at, at + 700)] if at >= 0 else []
+        kept = raw[:at] + raw[at + 700 :] if at >= 0 else raw
+        assert got[i] == (len(raw), spans, hashlib.sha256(kept).hexdigest())
