@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vec as V
+from ..sources.workspace import Workspace
+from . import similar
 from .corpus import keep_first
 
 MIN_CHARS, MIN_SCORE = 6, 0.01
@@ -18,19 +21,33 @@ def searchable(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 
 class Index:
-    """Sparse postings (id, tok, w) with unit rows, and idf (tok, idf)."""
+    """Sparse postings with unit rows, and idf (tok, idf). Texts are tokenized once; with a workspace the counts are written.
 
-    def __init__(self, df: DataFrame, id_col: str):
+    A text's norm is one sum over its tokens; weights are divided by it only for the tokens that a question has.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, ws: Workspace | None = None):
         self.id_col = id_col
         self.texts = df
         toks = df.select(F.col(id_col), T.search_tokens(F.col("text")).alias("t"))
         tf = toks.select(id_col, F.size("t").alias("n"), F.explode("t").alias("tok")).groupBy(id_col, "n", "tok").agg(F.count(F.lit(1)).alias("c"))
+        tf = tf if ws is None else ws.stage(tf, "tf")
         counts = df.agg(F.count(F.lit(1)).alias("docs"))
         df_ = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-        self.idf = df_.crossJoin(F.broadcast(counts)).select("tok", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
-        raw = tf.join(self.idf, "tok").select(id_col, "tok", (F.col("c") / F.col("n") * F.col("idf")).alias("x"))
-        norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        self.postings = raw.join(norm, id_col).select(id_col, "tok", F.when(F.col("norm") > 1e-12, F.col("x") / F.col("norm")).otherwise(F.col("x")).alias("w"))
+        idf = df_.crossJoin(F.broadcast(counts)).select("tok", (F.ln((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+        self.idf = idf if ws is None else ws.stage(idf, "idf")
+        self.raw = tf.join(self.idf, "tok").select(id_col, "tok", (F.col("c") / F.col("n") * F.col("idf")).alias("x"))
+        norm = self.raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        self.norm = norm if ws is None else ws.stage(norm, "norm")
+
+    @property
+    def postings(self) -> DataFrame:
+        """id, tok, w of all texts."""
+        return self._weights(self.raw.join(self.norm, self.id_col))
+
+    def _weights(self, rows: DataFrame, *more: str) -> DataFrame:
+        w = F.when(F.col("norm") > 1e-12, F.col("x") / F.col("norm")).otherwise(F.col("x"))
+        return rows.select(self.id_col, "tok", w.alias("w"), *more)
 
     def query_vector(self, queries: DataFrame) -> DataFrame:
         """q, tok, w of queries (q, text) over known tokens."""
@@ -42,8 +59,8 @@ class Index:
 
     def similarities(self, queries: DataFrame) -> DataFrame:
         """q, id, sim over shared tokens; postings of other tokens are never read past the join."""
-        hit = self.postings.join(self.query_vector(queries), "tok")
-        return hit.groupBy("q", self.id_col).agg(F.sum(F.col("w") * F.col("qw")).alias("sim"))
+        hit = self.raw.join(self.query_vector(queries), "tok")
+        return self._weights(hit.join(self.norm, self.id_col), "q", "qw").groupBy("q", self.id_col).agg(F.sum(F.col("w") * F.col("qw")).alias("sim"))
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """q, id, sim: the k best of each query above the least score."""
@@ -51,17 +68,36 @@ class Index:
         return self.similarities(queries).where(F.col("sim") > MIN_SCORE).withColumn("r", r).where(F.col("r") <= k).drop("r")
 
 
-def hybrid(lexical: DataFrame, dense: DataFrame, id_col: str, k: int = 5, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """id, score for one query: min-max scaled lexical (id, sim; 0 where missing) and dense (id, cos) similarities, weighted."""
-    both = dense.join(lexical, id_col, "left").select(id_col, F.coalesce("sim", F.lit(0.0)).alias("a"), F.col("cos").alias("b"))
-    ends = both.agg(*(f(c).alias(f"{c}{n}") for c in "ab" for n, f in (("0", F.min), ("1", F.max))))
+def hybrid(index: Index, queries: DataFrame, vectors: DataFrame, asked: DataFrame, ws: Workspace, k: int = 5, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """q, id, score: the k best texts of every query by lexical similarity and by cosine, each scaled from its least to its
+    greatest value over all texts, weighted.
+
+    queries: q, text; vectors: id, vec of all texts; asked: q, vec. A text without a shared token has lexical similarity 0,
+    so among these the most similar vectors alone can be among the best: what is scored are the texts with shared tokens and
+    the k nearest vectors of each query, not every pair. The cosines' ends come from blocked matrix products.
+    """
+    i = index.id_col
+    lexical = ws.stage(index.similarities(queries), "lexical")
+    vectors = ws.stage(vectors.select(i, "vec"), "vectors")
+    total = vectors.count()
+    table, ask = vectors.select(F.col(i).alias("word"), "vec"), asked.select(F.col("q").alias("word"), "vec")
+    near = ws.stage(similar.top(ask, table, k, own=True).select(F.col("word").alias("q"), F.col("other").alias(i)), "near")
+    ends = ws.stage(similar.ends(ask, table).select(F.col("word").alias("q"), F.col("low").alias("b0"), F.col("high").alias("b1")), "ends")
+    lex = lexical.join(vectors.select(i), i).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"), F.max("sim").alias("high"))
+    lex = lex.select("q", F.when(F.col("n") < total, F.least("low", F.lit(0.0))).otherwise(F.col("low")).alias("a0"), F.when(F.col("n") < total, F.greatest("high", F.lit(0.0))).otherwise(F.col("high")).alias("a1"))
+    some = ws.stage(lexical.select("q", i).unionByName(near).distinct(), "some")
+    both = some.join(vectors, i).join(asked.select("q", F.col("vec").alias("qv")), "q").select("q", i, V.cosine(F.col("vec"), F.col("qv")).alias("b"))
+    both = both.join(lexical.withColumnRenamed("sim", "a"), ["q", i], "left").join(ends, "q").join(lex, "q", "left")
+    zero = F.lit(0.0)
+    both = both.select("q", i, F.coalesce("a", zero).alias("a"), "b", F.coalesce("a0", zero).alias("a0"), F.coalesce("a1", zero).alias("a1"), "b0", "b1")
 
     def scaled(c: str):
         span = F.col(f"{c}1") - F.col(f"{c}0")
         return F.when(span > 1e-12, (F.col(c) - F.col(f"{c}0")) / span).otherwise(0.0)
 
-    score = weights[0] * scaled("a") + weights[1] * scaled("b")
-    return both.crossJoin(F.broadcast(ends)).select(id_col, score.alias("score")).where(F.col("score") > MIN_SCORE).orderBy(F.desc("score"), id_col).limit(k)  # one row
+    score = both.select("q", i, (weights[0] * scaled("a") + weights[1] * scaled("b")).alias("score")).where(F.col("score") > MIN_SCORE)
+    r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), i))
+    return score.withColumn("r", r).where(F.col("r") <= k).select("q", i, "score")
 
 
 def prompt(question, context):

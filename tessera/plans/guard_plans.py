@@ -272,30 +272,29 @@ def growing_embedding(spark, d):
     return out.select("word", "is_seed", "version", "freq", F.round(W.rate(F.col("is_seed")), 3).alias("rate"), *(F.round(F.get(c, F.lit(0)), 4).alias(c) for c in ("vec", "ctx")))
 
 
-_QUESTION = "qs AS (SELECT 0 AS q, text FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 1)"
+_QUESTION = "qs AS (SELECT DISTINCT md5(text) AS q, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
 
 
 @query(f"""WITH {_INDEX}, {_QUESTION}, {_QVEC},
 h AS ({_hash_vectors("SELECT DISTINCT tok AS word FROM k UNION SELECT DISTINCT tok FROM qk", 8)}),
 dm AS (SELECT doc_id, dim, sum(x) / any_value(n) AS x FROM k JOIN h ON tok = word GROUP BY doc_id, dim),
-qm AS (SELECT dim, avg(x) AS y FROM qk JOIN h ON tok = word GROUP BY dim),
-c AS (SELECT doc_id, sum(x * y) / greatest(sqrt(sum(x * x)) * sqrt(sum(y * y)), 1e-12) AS cos FROM dm JOIN qm USING (dim) GROUP BY doc_id),
-b AS (SELECT doc_id, coalesce(sim, 0) AS a, cos AS b FROM c LEFT JOIN sim USING (doc_id)),
-z AS (SELECT doc_id, 0.5 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.5 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS score FROM b)
-SELECT doc_id, round(score, 6) AS score FROM z WHERE score > 0.01 ORDER BY z.score DESC, doc_id LIMIT 8""")
+qm AS (SELECT q, dim, avg(x) AS y FROM qk JOIN h ON tok = word GROUP BY q, dim),
+c AS (SELECT q, doc_id, sum(x * y) / greatest(sqrt(sum(x * x)) * sqrt(sum(y * y)), 1e-12) AS cos FROM dm JOIN qm USING (dim) GROUP BY q, doc_id),
+b AS (SELECT q, doc_id, coalesce(sim, 0) AS a, cos AS b FROM c LEFT JOIN sim USING (q, doc_id)),
+e AS (SELECT q, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM b GROUP BY q),
+z AS (SELECT q, doc_id, 0.5 * CASE WHEN a1 - a0 > 1e-12 THEN (a - a0) / (a1 - a0) ELSE 0 END + 0.5 * CASE WHEN b1 - b0 > 1e-12 THEN (b - b0) / (b1 - b0) ELSE 0 END AS score FROM b JOIN e USING (q))
+SELECT q, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS r FROM z WHERE score > 0.01) WHERE r <= 5""")
 def hybrid_search(spark, d):
-    """The first user turn against all documents: TF-IDF and mean hash vectors, half and half."""
-    texts = Q.searchable(read(spark, d, "documents"), "doc_id")
-    index = Q.Index(texts, "doc_id")
-    ask = read(spark, d, "conversations").where("role = 'user'").orderBy("conv_id", "turn").limit(1).select(F.lit(0).alias("q"), "text")
+    """Every different user turn against all documents: TF-IDF and mean hash vectors, half and half."""
+    ws = Workspace(spark, "hybrid")
+    texts = ws.stage(Q.searchable(read(spark, d, "documents"), "doc_id"), "texts")
+    index = Q.Index(texts, "doc_id", ws)
+    ask = read(spark, d, "conversations").where("role = 'user' and text is not null").select(F.md5("text").alias("q"), "text").distinct()
     toks, qtoks = C.tokens(texts), C.tokens(ask, "q")
     words = toks.select("tok").union(qtoks.select("tok")).distinct().select(F.col("tok").alias("word"), E.hash_vector(F.col("tok"), 8).alias("vec"))
-    dense = E.sentence_mean(toks, words)
-    question = E.sentence_mean(qtoks, words, "q").select("dim", F.col("x").alias("y"))
-    cos = dense.join(F.broadcast(question), "dim").groupBy("doc_id").agg(  # 8 rows
-        (F.sum(F.col("x") * F.col("y")) / F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))), F.lit(1e-12))).alias("cos")
-    )
-    return Q.hybrid(index.similarities(ask).select("doc_id", "sim"), cos, "doc_id", 8).select("doc_id", *r6("score"))
+    words = ws.stage(words, "words")
+    dense, asked = E.text_vectors(toks, words, "doc_id", 8), ws.stage(E.text_vectors(qtoks, words, "q", 8), "asked")
+    return Q.hybrid(index, ask, dense, asked, ws, 5).select("q", "doc_id", *r6("score"))
 
 
 @query(f"""WITH RECURSIVE {_BASE}, {_KNN.format(k=3)}, {_PATHS}, tx AS (SELECT md5(coalesce(text, '')) AS k, any_value(text) AS text FROM conversations GROUP BY 1),
