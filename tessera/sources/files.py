@@ -7,6 +7,7 @@ Spark's functions for DOCX, PDF and old encodings, so these run as Arrow batches
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -145,12 +146,20 @@ def sentences(files: DataFrame, min_len: int = FT.MIN_LEN, max_len: int = FT.MAX
     return corpus.keep_first(parts, F.col("sentence"), ["path", "pos"]), status.withColumn("info", info)
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, text by the HTML parser."""
+def page_texts(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
+    """page_id, text by the HTML parser; null for a null page.
+
+    references: the character references that are read (such as "&amp;"); all others stay as they are written. None: all
+    that the parser knows, those without a semicolon too.
+    """
+    other = None if references is None else re.compile("&(?!" + "|".join(re.escape(r[1:]) for r in references) + ")")
+
+    def visible(html: str | None) -> str | None:
+        return None if html is None else html_visible(html if other is None else other.sub("&amp;", html))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([html_visible(h.as_py() or "") for h in batch.column(1)], pa.string())], names=["page_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible(h.as_py()) for h in batch.column(1)], pa.string())], names=["page_id", "text"])
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string")
 
