@@ -143,7 +143,7 @@ def sentences(files: DataFrame, min_len: int = FT.MIN_LEN, max_len: int = FT.MAX
         "error",
     )
     info = F.coalesce("error", F.format_string("%s, %d characters, %d sentences", "kind", "n_chars", "n_sentences"))
-    return corpus.keep_first(parts, F.col("sentence"), ["path", "pos"]), status.withColumn("info", info)
+    return corpus.keep_first(parts, ["sentence"], ["path", "pos"]), status.withColumn("info", info)
 
 
 def page_texts(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
