@@ -89,6 +89,74 @@ def cold_start(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
     return new.join(known, id_col, "left").groupBy("word").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("known"))
 
 
+def _train(ids: list[np.ndarray], w_in: np.ndarray, w_out: np.ndarray, cdf: np.ndarray, rng: np.random.Generator, window: int, negative: int, lr: float) -> None:
+    """One pass over the sentences (word numbers) in random order; the matrices are changed in place.
+
+    Negative words come from the cumulative shares, so a draw costs no pass over the vocabulary.
+    """
+    around = np.array([d for d in range(-window, window + 1) if d])
+    for s in (ids[i] for i in rng.permutation(len(ids))):
+        n = len(s)
+        if n < 2:
+            continue
+        i = np.repeat(np.arange(n), 2 * window)
+        j = i + np.tile(around, n)
+        i, j = i[(j >= 0) & (j < n)], j[(j >= 0) & (j < n)]
+        target = np.concatenate([s[j][:, None], cdf.searchsorted(rng.random((len(i), negative)), side="right")], axis=1)
+        label = np.zeros(target.shape)
+        label[:, 0] = 1
+        center = w_in[s[i]]
+        g = 1 / (1 + np.exp(-np.clip(np.einsum("pkd,pd->pk", w_out[target], center), -30, 30))) - label
+        np.add.at(w_in, s[i], -lr * np.clip(np.einsum("pk,pkd->pd", g, w_out[target]), -1, 1))
+        np.add.at(w_out, target, -lr * np.clip(g[..., None] * center[:, None, :], -1, 1))
+
+
+def skip_gram_blocks(sentences: DataFrame, ws: Workspace, dim: int = 32, window: int = 4, negative: int = 5, epochs: int = 2, lr: float = 0.05, min_count: int = 2, seed: int = 0, group: str = "grp", block_tokens: int = 1 << 18) -> DataFrame:
+    """group, word, vec: skip-gram with negative sampling by parameter averaging, unit rows.
+
+    A group's sentences (group, seq, text) are dealt into blocks of about `block_tokens` tokens. In each epoch a block trains all
+    its sentences in a task of its own, on the vectors of its own words; then a word's vectors are averaged over the
+    blocks that have it, weighted by its count there, and the next epoch starts from the averages. Every sentence and every word
+    of `min_count` occurrences is trained; groups of under ten such words have no rows. Words start from their hashes.
+    """
+    toks = sentences.select(group, "seq", T.tokenize(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    toks = ws.stage(toks, "tokens")
+    sizes = toks.groupBy(group).agg(F.ceil(F.sum(F.size("toks")) / block_tokens).alias("blocks"))
+    block = F.pmod(F.xxhash64("seq", F.lit(seed)), F.col("blocks")).alias("block")
+    toks = toks.join(F.broadcast(sizes), group).select(group, block, "seq", "toks")  # a row for each group
+    uses = ws.stage(toks.select(group, "block", F.explode("toks").alias("word")).groupBy(group, "block", "word").agg(F.count(F.lit(1)).alias("n")), "uses")
+    vocab = uses.groupBy(group, "word").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count)
+    rich = vocab.groupBy(group).agg(F.count(F.lit(1)).alias("words")).where("words >= 10").select(group)
+    vocab = ws.stage(vocab.join(F.broadcast(rich), group), "vocab")  # a row for each group
+    uniform = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((F.pmod(F.xxhash64("word", i, F.lit(seed)), F.lit(1 << 24)) / float(1 << 24) - 0.5) / dim).cast("float"))
+    now = vocab.select(group, "word", "c", uniform.alias("vin"), F.array_repeat(F.lit(0.0).cast("float"), dim).alias("vout"))
+    kinds = f"{group} string, word string, n long, vin array<float>, vout array<float>"
+
+    def trainer(epoch: int):
+        def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+            if words.empty or texts.empty:
+                return pd.DataFrame({group: pd.Series(dtype=str), "word": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "vin": pd.Series(dtype=object), "vout": pd.Series(dtype=object)})
+            words, texts = words.sort_values(["c", "word"], ascending=[False, True]), texts.sort_values("seq")
+            index = {w: i for i, w in enumerate(words["word"])}
+            ids = [np.array([index[w] for w in t if w in index]) for t in texts["toks"]]
+            w_in, w_out = np.stack(words["vin"].to_list()).astype(float), np.stack(words["vout"].to_list()).astype(float)
+            cdf = np.cumsum(words["c"].to_numpy(float) ** 0.75)
+            cdf /= cdf[-1]
+            _train(ids, w_in, w_out, cdf, np.random.default_rng([seed, epoch, int(texts["block"].iloc[0])]), window, negative, lr)
+            return pd.DataFrame({group: texts[group].iloc[0], "word": words["word"].to_numpy(), "n": words["n"].to_numpy(), "vin": list(w_in.astype(np.float32)), "vout": list(w_out.astype(np.float32))})
+
+        return run
+
+    for epoch in range(epochs):
+        own = uses.join(now, [group, "word"]).select(group, "block", "word", "n", "c", "vin", "vout")
+        blocks = toks.groupBy(group, "block").cogroup(own.groupBy(group, "block")).applyInPandas(trainer(epoch), kinds)
+        both = ["vin", "vout"] if epoch + 1 < epochs else ["vin"]
+        sums = blocks.groupBy(group, "word").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.get(v, F.lit(i))).alias(f"_{v}{i}") for v in both for i in range(dim)))
+        means = sums.select(group, "word", *(F.array(*((F.col(f"_{v}{i}") / F.col("n")).cast("float") for i in range(dim))).alias(v) for v in both))
+        now = ws.stage(means.join(vocab, [group, "word"]), f"epoch-{epoch}") if epoch + 1 < epochs else means
+    return now.select(group, "word", V.unit(F.transform("vin", lambda x: x.cast("double"))).alias("vec"))
+
+
 def skip_gram(sentences: DataFrame, dim: int = 32, window: int = 4, negative: int = 5, epochs: int = 2, lr: float = 0.05, min_count: int = 2, seed: int = 0, group: str = "grp") -> DataFrame:
     """group, word, vec: skip-gram with negative sampling, unit rows. Each step reads the one before, so a group is one task; groups train side by side.
 
@@ -109,25 +177,12 @@ def skip_gram(sentences: DataFrame, dim: int = 32, window: int = 4, negative: in
         index = {w: i for i, w in enumerate(vocab)}
         rng = np.random.default_rng(seed)
         p = np.array([count[w] for w in vocab], float) ** 0.75
-        p /= p.sum()
+        cdf = np.cumsum(p / p.sum())
+        cdf /= cdf[-1]
         w_in, w_out = rng.uniform(-0.5, 0.5, (len(vocab), dim)) / dim, np.zeros((len(vocab), dim))
-        around = np.array([d for d in range(-window, window + 1) if d])
         ids = [np.array([index[w] for w in t if w in index]) for t in lists]
         for _ in range(epochs):
-            for s in (ids[i] for i in rng.permutation(len(ids))):
-                n = len(s)
-                if n < 2:
-                    continue
-                i = np.repeat(np.arange(n), 2 * window)
-                j = i + np.tile(around, n)
-                i, j = i[(j >= 0) & (j < n)], j[(j >= 0) & (j < n)]
-                target = np.concatenate([s[j][:, None], rng.choice(len(vocab), (len(i), negative), p=p)], axis=1)
-                label = np.zeros(target.shape)
-                label[:, 0] = 1
-                center = w_in[s[i]]
-                g = 1 / (1 + np.exp(-np.clip(np.einsum("pkd,pd->pk", w_out[target], center), -30, 30))) - label
-                np.add.at(w_in, s[i], -lr * np.clip(np.einsum("pk,pkd->pd", g, w_out[target]), -1, 1))
-                np.add.at(w_out, target, -lr * np.clip(g[..., None] * center[:, None, :], -1, 1))
+            _train(ids, w_in, w_out, cdf, rng, window, negative, lr)
         w_in /= np.linalg.norm(w_in, axis=1, keepdims=True) + 1e-8
         return pd.DataFrame({group: df[group].iloc[0], "word": vocab, "vec": list(w_in)})
 
