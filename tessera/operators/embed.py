@@ -39,16 +39,19 @@ def matrix_layout(table: DataFrame, key: str, value: str) -> DataFrame:
     return corpus.numbered(rows, ["word"], "idx", Workspace(table.sparkSession, "layout"))
 
 
-def sentence_mean(toks: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, dim, x: mean over all tokens; a token without a vector counts as zeros.
+def sentence_mean(toks: DataFrame, words: DataFrame, id_col: str = "doc_id", dim: int | None = None) -> DataFrame:
+    """id, dim, x: mean over all tokens; a token without a vector counts as zeros, a text without any vector has no rows.
 
-    Tokens are counted by sentence and word first, so a frequent word costs one row for each sentence.
+    Tokens are counted by sentence and word first, so a frequent word costs one row for each sentence. These rows are summed
+    in one aggregation with a sum for each dimension; only the means are exploded. dim: of the vectors, looked up if None.
     """
     counts = toks.groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.groupBy(id_col).agg(F.sum("c").alias("n"))
-    long = counts.join(words.select(F.col("word").alias("tok"), "vec"), "tok").select(id_col, "c", F.posexplode("vec").alias("dim", "v"))
-    sums = long.groupBy(id_col, "dim").agg(F.sum(F.col("c") * F.col("v")).alias("s"))
-    return sums.join(total, id_col).select(id_col, "dim", (F.col("s") / F.col("n")).alias("x"))
+    dim = dim if dim is not None else words.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]
+    held = counts.join(words.select(F.col("word").alias("tok"), "vec"), "tok", "left").withColumn("_any", F.col("vec").isNotNull())
+    parts = (F.sum(F.col("c") * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(dim))
+    sums = held.groupBy(id_col).agg(F.sum("c").alias("n"), F.max("_any").alias("_any"), *parts).where("_any")
+    means = sums.select(id_col, F.array(*(F.col(f"_{i}") / F.col("n") for i in range(dim))).alias("means"))
+    return means.select(id_col, F.posexplode("means").alias("dim", "x")).where("x is not null")
 
 
 def vector_sums(rows: DataFrame, by: list[str], vec: str, weight: str, dim: int) -> DataFrame:
