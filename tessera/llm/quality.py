@@ -131,12 +131,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([flat], names=["x"])
 
 
-def _sample(texts: DataFrame, most: int) -> np.ndarray:
-    """Features of distinct texts, those with the smallest hashes, `most` at most."""
+def _sample(texts: DataFrame, most: int, ids: DataFrame | None = None) -> np.ndarray:
+    """Features of distinct texts (of rows whose doc_id is in ids, if given), those with the smallest hashes, `most` at most.
+
+    Only ids and hashes are joined and counted; texts travel where their hash is small enough for the sample.
+    """
     h = F.xxhash64("text")
-    n = texts.agg(F.approx_count_distinct(h)).first()[0]  # of distinct texts, so that copies don't eat the sample
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return rows if ids is None else rows.join(ids, "doc_id", "left_semi")
+
+    n = wanted(texts.select("doc_id", h.alias("h"))).agg(F.approx_count_distinct("h")).first()[0]  # of distinct texts, so that copies don't eat the sample
     share = min(1.0, 4.0 * most / max(1, n))
-    rows = texts.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text", h.alias("h")).dropDuplicates(["h"])
+    small = texts.select("doc_id", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # the least hashes first, then one text of each
+    least = wanted(small.select("doc_id", "h")).select("h").distinct().orderBy("h").limit(most)
+    rows = small.join(F.broadcast(least), "h", "left_semi").select("text", "h").dropDuplicates(["h"])  # `most` rows
     found = rows.orderBy("h").limit(most).select("text").mapInArrow(_vectors, "x array<float>").toArrow().column("x").combine_chunks()
     return found.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
 
@@ -149,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
         return 0.5
     prior = min(0.98, max(0.02, good / n))
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    positive = _sample(whole.join(marked.where("quality = 1").select("doc_id"), "doc_id", "left_semi"), sample)
+    positive = _sample(whole, sample, marked.where("quality = 1").select("doc_id"))
     unlabelled = _sample(whole, sample)
     return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else 0.5
 
