@@ -22,10 +22,12 @@ from pyspark.sql import types as ST
 from ..functions import text as T
 from ..functions import vec as V
 from ..sources.workspace import Workspace
-from .embed import vector_sums
+from .guard import frequent
 
 # Learning rates of seed words and of others, spread of a new word's noise, share of the context vectors
 SEED_RATE, NEW_RATE, NOISE, CONTEXT_SHARE = 0.01, 0.05, 0.01, 0.1
+#: Words whose vectors are broadcast in a round, the most frequent ones.
+HOT_WORDS = 50_000
 COLUMNS = ["word", "vec", "ctx", "freq", "is_seed", "version"]
 
 
@@ -52,20 +54,26 @@ def rate(is_seed: Column) -> Column:
 
 def first_vectors(toks: DataFrame, vocab: DataFrame, id_col: str, dim: int) -> DataFrame:
     """word, n, vec of the words of toks (id, tok) that vocab lacks: how many known tokens stand in their sentences, and
-    the mean of these tokens' vectors (null where n is 0)."""
+    the mean of these tokens' vectors (null where n is 0).
+
+    Tokens meet the vocabulary once. One aggregation by sentence then gives the sums of its known words and the list of its
+    new ones, which is exploded beside the sums: sentences are not joined with their own words again.
+    """
     counts = toks.groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("c"))
-    known = counts.join(vocab.select(F.col("word").alias("tok"), "vec"), "tok")
-    by_text = vector_sums(known, [id_col], "vec", "c", dim)
-    new = counts.select(id_col, "tok").join(vocab.select(F.col("word").alias("tok")), "tok", "left_anti")
-    around = new.join(by_text, id_col)
-    means = around.groupBy("tok").agg(F.sum("n").alias("n"), *(F.sum(F.get("sums", F.lit(i))).alias(f"_{i}") for i in range(dim)))
-    means = means.select("tok", "n", F.array(*(F.col(f"_{i}") / F.col("n") for i in range(dim))).alias("vec"))
-    every = new.select("tok").distinct().join(means, "tok", "left")
-    return every.select(F.col("tok").alias("word"), F.coalesce("n", F.lit(0)).alias("n"), "vec")
+    held = counts.join(vocab.select(F.col("word").alias("tok"), "vec", F.lit(True).alias("_known")), "tok", "left")
+    named = F.col(id_col).isNotNull()  # without an id no words stand together
+    sums = (F.sum(F.when(named, F.col("c") * F.get("vec", F.lit(i)))).alias(f"_{i}") for i in range(dim))
+    n = F.coalesce(F.sum(F.when(F.col("_known") & named, F.col("c"))), F.lit(0)).alias("n")
+    by_text = held.groupBy(id_col).agg(n, *sums, F.collect_list(F.when(F.col("_known").isNull(), F.col("tok"))).alias("new"))
+    around = by_text.select("n", *(f"_{i}" for i in range(dim)), F.explode("new").alias("tok"))
+    total = around.groupBy(F.col("tok").alias("word")).agg(F.sum("n").alias("n"), *(F.sum(f"_{i}").alias(f"_{i}") for i in range(dim)))
+    means = F.array(*(F.try_divide(f"_{i}", "n") for i in range(dim)))
+    return total.select("word", "n", F.when(F.col("n") > 0, means).alias("vec"))
 
 
 def grown(docs: DataFrame, vocab: DataFrame, id_col: str, dim: int, noise: float = NOISE, seed: int = 0, text_col: str = "text") -> DataFrame:
     """The rows of the next version: the new words of docs (id, text), and the known words with their new frequencies."""
+    docs = docs.where(F.col(id_col).isNotNull())
     toks = docs.select(F.col(id_col), T.tokenize(F.col(text_col)).alias("t")).select(id_col, F.explode("t").alias("tok"))
     version = vocab.agg(F.coalesce(F.max("version") + 1, F.lit(0)).cast("int").alias("next"))
     start = first_vectors(toks, vocab, id_col, dim)
@@ -73,8 +81,11 @@ def grown(docs: DataFrame, vocab: DataFrame, id_col: str, dim: int, noise: float
     chance = F.transform(zero, lambda i: (_uniform(F.col("word"), i, seed) - 0.5) / dim)
     first = F.transform(F.col("vec"), lambda x, i: x + _normal(F.col("word"), i, seed) * noise)
     new = start.select("word", F.coalesce(first, chance).alias("vec"), F.transform(zero, lambda i: F.lit(0.0)).alias("ctx"), F.lit(0.0).alias("freq"), F.lit(False).alias("is_seed"))
-    size = toks.groupBy(id_col).agg(F.count(F.lit(1)).alias("size"))
-    seen = toks.join(size.where("size >= 2").select(id_col), id_col, "left_semi").groupBy(F.col("tok").alias("word")).agg(F.count(F.lit(1)).alias("more"))
+    # all tokens less those that are their sentence's only one, which is a row for each sentence
+    size = docs.select(F.col(id_col), T.tokenize(F.col(text_col)).alias("t")).groupBy(id_col).agg(F.sum(F.size("t")).alias("size"), F.max(F.get("t", F.lit(0))).alias("word"))
+    alone = size.where("size = 1").groupBy("word").agg(F.count(F.lit(1)).alias("less"))
+    seen = toks.groupBy(F.col("tok").alias("word")).agg(F.count(F.lit(1)).alias("all")).join(alone, "word", "left")
+    seen = seen.select("word", (F.col("all") - F.coalesce("less", F.lit(0))).alias("more")).where("more > 0")
     old = vocab.select("word", "vec", "ctx", "freq", "is_seed").join(seen.select("word"), "word", "left_semi")
     rows = new.unionByName(old).join(seen, "word", "left").withColumn("freq", F.col("freq") + F.coalesce("more", F.lit(0))).drop("more")
     return rows.crossJoin(F.broadcast(version)).select("word", "vec", "ctx", "freq", "is_seed", F.col("next").alias("version"))  # one row
@@ -91,12 +102,18 @@ def merge(*versions: DataFrame) -> DataFrame:
 
 def pairs(docs: DataFrame, id_col: str, window: int = 3, seed: int = 0, text_col: str = "text") -> DataFrame:
     """center, other, n: the words around each word, within 1 to `window` places as a hash of text and place says."""
-    t, place = F.col("t"), F.col("place")
-    at = docs.select(F.col(id_col), T.tokenize(F.col(text_col)).alias("t")).where(F.size("t") >= 2).select(id_col, "t", F.posexplode("t").alias("place", "center"))
-    reach = F.pmod(F.xxhash64(F.col(id_col), place, F.lit(seed)), F.lit(window)) + 1
-    lo, hi = F.greatest(F.lit(0), place - reach), F.least(F.size(t) - 1, place + reach)
-    others = F.transform(F.filter(F.sequence(lo.cast("int"), hi.cast("int")), lambda j: j != place), lambda j: F.get(t, j))
-    return at.select("center", F.explode(others).alias("other")).groupBy("center", "other").agg(F.count(F.lit(1)).alias("n"))
+    # the text beside itself, moved by each distance: a place's row holds its few neighbours, never the whole text
+    t = F.col("t")
+    far = [d for d in range(1, window + 1)]
+    after = [F.slice(t, d + 1, F.size(t)).alias(f"r{d}") for d in far]
+    before = [F.concat(F.array_repeat(F.lit(None).cast("string"), d), t).alias(f"l{d}") for d in far]
+    moved = docs.select(F.col(id_col), T.tokenize(F.col(text_col)).alias("t")).where(F.size("t") >= 2).select(id_col, t.alias("center"), *after, *before)
+    zipped = F.arrays_zip("center", *(f"{s}{d}" for s in "rl" for d in far))
+    at = moved.select(id_col, F.posexplode(zipped).alias("place", "z")).where("z.center is not null")
+    reach = F.pmod(F.xxhash64(F.col(id_col), F.col("place"), F.lit(seed)), F.lit(window)) + 1
+    at = at.select("z.*", reach.alias("reach"))
+    others = F.array(*(F.when(F.col("reach") >= d, F.col(f"{s}{d}")) for s in "rl" for d in far))
+    return at.select("center", F.explode(others).alias("other")).where("other is not null").groupBy("center", "other").agg(F.count(F.lit(1)).alias("n"))
 
 
 def negatives(pairs: DataFrame, vocab: DataFrame, ws: Workspace, number: int = 5, seed: int = 0, slots: int = 1 << 14) -> DataFrame:
@@ -124,19 +141,33 @@ def negatives(pairs: DataFrame, vocab: DataFrame, ws: Workspace, number: int = 5
     return pairs.select("center", "other", "n", F.lit(1.0).alias("label")).unionByName(drawn.groupBy("center", "other").agg(F.sum("n").alias("n")).withColumn("label", F.lit(0.0)))
 
 
-def train_round(terms: DataFrame, vocab: DataFrame, dim: int) -> DataFrame:
-    """The vocabulary after one round over the terms (center, other, n, label)."""
-    words = vocab.select("word", "vec", "ctx")
-    t = terms.join(words.select(F.col("word").alias("center"), F.col("vec").alias("v")), "center").join(words.select(F.col("word").alias("other"), F.col("ctx").alias("u")), "other")
-    g = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), V.dot(F.col("u"), F.col("v")))))) - F.col("label")
-    t = t.withColumn("g", g * F.col("n"))
-    into = t.groupBy(F.col("center").alias("word")).agg(F.sum("n").alias("k"), *(F.sum(F.col("g") * F.get("u", F.lit(i))).alias(f"_{i}") for i in range(dim)))
-    out = t.groupBy(F.col("other").alias("word")).agg(F.sum("n").alias("k"), *(F.sum(F.col("g") * F.get("v", F.lit(i))).alias(f"_{i}") for i in range(dim)))
-
-    def step(sums: DataFrame, name: str) -> DataFrame:
-        return sums.select("word", F.array(*(F.col(f"_{i}") / F.col("k") for i in range(dim))).alias(name))
-
-    both = vocab.join(step(into, "dv"), "word", "left").join(step(out, "du"), "word", "left")
+def train_round(terms: DataFrame, vocab: DataFrame, dim: int, edge: float | None = None) -> DataFrame:
+    """The vocabulary after one round over the terms (center, other, n, label). Words of a frequency of `edge` or more are
+    broadcast, so of the terms only those with a rarer word are shuffled to it; every term is in one of the four parts."""
+    words = vocab.select("word", "vec", "ctx", "freq")
+    often = F.lit(False) if edge is None else F.col("freq") >= edge
+    parts = []
+    for hot in ((True, True), (True, False), (False, True), (False, False)) if edge is not None else ((False, False),):
+        t = terms
+        for side, is_hot in zip(("center", "other"), hot, strict=True):
+            if not is_hot and edge is not None:
+                t = t.join(F.broadcast(words.where(often).select(F.col("word").alias(side))), side, "left_anti")  # HOT_WORDS rows at most
+        for side, name, short, is_hot in (("center", "vec", "v", hot[0]), ("other", "ctx", "u", hot[1])):
+            own = words.where(often if is_hot else ~often).select(F.col("word").alias(side), F.col(name).alias(short))
+            t = t.join(F.broadcast(own) if is_hot else own, side)
+        parts.append(t.select("center", "other", "n", "label", "v", "u"))
+    t = parts[0]
+    for p in parts[1:]:
+        t = t.unionByName(p)
+    dot = sum((F.get("u", F.lit(i)) * F.get("v", F.lit(i)) for i in range(1, dim)), F.get("u", F.lit(0)) * F.get("v", F.lit(0)))
+    g = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), dot)))) - F.col("label")
+    # a term moves its center by u and its other word by v: both in one pass over the joined terms
+    both = F.array(F.struct(F.col("center").alias("word"), F.lit(True).alias("into"), F.col("u").alias("x")), F.struct(F.col("other").alias("word"), F.lit(False).alias("into"), F.col("v").alias("x")))
+    moves = t.withColumn("g", g * F.col("n")).select("n", "g", F.inline(both)).groupBy("word", "into")
+    sums = moves.agg(F.sum("n").alias("k"), *(F.sum(F.col("g") * F.get("x", F.lit(i))).alias(f"_{i}") for i in range(dim)))
+    sums = sums.select("word", "into", F.array(*(F.col(f"_{i}") / F.col("k") for i in range(dim))).alias("d"))
+    steps = sums.groupBy("word").agg(F.max(F.when(F.col("into"), F.col("d"))).alias("dv"), F.max(F.when(~F.col("into"), F.col("d"))).alias("du"))
+    both = vocab.join(steps, "word", "left")
     r = rate(F.col("is_seed"))
     moved = [F.coalesce(F.zip_with(a, b, lambda x, d: x - r * d), F.col(a)).alias(a) for a, b in (("vec", "dv"), ("ctx", "du"))]
     return both.select("word", *moved, "freq", "is_seed", "version")
@@ -144,11 +175,13 @@ def train_round(terms: DataFrame, vocab: DataFrame, dim: int) -> DataFrame:
 
 def grow(docs: DataFrame, vocab: DataFrame, ws: Workspace, id_col: str, dim: int, epochs: int = 3, window: int = 3, number: int = 5, noise: float = NOISE, seed: int = 0) -> DataFrame:
     """The vocabulary after new texts: new words added, frequencies counted, `epochs` rounds trained. Every round is written."""
+    vocab = ws.stage(vocab, "known")
     now = ws.stage(merge(vocab, ws.stage(grown(docs, vocab, id_col, dim, noise, seed), "grown")), "vocab-0")
     near = ws.stage(pairs(docs, id_col, window, seed), "pairs")
     terms = ws.stage(negatives(near, now, ws, number, seed), "terms")
+    edge = frequent(now.select(F.col("freq").alias("c")), HOT_WORDS)
     for epoch in range(epochs):
-        now = ws.stage(train_round(terms, now, dim), f"vocab-{epoch + 1}")
+        now = ws.stage(train_round(terms, now, dim, edge), f"vocab-{epoch + 1}")
     return now
 
 
