@@ -51,6 +51,8 @@ SEEDS = 8
 WORDS = 16
 #: Buckets of counts that tell rare members from frequent ones in the order of the prefix filter.
 BUCKETS = 1 << 16
+#: Members of sets that a task works on at once.
+MEMBERS = 1 << 18
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -229,13 +231,23 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>")
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `MEMBERS` members of the sets in the column, so a task holds few of them at once."""
+    ends = np.cumsum(np.asarray(batch.column(column).value_lengths().fill_null(0), np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MEMBERS, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _bucket_counts(sets: DataFrame) -> DataFrame:
     """b, c: how many members of the sets (id, set, ...) fall into each hashed bucket; a row for each task and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            counts += np.bincount(_bucket(np.asarray(batch.column(0).flatten(), np.int64)), minlength=BUCKETS)
+        for part in (p for batch in batches for p in _slices(batch, 0)):
+            counts += np.bincount(_bucket(np.asarray(part.column(0).flatten(), np.int64)), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["b", "c"])
 
@@ -251,16 +263,16 @@ def _rare_first(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     held = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = np.asarray(batch.column(2).flatten(), np.int64)
-            sizes = np.asarray(batch.column(2).value_lengths(), np.int64)
+        for part in (p for batch in batches for p in _slices(batch, 2)):
+            members = np.asarray(part.column(2).flatten(), np.int64)
+            sizes = np.asarray(part.column(2).value_lengths(), np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((members, held.value[_bucket(members)], owner))
             rank = np.arange(len(members)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             prefix = sizes + 1 - -(-sizes * percent // 100)
             keep = order[rank < prefix[owner]]
             at = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(members[keep]), batch.column(0).take(at), batch.column(1).take(at)], names=["e", "id", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(members[keep]), part.column(0).take(at), part.column(1).take(at)], names=["e", "id", "label"])
 
     return sets.select("id", "label", "set").mapInArrow(run, "e long, id long, label long")
 
