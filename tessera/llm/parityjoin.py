@@ -16,9 +16,9 @@ join is exact at every threshold.
 Sets that share a block are candidates; those whose sizes and short sketches allow it get their exact similarity verified. What is wanted is classes of
 linked documents, so candidates that earlier links have joined already need no test. In every block's group, the
 members are tested against a leader (the one with the least hash, which leads most groups that it is in) and the linked
-ones join. Members of groups that still hold several classes are joined by their rarest n-grams (a prefix filter, exact
-as well) and compared pair by pair. No link between different classes is lost, and large groups of near copies cost a
-few tests for each member.
+ones join. Groups of at most `PAIRED` members that still hold several classes are compared pair by pair, which is a bounded
+number of pairs for each row. Members of larger ones are joined by their rarest n-grams (a prefix filter, exact as well).
+No link between different classes is lost, and large groups of near copies cost a few tests for each member.
 
 Documents with equal sets are one node. Shuffles carry hashes; the sets themselves travel only for candidates. Tables
 are broadcast behind a count of their rows, and joined by a shuffle beyond.
@@ -49,6 +49,8 @@ BROADCAST_MEMBERS = 4_000_000
 SEEDS = 8
 #: 64-bit words of the short sketch that rules out pairs before their sets are read.
 WORDS = 16
+#: Members besides the leader of a block's group whose pairs are formed within it; larger groups take the prefix filter.
+PAIRED = 64
 #: Buckets of counts that tell rare members from frequent ones in the order of the prefix filter.
 BUCKETS = 1 << 16
 #: Members of sets that a task works on at once.
@@ -377,11 +379,28 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     labels = nodes.select("id", F.col("id").alias("label"))
     star = within_bounds(ws.stage(members.where("id <> u").select("u", F.col("id").alias("v")).distinct(), "candidates"))
     labels = joined(labels, star.select("u", "v", F.col("u").alias("lu"), F.col("v").alias("label")), "star")
-    rest = members.where("id <> u").select("sig", "id").join(small(labels), "id")
-    mixed = ws.stage(rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig"), "mixed")
-    if not mixed.isEmpty():
-        left = ws.stage(rest.join(small(mixed), "sig", "left_semi").select("id", "label").distinct(), "left")
-        labels = joined(labels, prefix_pairs(left), "rest")
+    rest = members.where("id <> u").select("sig", "id")
+
+    def still_mixed(rows: DataFrame, name: str) -> DataFrame:
+        """sig and number of rows (sig, id, label) of the groups with several classes."""
+        classes = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"))
+        return ws.stage(classes.where("lo <> hi").select("sig", "c"), name)
+
+    mixed = still_mixed(rest.join(small(labels), "id"), "mixed")
+    if not mixed.where(F.col("c") <= PAIRED).isEmpty():
+        few = rest.join(small(mixed.where(F.col("c") <= PAIRED).select("sig")), "sig", "left_semi").join(small(labels), "id")
+        few = ws.stage(few.select("sig", "id", "label"), "few")
+        other = few.select("sig", F.col("id").alias("u"), F.col("label").alias("lu"))
+        pairs = few.join(other, "sig").where(F.col("label") < F.col("lu")).select("u", F.col("id").alias("v"), "lu", "label").distinct()
+        labels = joined(labels, within_bounds(pairs), "pairs")
+    many = mixed.where(F.col("c") > PAIRED).select("sig")
+    if not many.isEmpty():
+        held = rest.join(small(many), "sig", "left_semi").join(small(labels), "id")
+        kinds = still_mixed(held, "many")
+        left = ws.stage(held.join(small(kinds.select("sig")), "sig", "left_semi").select("id", "label").distinct(), "left")
+        if not left.isEmpty():
+            labels = joined(labels, prefix_pairs(left), "rest")
+    ws.drop("few", "many")
     # the nodes stay: without any link the labels are read from them
     ws.drop("candidates", "members", "chosen", "shorts", "mixed", "left", "left-texts", "each", "kinds", "prefixes")
 
