@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from .workspace import Workspace
 
 #: Fixed value: encodings in order; the last takes any bytes.
 ENCODINGS = ("utf-8", "cp949", "euc-kr", "latin-1")
+#: Bytes of files that a task decodes before it hands on their texts.
+SLICE_BYTES = 4 << 20
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -108,11 +112,21 @@ def _read(name: str, raw: bytes) -> tuple[str | None, str | None]:
         return None, f"{type(e).__name__}: {e}"
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of content, a row at least: a task holds few decoded texts at once."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0), np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def texts(files: DataFrame) -> DataFrame:
     """path, text, error from rows (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, SLICE_BYTES)):
             got = [_read(p.as_py(), c.as_py() or b"") for p, c in zip(batch.column(0), batch.column(1), strict=True)]
             text, error = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(error, pa.string())], names=["path", "text", "error"])
