@@ -26,7 +26,7 @@ from .guard import frequent
 
 # Learning rates of seed words and of others, spread of a new word's noise, share of the context vectors
 SEED_RATE, NEW_RATE, NOISE, CONTEXT_SHARE = 0.01, 0.05, 0.01, 0.1
-#: Words whose vectors are broadcast in a round, the most frequent ones.
+#: Words whose vectors are broadcast in a round or for first vectors, the most frequent ones.
 HOT_WORDS = 50_000
 COLUMNS = ["word", "vec", "ctx", "freq", "is_seed", "version"]
 
@@ -56,15 +56,24 @@ def first_vectors(toks: DataFrame, vocab: DataFrame, id_col: str, dim: int) -> D
     """word, n, vec of the words of toks (id, tok) that vocab lacks: how many known tokens stand in their sentences, and
     the mean of these tokens' vectors (null where n is 0).
 
-    Tokens meet the vocabulary once. One aggregation by sentence then gives the sums of its known words and the list of its
-    new ones, which is exploded beside the sums: sentences are not joined with their own words again.
+    Frequent words are broadcast with their vectors (`HOT_WORDS`, known or not): they are summed, or listed as new, within the
+    text's own task, which hands on a row for each text. Only the other words are shuffled, to meet the vocabulary and then
+    their text. The list of a text's new words is exploded beside its sums: sentences are not joined with their own words again.
     """
-    counts = toks.groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("c"))
-    held = counts.join(vocab.select(F.col("word").alias("tok"), "vec", F.lit(True).alias("_known")), "tok", "left")
+    ws = Workspace(toks.sparkSession, "first-vectors")
+    known = vocab.select(F.col("word").alias("tok"), "vec", F.lit(True).alias("_known"))
+    words = ws.stage(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).join(known, "tok", "left").withColumnRenamed("c", "all"), "words")
+    edge = frequent(words.select(F.col("all").alias("c")), HOT_WORDS)
+    hot = F.broadcast(words.where(F.col("all") >= edge).drop("all"))
     named = F.col(id_col).isNotNull()  # without an id no words stand together
-    sums = (F.sum(F.when(named, F.col("c") * F.get("vec", F.lit(i)))).alias(f"_{i}") for i in range(dim))
+    sums = [F.sum(F.when(named, F.col("c") * F.get("vec", F.lit(i)))).alias(f"_{i}") for i in range(dim)]
     n = F.coalesce(F.sum(F.when(F.col("_known") & named, F.col("c"))), F.lit(0)).alias("n")
-    by_text = held.groupBy(id_col).agg(n, *sums, F.collect_list(F.when(F.col("_known").isNull(), F.col("tok"))).alias("new"))
+    new = F.when(F.col("_known").isNull(), F.col("tok"))
+    near = toks.select(id_col, "tok").join(hot, "tok").withColumn("c", F.lit(1)).groupBy(id_col).agg(n, *sums, F.collect_set(new).alias("new"))
+    counts = toks.join(hot.select("tok"), "tok", "left_anti").groupBy(id_col, "tok").agg(F.count(F.lit(1)).alias("c"))
+    far = counts.join(words.where(F.col("all") < edge).drop("all"), "tok").groupBy(id_col).agg(n, *sums, F.collect_list(new).alias("new"))
+    every = near.unionByName(far).groupBy(id_col)
+    by_text = every.agg(F.sum("n").alias("n"), *(F.sum(f"_{i}").alias(f"_{i}") for i in range(dim)), F.flatten(F.collect_list("new")).alias("new"))
     around = by_text.select("n", *(f"_{i}" for i in range(dim)), F.explode("new").alias("tok"))
     total = around.groupBy(F.col("tok").alias("word")).agg(F.sum("n").alias("n"), *(F.sum(f"_{i}").alias(f"_{i}") for i in range(dim)))
     means = F.array(*(F.try_divide(f"_{i}", "n") for i in range(dim)))
