@@ -53,6 +53,8 @@ WORDS = 16
 PAIRED = 64
 #: Buckets of counts that tell rare members from frequent ones in the order of the prefix filter.
 BUCKETS = 1 << 16
+#: Members by which halves of members must tell a pair from the threshold at least.
+NEAR = 6
 #: Members of sets that a task works on at once.
 MEMBERS = 1 << 18
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -218,8 +220,8 @@ def _blocks(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, id long")
 
 
-def _members(docs: DataFrame, n: int) -> DataFrame:
-    """id and set of each row."""
+def _members(docs: DataFrame, n: int, halves: bool = False) -> DataFrame:
+    """id and set of each row; halves: the upper 32 bits of every member, as many as there are members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +230,10 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
                 m = len(block.begin)
                 ids, _ = _sums(owner, gram, m)
                 edge = np.searchsorted(owner, np.arange(m + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(edge), pa.array(gram.view(np.int64)))], names=["id", "set"])
+                held = (gram >> np.uint64(32)).astype(np.uint32).view(np.int32) if halves else gram.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(edge), pa.array(held))], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+    return docs.mapInArrow(run, f"id long, set array<{'int' if halves else 'long'}>")
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -311,15 +314,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     shorts = ws.stage(ours.select(F.col("a").alias("id"), "n", "parity").dropDuplicates(["id"]), "shorts")
     ws.drop("shared", "twice", "copies", "held", "leaders")
 
-    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+    def texts_of(ids: DataFrame, name: str, halves: bool = False) -> DataFrame:
         """id and set of the ids, made anew from their texts where they are read."""
         texts = ws.stage(one.join(small(ids), "id", "left_semi"), f"{name}-texts")
         same = (F.xxhash64("text") == F.col("of_k")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-        return _members(rows.join(small(texts.drop("id")), same).select("text"), n)
+        return _members(rows.join(small(texts.drop("id")), same).select("text"), n, halves)
 
-    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+    def sets_of(ids: DataFrame, name: str, halves: bool = False) -> DataFrame:
         """The sets of the ids; only these texts are read to the end."""
-        sets = ws.stage(texts_of(ids, name).join(small(ids), "id", "left_semi"), f"{name}-sets")
+        sets = ws.stage(texts_of(ids, name, halves).join(small(ids), "id", "left_semi"), f"{name}-sets")
         return ws.stage(sets.dropDuplicates(["id"]), f"{name}-once") if sets.count() > ids.count() else sets  # repeated rows
 
     def within_bounds(pairs: DataFrame) -> DataFrame:
@@ -331,13 +334,33 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
         sizes = (F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent)
         return both.where(sizes & (apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent))).select(*pairs.columns)
 
-    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) whose similarity reaches the threshold; there are few different u."""
+    def compared(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """u, v, nu, nv, over: by how much the similarity of the pairs (u, v) passes the threshold, in whole numbers; there are few different u."""
         left = ws.stage(sets.join(pairs.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("u"), F.col("set").alias("su")), f"{name}-leaders")
         held = left.agg(F.coalesce(F.sum(F.size("su")), F.lit(0))).first()[0]
         both = small(pairs).join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(F.broadcast(left) if held <= BROADCAST_MEMBERS else left, "u")
         shared = F.size(F.array_intersect("su", "sv"))
-        return both.where(shared * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
+        both = both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), shared.alias("shared"))
+        return both.withColumn("over", F.col("shared") * (100 + percent) - percent * (F.col("nu") + F.col("nv"))).drop("shared")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) whose similarity reaches the threshold.
+
+        Halves of the members tell nearly all pairs: among nu + nv of them about (nu + nv)^2 / 2^33 are equal without being
+        one member. Pairs that are nearer to the threshold than `NEAR` members and 64 times that number are compared once
+        more by whole members.
+        """
+        sides = lambda p: p.select(F.col("u").alias("id")).union(p.select(F.col("v").alias("id"))).distinct()
+        sets = sets_of(ws.stage(sides(pairs), f"{name}-ids"), name, True)
+        sure = (100 + percent) * (NEAR + F.pow(F.col("nu") + F.col("nv"), 2) / (1 << 27))
+        told = ws.stage(compared(pairs, sets, name).select("u", "v", F.when(F.col("over") > sure, True).when(F.col("over") < -sure, False).alias("linked")), f"{name}-told")
+        ws.drop(*(f"{name}-{x}" for x in ("ids", "texts", "sets", "once", "leaders")))
+        links = told.where("linked").select("u", "v")
+        unsure = told.where("linked is null").select("u", "v")
+        if unsure.isEmpty():
+            return links
+        sets = sets_of(ws.stage(sides(unsure), f"{name}-near-ids"), f"{name}-near")
+        return links.unionByName(compared(unsure, sets, f"{name}-near").where("over >= 0").select("u", "v"))
 
     def prefix_pairs(left: DataFrame) -> DataFrame:
         """Candidates (u, v, lu, label) of different classes among the (id, label) that the star left over.
@@ -366,14 +389,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     def joined(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """(id, label) after the links among the pairs (u, v, lu, label)."""
         pairs = ws.stage(pairs.distinct(), f"{name}-pairs")
-        ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-        sets = sets_of(ws.stage(ids, f"{name}-ids"), name)
-        links = verified(pairs.select("u", "v"), sets, name).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct()
+        links = verified(pairs.select("u", "v"), name).join(pairs, ["u", "v"]).select(F.col("lu").alias("u"), F.col("label").alias("v")).distinct()
         links = ws.stage(links, f"{name}-links")
         if not links.isEmpty():
             merged = components(ws, links, f"{name}-merged").select(F.col("id").alias("label"), F.col("label").alias("to"))
             labels = ws.stage(labels.join(small(merged), "label", "left").select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
-        ws.drop(*(f"{name}-{x}" for x in ("pairs", "ids", "texts", "sets", "once", "leaders", "links")))
+        ws.drop(*(f"{name}-{x}" for x in ("pairs", "told", "links")), *(f"{name}-near-{x}" for x in ("ids", "texts", "sets", "once", "leaders")))
         return labels
 
     labels = nodes.select("id", F.col("id").alias("label"))

@@ -227,3 +227,21 @@ def test_repeats_in_a_long_text_and_under_clashing_names(spark):
         spans = [(at, at + 700)] if at >= 0 else []
         kept = raw[:at] + raw[at + 700 :] if at >= 0 else raw
         assert got[i] == (len(raw), spans, hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("near", [0, 6, 10_000])
+def test_halves_of_members_tell_pairs_and_whole_ones_those_at_the_threshold(spark, monkeypatch, near):
+    """Pairs at, just below and far from the threshold; the sets that meet in the first comparison hold 32 bits a member."""
+    from tessera.llm import parityjoin
+    from tessera.sources.workspace import Workspace
+
+    kinds, stage = {}, Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, name: (kinds.__setitem__(name, dict(df.dtypes).get("set")), stage(self, df, name))[1])
+    monkeypatch.setattr(parityjoin, "NEAR", near)
+    words = [f"w{i}" for i in range(400)]
+    # one-word shingles: 90 of 100 in common is a similarity of 90 / 100 against the shorter set, 89 of 99 and so on below it
+    sets = [words[:100], words[:90], words[100:200], words[100:189], words[200:300], words[200:299], words[300:400], words[300:340]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(sets)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in parityjoin.near_duplicates(docs, 1, 90).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert kinds["star-sets"] == "array<int>" and kinds.get("star-near-sets", "array<bigint>") == "array<bigint>"
