@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,26 +95,147 @@ def cold_start(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
     return new.join(known, id_col, "left").groupBy("word").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("known"))
 
 
+#: Centers whose pairs are updated together, at most; a longer sentence takes several steps, one after the other.
+STEP = 16
+#: Tokens whose negative words are drawn at once.
+DRAWN = 1 << 13
+
+
+class _Draws:
+    """Words drawn by their shares (alias table): two lookups a draw, whatever the vocabulary."""
+
+    def __init__(self, cdf: np.ndarray):
+        n = len(cdf)
+        share = np.diff(cdf, prepend=0.0) * n
+        self.keep, self.other = np.ones(n), np.arange(n)
+        rest = share.tolist()
+        small, large = np.flatnonzero(share < 1).tolist(), np.flatnonzero(share >= 1).tolist()
+        while small and large:
+            i, j = small.pop(), large[-1]
+            self.keep[i], self.other[i] = rest[i], j
+            rest[j] -= 1 - rest[i]
+            if rest[j] < 1:
+                small.append(large.pop())
+
+    def take(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        u = rng.random(n) * len(self.keep)
+        i = np.minimum(u.astype(np.int64), len(self.keep) - 1)
+        return np.where(u - i < self.keep[i], i, self.other[i])
+
+
+@lru_cache(maxsize=1 << 12)
+def _pattern(left: int, n: int, right: int, window: int, negative: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of n centers with `left` and `right` words beside them: their number, each pair's center, and each term's target
+    and center. Targets are the pairs' negative words and then the words that stand there."""
+    around = np.array([d for d in range(-window, window + 1) if d])
+    j = np.arange(left, left + n)[:, None] + around
+    inside = (j >= 0) & (j < left + n + right)
+    center = np.nonzero(inside)[0]
+    drawn = len(center) * negative
+    return len(center), center, np.concatenate([j[inside] + drawn, np.arange(drawn)]), np.concatenate([center, np.repeat(center, negative)])
+
+
 def _train(ids: list[np.ndarray], w_in: np.ndarray, w_out: np.ndarray, cdf: np.ndarray, rng: np.random.Generator, window: int, negative: int, lr: float) -> None:
     """One pass over the sentences (word numbers) in random order; the matrices are changed in place.
 
-    Negative words come from the cumulative shares, so a draw costs no pass over the vocabulary.
+    A step takes the pairs of up to `STEP` neighbouring centers of a sentence. All gradients of a step come from the vectors before
+    it and are added up by word: terms are counted by (target, center), and the sums are two small matrix products with these
+    counts, so no row is made for a term. A word's sum is bounded by the number of its pairs (terms, as a target).
     """
-    around = np.array([d for d in range(-window, window + 1) if d])
+    draws, place = _Draws(cdf), np.empty(len(cdf), np.int64)
+    steps: list[tuple] = []
+    waiting, upto, kind = 0, np.arange((STEP + 2 * window) * (1 + 2 * window * negative)), w_in.dtype
+
+    def flush() -> None:
+        words, done = draws.take(rng, waiting * negative), 0
+        for s, left, n, right in steps:
+            pairs, center, term_target, term_center = _pattern(left, n, right, window, negative)
+            drawn = pairs * negative
+            own, target = s[left : left + n], np.concatenate([words[done : done + drawn], s])
+            done += drawn
+            # a word that stands there several times is counted in its last place; others get no gradient, and the last place is written last
+            place[own] = upto[:n]
+            row = place[own]
+            place[target] = upto[: len(target)]
+            column = place[target]
+            column *= n
+            at = column[term_target]
+            at += row[term_center]
+            count = np.bincount(at, minlength=n * len(target)).astype(kind).reshape(-1, n)
+            v, u = w_in.take(own, axis=0), w_out.take(target, axis=0)
+            g = u @ v.T
+            np.negative(g, out=g)
+            with np.errstate(over="ignore"):  # a share of 0
+                np.exp(g, out=g)
+            g += 1
+            np.divide(count, g, out=g)
+            g[drawn:] -= np.bincount(at[:pairs] - drawn * n, minlength=len(s) * n).reshape(-1, n)
+            d_in, d_out = g.T @ u, g @ v
+            most = np.bincount(row[center], minlength=n).astype(kind)[:, None]
+            np.clip(d_in, -most, most, out=d_in)
+            if max(v.max(), -v.min()) > 1:  # no sum exceeds the number of its terms otherwise
+                most = count.sum(1)[:, None]
+                np.clip(d_out, -most, most, out=d_out)
+            d_in *= lr
+            d_out *= lr
+            v -= d_in
+            u -= d_out
+            w_in[own], w_out[target] = v, u
+        steps.clear()
+
     for s in (ids[i] for i in rng.permutation(len(ids))):
-        n = len(s)
-        if n < 2:
+        if len(s) < 2:
             continue
-        i = np.repeat(np.arange(n), 2 * window)
-        j = i + np.tile(around, n)
-        i, j = i[(j >= 0) & (j < n)], j[(j >= 0) & (j < n)]
-        target = np.concatenate([s[j][:, None], cdf.searchsorted(rng.random((len(i), negative)), side="right")], axis=1)
-        label = np.zeros(target.shape)
-        label[:, 0] = 1
-        center = w_in[s[i]]
-        g = 1 / (1 + np.exp(-np.clip(np.einsum("pkd,pd->pk", w_out[target], center), -30, 30))) - label
-        np.add.at(w_in, s[i], -lr * np.clip(np.einsum("pk,pkd->pd", g, w_out[target]), -1, 1))
-        np.add.at(w_out, target, -lr * np.clip(g[..., None] * center[:, None, :], -1, 1))
+        parts = -(-len(s) // STEP)
+        cuts = [len(s) * k // parts for k in range(parts + 1)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            left, right = min(window, lo), min(window, len(s) - hi)
+            steps.append((s[lo - left : hi + right], left, hi - lo, right))
+            waiting += _pattern(left, hi - lo, right, window, negative)[0]
+        if waiting >= DRAWN * window:
+            flush()
+            waiting = 0
+    flush()
+
+
+def _means(rows: DataFrame, group: str, vecs: list[str]) -> DataFrame:
+    """group, word and the means of the vectors of rows (group, word, n, vecs), weighted by n.
+
+    Rows are sorted by word within their partition and added up as they pass, so a task holds a batch and one word's sums.
+    """
+    kinds = f"{group} string, word string, " + ", ".join(f"{v} array<float>" for v in vecs)
+
+    def out(keys: list, n: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+        means = [(x / n[:, None]).astype(np.float32) for x in sums]
+        lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1))) for x in means]
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + lists, names=[group, "word", *vecs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # key, n and sums of the word that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [batch.column(i) for i in (0, 1)]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or(*(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in names))
+            at = np.flatnonzero(new)
+            keys = list(zip(*(c.take(pa.array(at)).to_pylist() for c in names), strict=True))
+            weight = batch.column(2).to_numpy().astype(float)
+            n = np.add.reduceat(weight, at)
+            sums = [np.add.reduceat(similar._matrix(batch.column(3 + i)) * weight[:, None], at, axis=0) for i in range(len(vecs))]
+            if held is not None and held[0] == keys[0]:
+                n[0] += held[1]
+                for x, y in zip(sums, held[2], strict=True):
+                    x[0] += y
+            elif held is not None:
+                yield out([held[0]], np.array([held[1]]), [y[None] for y in held[2]])
+            held = keys[-1], n[-1], [x[-1] for x in sums]
+            if len(keys) > 1:
+                yield out(keys[:-1], n[:-1], [x[:-1] for x in sums])
+        if held is not None:
+            yield out([held[0]], np.array([held[1]]), [y[None] for y in held[2]])
+
+    return rows.repartition(group, "word").sortWithinPartitions(group, "word").mapInArrow(run, kinds)
 
 
 def skip_gram_blocks(sentences: DataFrame, ws: Workspace, dim: int = 32, window: int = 4, negative: int = 5, epochs: int = 2, lr: float = 0.05, min_count: int = 2, seed: int = 0, group: str = "grp", block_tokens: int = 1 << 18) -> DataFrame:
@@ -142,11 +266,11 @@ def skip_gram_blocks(sentences: DataFrame, ws: Workspace, dim: int = 32, window:
             words, texts = words.sort_values(["c", "word"], ascending=[False, True]), texts.sort_values("seq")
             index = {w: i for i, w in enumerate(words["word"])}
             ids = [np.array([index[w] for w in t if w in index]) for t in texts["toks"]]
-            w_in, w_out = np.stack(words["vin"].to_list()).astype(float), np.stack(words["vout"].to_list()).astype(float)
+            w_in, w_out = np.stack(words["vin"].to_list()).astype(np.float32), np.stack(words["vout"].to_list()).astype(np.float32)
             cdf = np.cumsum(words["c"].to_numpy(float) ** 0.75)
             cdf /= cdf[-1]
             _train(ids, w_in, w_out, cdf, np.random.default_rng([seed, epoch, int(texts["block"].iloc[0])]), window, negative, lr)
-            return pd.DataFrame({group: texts[group].iloc[0], "word": words["word"].to_numpy(), "n": words["n"].to_numpy(), "vin": list(w_in.astype(np.float32)), "vout": list(w_out.astype(np.float32))})
+            return pd.DataFrame({group: texts[group].iloc[0], "word": words["word"].to_numpy(), "n": words["n"].to_numpy(), "vin": list(w_in), "vout": list(w_out)})
 
         return run
 
@@ -154,8 +278,7 @@ def skip_gram_blocks(sentences: DataFrame, ws: Workspace, dim: int = 32, window:
         own = uses.join(now, [group, "word"]).select(group, "block", "word", "n", "c", "vin", "vout")
         blocks = toks.groupBy(group, "block").cogroup(own.groupBy(group, "block")).applyInPandas(trainer(epoch), kinds)
         both = ["vin", "vout"] if epoch + 1 < epochs else ["vin"]
-        sums = blocks.groupBy(group, "word").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.get(v, F.lit(i))).alias(f"_{v}{i}") for v in both for i in range(dim)))
-        means = sums.select(group, "word", *(F.array(*((F.col(f"_{v}{i}") / F.col("n")).cast("float") for i in range(dim))).alias(v) for v in both))
+        means = _means(blocks.select(group, "word", "n", *both), group, both)
         now = ws.stage(means.join(vocab, [group, "word"]), f"epoch-{epoch}") if epoch + 1 < epochs else means
     return now.select(group, "word", V.unit(F.transform("vin", lambda x: x.cast("double"))).alias("vec"))
 
