@@ -74,6 +74,37 @@ def text_vectors(toks: DataFrame, words: DataFrame, id_col: str, dim: int) -> Da
     return means.select(id_col, F.transform("sums", lambda x: x / F.col("n")).alias("vec"))
 
 
+#: Words whose vectors a task keeps.
+KEPT_WORDS = 1 << 18
+
+
+def hash_means(lists: DataFrame, id_col: str, dim: int) -> DataFrame:
+    """id, vec: mean of the `hash_vector`s of a text's tokens (id, t). A text without tokens has no row. A vector is made of its word
+    alone, so every task makes those of its own words, keeps them, and shuffles nothing."""
+    from . import search
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        index: dict[str, int] = {}
+        held = np.empty((0, dim))
+        for ids, n, distinct, row, word, count in search.token_counts(batches):
+            words = distinct.to_pylist()
+            if len(index) > KEPT_WORDS:
+                index, held = {}, np.empty((0, dim))
+            new = [w for w in words if w not in index]
+            digests = b"".join(md5(f"{w}:{i}".encode()).digest()[:8] for w in new for i in range(dim))
+            u = (np.frombuffer(digests, ">u4").astype(float).reshape(len(new), dim, 2) + 1) / 4294967297.0
+            index.update(zip(new, range(len(held), len(held) + len(new)), strict=True))
+            held = np.concatenate([held, np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])])
+            vecs = held[[index[w] for w in words]] if words else held[:0]
+            sums = np.stack([np.bincount(row, count * vecs[word, i], minlength=len(n)).astype(float) for i in range(dim)], axis=1)[n > 0] / n[n > 0, None]
+            at = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(n > 0)), pa.ListArray.from_arrays(at, pa.array(sums.reshape(-1)))], names=[id_col, "vec"])
+
+    return lists.select(id_col, "t").mapInArrow(run, f"`{id_col}` {lists.schema[id_col].dataType.simpleString()}, vec array<double>")
+
+
 def zscored(vectors: DataFrame, id_col: str, vec: str = "vec") -> DataFrame:
     """Vectors less the mean over the deviation of each dimension; the two rows of moments are broadcast, nothing is exploded and regrouped by vector."""
     by = vectors.select(F.posexplode(vec).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
