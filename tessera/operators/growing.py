@@ -6,8 +6,9 @@ as often as it stands there; sentences are summed first and the sums of a word's
 aggregations with a column for each dimension. A word without any known word around it starts from small numbers made of its hash.
 
 Training is skip-gram with negative sampling in batches: gradients of all pairs are computed from the vocabulary of the
-round before, added up by word, divided by the word's number of terms and applied at the word's own rate. So a
-round is two joins and two aggregations whatever the corpus, and a repeated run gives the same vectors.
+round before, added up by word, divided by the word's number of terms and applied at the word's own rate. `grow` numbers the
+words once, those first that negative words are drawn from or that are frequent. The vectors of these are sent to every task, which adds up
+the gradients of its pairs by word; only pairs with a rarer word are shuffled to meet its vector. A repeated run gives the same vectors.
 
 A growth is a version: the rows that changed. `merge` takes the newest row of each word. Null and empty texts have no
 words; a sentence of one word trains nothing and doesn't count towards frequencies; repeated rows count each time.
@@ -15,6 +16,10 @@ words; a sentence of one word trains nothing and doesn't count towards frequenci
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -22,7 +27,8 @@ from pyspark.sql import types as ST
 from ..functions import text as T
 from ..functions import vec as V
 from ..sources.workspace import Workspace
-from .guard import frequent
+from .corpus import numbered
+from .guard import frequent, with_counts
 
 # Learning rates of seed words and of others, spread of a new word's noise, share of the context vectors
 SEED_RATE, NEW_RATE, NOISE, CONTEXT_SHARE = 0.01, 0.05, 0.01, 0.1
@@ -125,11 +131,11 @@ def pairs(docs: DataFrame, id_col: str, window: int = 3, seed: int = 0, text_col
     return at.select("center", F.explode(others).alias("other")).where("other is not null").groupBy("center", "other").agg(F.count(F.lit(1)).alias("n"))
 
 
-def negatives(pairs: DataFrame, vocab: DataFrame, ws: Workspace, number: int = 5, seed: int = 0, slots: int = 1 << 14) -> DataFrame:
-    """center, other, n, label: the pairs (label 1) and, for each, `number` words drawn by frequency to the power 0.75 (label 0).
+def slot_words(vocab: DataFrame, ws: Workspace, seed: int = 0, slots: int = 1 << 14) -> DataFrame:
+    """slot, drawn: a table of `slots` places, to which each word has a share by its frequency to the power 0.75, written.
 
-    Draws come from a table of `slots` places, to which each word has a share by its power: words own the places between
-    their rounded cumulative shares, in order of a hash. A word with less than a place is met by chance of the rounding.
+    Words own the places between their rounded cumulative shares, in order of a hash. A word with less than a place is met by
+    chance of the rounding.
     """
     from pyspark.sql import Window
 
@@ -144,8 +150,18 @@ def negatives(pairs: DataFrame, vocab: DataFrame, ws: Workspace, number: int = 5
     lo = F.floor((F.col("base") + F.col("run") - F.col("m")) / F.col("total") * slots + F.pmod("h", F.lit(997)) / 997.0)
     hi = F.floor((F.col("base") + F.col("run")) / F.col("total") * slots + F.pmod("h", F.lit(997)) / 997.0)
     table = cum.where(hi > lo).select(F.explode(F.sequence(lo, hi - 1)).alias("slot"), F.col("word").alias("drawn"))
-    table = ws.stage(table.groupBy(F.pmod("slot", F.lit(slots)).alias("slot")).agg(F.min("drawn").alias("drawn")), f"slots-{seed}")
-    slot = F.explode(F.transform(F.sequence(F.lit(1), F.lit(number)), lambda k: F.pmod(F.xxhash64(F.col("center"), F.col("other"), k, F.lit(seed)), F.lit(slots)))).alias("slot")
+    return ws.stage(table.groupBy(F.pmod("slot", F.lit(slots)).alias("slot")).agg(F.min("drawn").alias("drawn")), f"slots-{seed}")
+
+
+def _slots(number: int, seed: int, slots: int) -> Column:
+    """The places that a pair's negative words are drawn from."""
+    return F.transform(F.sequence(F.lit(1), F.lit(number)), lambda k: F.pmod(F.xxhash64(F.col("center"), F.col("other"), k, F.lit(seed)), F.lit(slots)))
+
+
+def negatives(pairs: DataFrame, vocab: DataFrame, ws: Workspace, number: int = 5, seed: int = 0, slots: int = 1 << 14) -> DataFrame:
+    """center, other, n, label: the pairs (label 1) and, for each, `number` words drawn by frequency to the power 0.75 (label 0)."""
+    table = slot_words(vocab, ws, seed, slots)
+    slot = F.explode(_slots(number, seed, slots)).alias("slot")
     drawn = pairs.select("center", "n", slot).join(F.broadcast(table), "slot").select("center", F.col("drawn").alias("other"), "n")  # `slots` rows at most
     return pairs.select("center", "other", "n", F.lit(1.0).alias("label")).unionByName(drawn.groupBy("center", "other").agg(F.sum("n").alias("n")).withColumn("label", F.lit(0.0)))
 
@@ -182,16 +198,113 @@ def train_round(terms: DataFrame, vocab: DataFrame, dim: int, edge: float | None
     return both.select("word", *moved, "freq", "is_seed", "version")
 
 
+def _filled(lists: pa.Array, dim: int) -> np.ndarray:
+    """Rows of numbers; a null or empty list is a row of NaN."""
+    out = np.full((len(lists), dim), np.nan)
+    out[np.asarray(lists.value_lengths().fill_null(0)) == dim] = np.asarray(lists.flatten(), float).reshape(-1, dim)
+    return out
+
+
+def _moves(rows: DataFrame, held, dim: int, number: int) -> DataFrame:
+    """no, into, k, sums: number of terms and sum of the gradients of a word's vec (into) or ctx, from a task's part of rows
+    (c, o, n, slots, v, u). v and u are the vectors of words that are not among those held; else empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vec, ctx, drawn = held.value
+        hot = len(vec)
+        sums = np.zeros((2, dim + 1, hot))
+
+        def out(numbers: np.ndarray, into: bool, k: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * dim), pa.array(parts.reshape(-1)))
+            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.full(len(numbers), into)), pa.array(k), lists], names=["no", "into", "k", "sums"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, o, n = (batch.column(i).to_numpy() for i in range(3))
+            target = np.concatenate([o[:, None], drawn[np.asarray(batch.column(3).flatten()).reshape(len(c), number)]], axis=1)
+            v, u = (vec[np.where(c < hot, c, 0)], ctx[np.where((target >= 0) & (target < hot), target, 0)]) if hot else (np.zeros((len(c), dim)), np.zeros((*target.shape, dim)))
+            v[c >= hot] = _filled(batch.column(4), dim)[c >= hot]
+            u[o >= hot, 0] = _filled(batch.column(5), dim)[o >= hot]
+            dot = np.einsum("mkd,md->mk", u, v)
+            g = 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
+            g[:, 0] -= 1
+            k = np.where(target >= 0, n[:, None], 0).astype(float)  # a place without a word draws nothing
+            lost = np.isnan(dot)  # a vector is missing
+            if lost.any():
+                g[lost] = 0
+                v, u = np.nan_to_num(v), np.nan_to_num(u)
+            g *= k
+            for into, numbers, moves, terms in (
+                (0, c, np.einsum("mk,mkd->md", g, u), k.sum(1)),
+                (1, target.reshape(-1), (g[..., None] * v[:, None, :]).reshape(-1, dim), k.reshape(-1)),
+            ):
+                near, far = (numbers >= 0) & (numbers < hot), numbers >= hot
+                at = numbers[near]
+                for i in range(dim):
+                    np.add.at(sums[into, i], at, moves[near, i])
+                np.add.at(sums[into, dim], at, terms[near])
+                if far.any():
+                    cold, at = np.unique(numbers[far], return_inverse=True)
+                    parts = np.stack([np.bincount(at, moves[far, i]) for i in range(dim)], axis=1)
+                    yield out(cold, not into, np.bincount(at, terms[far]), parts)
+        for into in (0, 1):
+            used = np.flatnonzero(sums[into, dim])
+            yield out(used, not into, sums[into, dim, used], np.ascontiguousarray(sums[into, :dim, used]))
+
+    return rows.select("c", "o", "n", "slots", "v", "u").mapInArrow(run, "no long, into boolean, k double, sums array<double>")
+
+
+def _round(pairs: DataFrame, now: DataFrame, drawn: np.ndarray, hot: int, dim: int, number: int) -> DataFrame:
+    """The vocabulary (no, word, vec, ctx, freq, is_seed, version) after one round over pairs (c, o, n, slots) of words by number.
+    The vectors of the first `hot` words are sent to every task; a rarer word's is joined to its pairs."""
+    top = now.where(F.col("no") < hot).select("no", "vec", "ctx").toArrow().combine_chunks()
+    order = np.argsort(top["no"].to_numpy())
+    held = now.sparkSession.sparkContext.broadcast((*(_filled(top[c].combine_chunks(), dim)[order] if len(order) else np.zeros((0, dim)) for c in ("vec", "ctx")), drawn))
+    own = {x: now.where(F.col("no") >= hot).select(F.col("no").alias(x), F.col(y).alias(z)) for x, y, z in (("c", "vec", "v"), ("o", "ctx", "u"))}
+    none = F.array().cast("array<double>")  # not null: Spark's writer to Python walks over all nulls before a row again
+    rows = None
+    for far_c in (False, True):
+        for far_o in (False, True):
+            part = pairs.where((F.col("c") >= hot) == F.lit(far_c)).where((F.col("o") >= hot) == F.lit(far_o))
+            part = part.join(own["c"], "c") if far_c else part.withColumn("v", none)
+            part = part.join(own["o"], "o") if far_o else part.withColumn("u", none)
+            part = part.select("c", "o", "n", "slots", "v", "u")
+            rows = part if rows is None else rows.unionByName(part)
+    moves = _moves(rows, held, dim, number).groupBy("no", "into").agg(F.sum("k").alias("k"), *(F.sum(F.get("sums", F.lit(i))).alias(f"_{i}") for i in range(dim)))
+    steps = moves.select("no", "into", F.array(*(F.col(f"_{i}") / F.col("k") for i in range(dim))).alias("d"))
+    steps = steps.groupBy("no").agg(F.max(F.when(F.col("into"), F.col("d"))).alias("dv"), F.max(F.when(~F.col("into"), F.col("d"))).alias("du"))
+    r = rate(F.col("is_seed"))
+    moved = [F.coalesce(F.zip_with(a, b, lambda x, d: x - r * d), F.col(a)).alias(a) for a, b in (("vec", "dv"), ("ctx", "du"))]
+    return now.join(steps, "no", "left").select("no", "word", *moved, "freq", "is_seed", "version")
+
+
+def trained(pairs: DataFrame, vocab: DataFrame, ws: Workspace, dim: int, epochs: int, number: int = 5, seed: int = 0, slots: int = 1 << 14) -> DataFrame:
+    """The vocabulary after `epochs` rounds over pairs (center, other, n) and their negative words: the same terms as of
+    `negatives` in each `train_round`. Words are numbered, and a pair's negative words are kept as the places they are drawn from."""
+    table = slot_words(vocab, ws, seed, slots)
+    chosen = table.select(F.col("drawn").alias("word"), F.lit(True).alias("drawn")).distinct()
+    ranked = vocab.join(F.broadcast(chosen), "word", "left").withColumn("drawn", F.coalesce("drawn", F.lit(False)))  # `slots` rows at most
+    now = ws.stage(numbered(ranked, [F.desc("drawn"), F.desc("freq"), F.col("word")], "no", ws).drop("drawn"), "vocab-0")
+    drawn, hot = np.full(slots, -1, np.int64), HOT_WORDS + chosen.count()
+    for r in table.join(now.select(F.col("word").alias("drawn"), "no"), "drawn").select("slot", "no").collect():  # `slots` rows at most
+        drawn[r["slot"]] = r["no"]
+    # numbers of frequent words are broadcast, as counts are; a lower number is a higher count
+    named = pairs.select(F.col("center").alias("w1"), F.col("other").alias("w2"), "n")
+    named = with_counts(named, now.select(F.col("word").alias("tok"), (-F.col("no")).alias("c")), -(hot - 1))
+    named = named.where("c1 is not null and c2 is not null").withColumnsRenamed({"w1": "center", "w2": "other"})
+    named = ws.stage(named.select((-F.col("c1")).alias("c"), (-F.col("c2")).alias("o"), "n", _slots(number, seed, slots).alias("slots")), "terms")
+    for epoch in range(epochs):
+        now = ws.stage(_round(named, now, drawn, hot, dim, number), f"vocab-{epoch + 1}")
+    return now.select("word", "vec", "ctx", "freq", "is_seed", "version")
+
+
 def grow(docs: DataFrame, vocab: DataFrame, ws: Workspace, id_col: str, dim: int, epochs: int = 3, window: int = 3, number: int = 5, noise: float = NOISE, seed: int = 0) -> DataFrame:
     """The vocabulary after new texts: new words added, frequencies counted, `epochs` rounds trained. Every round is written."""
     vocab = ws.stage(vocab, "known")
-    now = ws.stage(merge(vocab, ws.stage(grown(docs, vocab, id_col, dim, noise, seed), "grown")), "vocab-0")
+    now = ws.stage(merge(vocab, ws.stage(grown(docs, vocab, id_col, dim, noise, seed), "grown")), "merged")
     near = ws.stage(pairs(docs, id_col, window, seed), "pairs")
-    terms = ws.stage(negatives(near, now, ws, number, seed), "terms")
-    edge = frequent(now.select(F.col("freq").alias("c")), HOT_WORDS)
-    for epoch in range(epochs):
-        now = ws.stage(train_round(terms, now, dim, edge), f"vocab-{epoch + 1}")
-    return now
+    return trained(near, now, ws, dim, epochs, number, seed)
 
 
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str, dim: int, text_col: str = "text") -> DataFrame:
