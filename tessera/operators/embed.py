@@ -130,6 +130,8 @@ def cold_start(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
 STEP = 16
 #: Tokens whose negative words are drawn at once.
 DRAWN = 1 << 13
+#: Most tasks that blocks are dealt to in an epoch.
+TASKS = 1 << 13
 
 
 class _Draws:
@@ -279,7 +281,9 @@ def skip_gram_blocks(sentences: DataFrame, ws: Workspace, dim: int = 32, window:
     """
     toks = sentences.select(group, "seq", T.tokenize(F.col("text")).alias("toks")).where(F.size("toks") > 0)
     toks = ws.stage(toks, "tokens")
-    sizes = toks.groupBy(group).agg(F.ceil(F.sum(F.size("toks")) / block_tokens).alias("blocks"))
+    sizes = ws.stage(toks.groupBy(group).agg(F.ceil(F.sum(F.size("toks")) / block_tokens).alias("blocks")), "sizes")
+    # blocks are small in bytes and long in work: by bytes many of them would be one task
+    tasks = max(1, min(TASKS, 3 * int(sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0])))
     block = F.pmod(F.xxhash64("seq", F.lit(seed)), F.col("blocks")).alias("block")
     toks = toks.join(F.broadcast(sizes), group).select(group, block, "seq", "toks")  # a row for each group
     uses = ws.stage(toks.select(group, "block", F.explode("toks").alias("word")).groupBy(group, "block", "word").agg(F.count(F.lit(1)).alias("n")), "uses")
@@ -307,7 +311,8 @@ def skip_gram_blocks(sentences: DataFrame, ws: Workspace, dim: int = 32, window:
 
     for epoch in range(epochs):
         own = uses.join(now, [group, "word"]).select(group, "block", "word", "n", "c", "vin", "vout")
-        blocks = toks.groupBy(group, "block").cogroup(own.groupBy(group, "block")).applyInPandas(trainer(epoch), kinds)
+        texts, own = (x.repartition(tasks, group, "block").groupBy(group, "block") for x in (toks, own))
+        blocks = texts.cogroup(own).applyInPandas(trainer(epoch), kinds)
         both = ["vin", "vout"] if epoch + 1 < epochs else ["vin"]
         means = _means(blocks.select(group, "word", "n", *both), group, both)
         now = ws.stage(means.join(vocab, [group, "word"]), f"epoch-{epoch}") if epoch + 1 < epochs else means
